@@ -26,6 +26,8 @@ from caseflow.plans import queries as Q
 from caseflow.plans.catalog import build_name_mapping, facts_table
 from caseflow.plans.facts import TABLE_SOURCES
 from caseflow.plans.sql import query as guarded_query
+from caseflow.session import scratch_path
+from caseflow.sources import files as FS
 from caseflow.sources import tables as TB
 
 Fn = Callable[[SparkSession, str], DataFrame]
@@ -339,9 +341,26 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
             .alias("pct")),
         "SELECT o_orderkey, round_even((o_orderkey % 199) / ((o_orderkey % 199) + (o_custkey % 199) + 1) * 100, 2) "
         "AS pct FROM orders")
+    # --- file sources (S): the state feed written as CSV files, then discovered, chosen and read back
+    e["s1_discover_files"] = (lambda s, d: FS.discover_files(s, f"{state_feed_root(s, d)}/data/states"), None)
+    e["s2_latest_file_per_group"] = (
+        lambda s, d: FS.latest_file_per_group(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states")), None)
+    e["s4_read_state_feed"] = (lambda s, d: C.load_state_feed(FS.read_state_feed(s, state_feed_root(s, d))),
+                               O.facts_ctes() + "\nSELECT * FROM tracker_facts")
     return e
 
 
+_FEED_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def state_feed_root(spark: SparkSession, sf: str) -> str:
+    """The per-state feed derived from the tables, written once per session as CSV uploads."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _FEED_ROOTS:
+        _FEED_ROOTS[key] = FS.write_state_feed(TB.state_feed_raw(spark, sf), scratch_path(spark, "feeds"))
+    return _FEED_ROOTS[key]
+
+
 def _py_title_sql(x: str) -> str:
     """Title-casing of letter runs in DuckDB (oracle of X6): upper first letter of each letter run."""
     spaced = f"replace({x}, '-', ' ')"
