@@ -195,7 +195,8 @@ def state_totals(facts: DataFrame, merged: DataFrame, disease: str | None = None
         base = FL.month_between(FL.for_disease(merged, name=disease), start, end)
     totals = base.groupBy("disease_name", "state").agg(X.zero_if_null(F.sum("count")).alias("cases"))
     mapped = FL.mappable_positive(totals.withColumn("fips", X.map_lookup(F.col("state"), dims.STATE_TO_FIPS)))
-    return A.with_extent(mapped, "cases", by=["disease_name"])
+    return (A.with_extent(mapped, "cases", by=["disease_name"])
+             .select("disease_name", "state", "fips", "cases", "min_cases", "max_cases"))
 
 
 def state_totals_merged_pruned(facts: DataFrame, merge, disease: str | None = None, start=None,
