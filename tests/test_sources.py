@@ -17,7 +17,8 @@ def test_missing_directory_is_empty(spark, feed_root):
 def test_state_feed_union_by_name(spark, feed_root):
     raw = FS.read_state_feed(spark, f"{feed_root}/state")
     assert raw.count() == 7
-    assert {"state", "reporting_jurisdiction", "geo_name", "disease_subtype"} <= set(raw.columns)
+    assert {"state", "geo_name", "disease_subtype", "confirmation_status"} <= set(raw.columns)
+    assert raw.where("state = 'TX' and confirmation_status is not null").count() == 0
     assert all(t == "string" for _, t in raw.dtypes)
     assert raw.where("count = '999'").count() == 0          # the older CA upload is ignored
 
