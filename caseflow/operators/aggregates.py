@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import columns as X
@@ -89,6 +89,31 @@ def share_within(df: DataFrame, group: Iterable[str], value: str = "count", out:
               .drop("_group_total"))
 
 
+def dense_shares(agg: DataFrame, by: list[str], row: str, col: str, value: str = "count",
+                 out: str = "percentage", digits: int = 2) -> DataFrame:
+    """J6 + A10 in one pass over an aggregate: every ``row`` x every ``col`` seen in its ``by``
+    group, zero-filled, with ``value`` as a share of the row's total.
+
+    ``agg`` has one row per (by, row, col) — ``col`` null for a row key with no
+    category (it still gets a full row of zeros). The category set of a group
+    comes from a window over the aggregate (one exchange on ``by``), each row
+    key's counts become a map, and the grid is an explode of the category
+    array against that map: no self-join, so the source is scanned once.
+    Group sizes are bounded by rows x categories of one ``by`` key.
+    """
+    w = Window.partitionBy(*by)
+    with_cats = agg.withColumn("_cats", F.array_sort(F.collect_set(col).over(w)))
+    per_row = (with_cats.groupBy(*by, row)
+               .agg(F.first("_cats").alias("_cats"),
+                    F.map_from_entries(F.collect_list(F.when(F.col(col).isNotNull(),
+                                                             F.struct(F.col(col), F.col(value))))).alias("_m")))
+    total = F.aggregate(F.map_values("_m"), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    exploded = per_row.select(*by, row, F.explode("_cats").alias(col), "_m", total.alias("_t"))
+    cnt = F.coalesce(F.try_element_at(F.col("_m"), F.col(col)), F.lit(0)).cast("long")
+    return exploded.select(*by, row, col, cnt.alias(value),
+                           X.round_half_even(X.percent_of(cnt, F.col("_t")), digits).alias(out))
+
+
 def with_national(df: DataFrame, keys: Iterable[str], state: str = "state", value: str = "count",
                   out: str = "cases", national: str = "National") -> DataFrame:
     """Per-state detail plus a national row per key, in one aggregate (GROUPING SETS).

@@ -91,6 +91,9 @@ def _merged_conditional(facts: DataFrame, priority: list[str], key: str) -> Data
         else:
             src_expr, cnt_expr, name_expr = (src_expr.when(has, F.lit(src)), cnt_expr.when(has, F.col(f"_s{i}")),
                                              name_expr.when(has, name_i))
+    # with key disease_name the name is the grouping column itself, so a filter on it
+    # is pushed through the aggregate down to the scan
+    name_out = F.col("disease_name") if key == "disease_name" else name_expr
     return g.where(src_expr.isNotNull()).select(
-        name_expr.alias("disease_name"), "disease_slug", "state", "month",
+        name_out.alias("disease_name"), "disease_slug", "state", "month",
         src_expr.alias("data_source"), cnt_expr.cast("long").alias("count"))

@@ -127,9 +127,8 @@ def disease_stats(facts: DataFrame, merged: DataFrame, disease: str | None = Non
     base = FL.for_disease(merged, name=disease) if not source else raw
     totals = base.groupBy("disease_name").agg(X.zero_if_null(F.sum("count")).alias("total_cases"),
                                               F.count_distinct("state").alias("affected_states"))
-    names = per_end.select("disease_name").distinct()
-    out = (names.join(totals, "disease_name", "left").join(counties, "disease_name", "left")
-                .join(two_week, "disease_name", "left"))
+    # every disease in scope has its latest-end row, so two_week lists them all
+    out = two_week.join(totals, "disease_name", "left").join(counties, "disease_name", "left")
     return out.select(
         "disease_name",
         X.zero_if_null("total_cases").alias("total_cases"),
@@ -154,11 +153,7 @@ def age_distribution(facts: DataFrame, disease: str | None = None, source: str |
     agg = (scope.groupBy("disease_name", "state",
                          F.when(valid_age, F.col("age_group")).alias("age_group"))
                 .agg(X.zero_if_null(F.sum("count")).alias("count")))
-    state_list = agg.select("disease_name", "state").distinct()
-    with_age = agg.where(F.col("age_group").isNotNull())
-    groups = with_age.select("disease_name", "age_group").distinct()
-    dense = J.densify(state_list, groups, with_age, ["state"], ["age_group"], "count", by=["disease_name"])
-    return A.share_within(dense, ["disease_name", "state"], "count", "percentage")
+    return A.dense_shares(agg, ["disease_name"], "state", "age_group", "count", "percentage")
 
 
 def subtype_distribution(facts: DataFrame, disease: str | None = None, source: str | None = None) -> DataFrame:
@@ -172,11 +167,9 @@ def subtype_distribution(facts: DataFrame, disease: str | None = None, source: s
     agg = (scope.groupBy("disease_slug", "state_slug", "disease_subtype_slug")
                 .agg(X.zero_if_null(F.sum("count")).alias("count"), F.max("state").alias("_state")))
     labels = agg.groupBy("disease_slug", "state_slug").agg(F.max("_state").alias("state"))
-    subtypes = agg.select("disease_slug", "disease_subtype_slug").distinct()
-    dense = J.densify(labels, subtypes, agg.drop("_state"), ["state_slug"], ["disease_subtype_slug"],
-                      "count", by=["disease_slug"])
-    shares = A.share_within(dense, ["disease_slug", "state_slug"], "count", "percentage")
-    return shares.select("disease_slug", "state", "disease_subtype_slug", "count", "percentage")
+    shares = A.dense_shares(agg.drop("_state"), ["disease_slug"], "state_slug", "disease_subtype_slug")
+    return (shares.join(labels, ["disease_slug", "state_slug"], "inner")
+                  .select("disease_slug", "state", "disease_subtype_slug", "count", "percentage"))
 
 
 # ------------------------------------------------------------------ map totals
