@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The feeds are loaded in batch: the source system has no stream source,
+watermark, event-time window or stateful operator, so there is nothing to
+re-express with Structured Streaming. Calendar buckets (A6) and the trailing
+window (F9) are batch operators in ``caseflow.operators``.
+"""
