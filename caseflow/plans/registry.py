@@ -19,11 +19,12 @@ from caseflow.operators import conform as C
 from caseflow.operators import filters as FL
 from caseflow.operators import windows as W
 from caseflow.operators.merge import merged_monthly, monthly_by_source
-from caseflow.operators.schema import integrity_report
+from caseflow.operators import joins as J
+from caseflow.operators.schema import integrity_report, validate
 from caseflow.plans import analytics as AN
 from caseflow.plans import oracle as O
 from caseflow.plans import queries as Q
-from caseflow.plans.catalog import build_name_mapping, facts_table
+from caseflow.plans.catalog import build_name_mapping, facts_table, load_all, register_views, to_json_rows
 from caseflow.plans.facts import TABLE_SOURCES
 from caseflow.plans.sql import query as guarded_query
 from caseflow.session import scratch_path
@@ -341,6 +342,99 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
             .alias("pct")),
         "SELECT o_orderkey, round_even((o_orderkey % 199) / ((o_orderkey % 199) + (o_custkey % 199) + 1) * 100, 2) "
         "AS pct FROM orders")
+    # --- conform steps (P) over the raw feeds derived from the tables
+    def weekly_raw(s, d):
+        return TB.weekly_feed_raw(s, d)
+
+    e["p8_parse_labels"] = (
+        lambda s, d: C.parse_labels(weekly_raw(s, d).select(F.col("Label")).distinct(), "Label", "base", "subtype"),
+        O.facts_ctes() + '\nSELECT DISTINCT "Label", base, subtype FROM weekly_p3')
+    e["p9_p10_geo_codes"] = (
+        lambda s, d: weekly_raw(s, d).select(F.col("Reporting Area").alias("area"), F.col("LOCATION2").alias("loc2"))
+        .distinct().withColumn("geo_unit", C.classify_geo(F.col("area")))
+        .withColumn("state", C.code_states(F.col("area"), F.col("geo_unit"), F.col("loc2"))),
+        O.facts_ctes() + '\nSELECT DISTINCT "Reporting Area" AS area, "LOCATION2" AS loc2, geo_unit, '
+                         'state_code AS state FROM weekly_p3')
+    e["p11_mmwr_periods"] = (
+        lambda s, d: C.mmwr_periods(W.distinct_weeks(weekly_raw(s, d).select(
+            F.col("Current MMWR Year").cast("int").alias("year"), F.col("MMWR WEEK").cast("int").alias("week")),
+            "year", "week"), "year", "week"),
+        O.facts_ctes() + "\nSELECT DISTINCT yr AS year, wk AS week, CAST(week1 + (wk - 1) * 7 AS TIMESTAMP) "
+                         "AS report_period_start, CAST(week1 + (wk - 1) * 7 + 6 AS TIMESTAMP) AS report_period_end "
+                         "FROM weekly_p3 WHERE yr IS NOT NULL AND wk IS NOT NULL")
+    e["p12_clean_counts"] = (
+        lambda s, d: weekly_raw(s, d).select(F.col("Current week").alias("text")).distinct()
+        .withColumn("count", C.clean_counts_col(F.col("text"))),
+        O.facts_ctes() + '\nSELECT DISTINCT "Current week" AS text, cnt AS count FROM weekly_p3')
+    e["p6_p7_state_feed_values"] = (
+        lambda s, d: C.normalize_subtype(C.null_placeholders(C.null_na_tokens(
+            TB.state_feed_raw(s, d).select("disease_subtype", "age_group", "confirmation_status").distinct()),
+            ["age_group", "confirmation_status"])).distinct(),
+        O.facts_ctes() + "\nSELECT DISTINCT subtype_n AS disease_subtype, age_n AS age_group, "
+                         "status_n AS confirmation_status FROM tracker_sub")
+    e["j1_attach_weeks"] = (
+        lambda s, d: _attach_weeks_job(weekly_raw(s, d)),
+        O.facts_ctes() + "\nSELECT CAST(week1 + (wk - 1) * 7 AS TIMESTAMP) AS report_period_start, "
+                         "count(*) AS line_rows FROM weekly_p3 GROUP BY 1")
+    e["j2_lookup_state_codes"] = (
+        lambda s, d: J.lookup(weekly_raw(s, d).select(F.upper("Reporting Area").alias("area_u")).distinct(),
+                              dims.state_codes_df(s), "area_u", "state_name_upper", "code", "state_code",
+                              fallback="area_u"),
+        O.facts_ctes() + f"""\nSELECT area_u, COALESCE({O.map_case('area_u', dims.STATE_CODES)}, area_u) AS code
+                 FROM (SELECT DISTINCT upper("Reporting Area") AS area_u FROM weekly_raw)""")
+    e["j3_inner_fips_join"] = (
+        lambda s, d: J.with_fips_join(A.sum_cases(merged(s, d), "disease_name", "state", out="cases")),
+        _sql(f"""SELECT disease_name, state, fips, cases FROM
+                   (SELECT disease_name, state, {FIPS_CASE} AS fips, {SUM0} AS cases FROM merged GROUP BY 1, 2)
+                 WHERE fips IS NOT NULL""", True))
+
+    # --- aggregates, windows and load steps not covered by a composite
+    e["a2_count_records"] = (lambda s, d: A.count_records(facts(s, d), "disease_name", "data_source"),
+                             _sql("SELECT disease_name, data_source, count(*) AS records FROM facts GROUP BY 1, 2"))
+    e["a3_count_distinct"] = (
+        lambda s, d: A.count_distinct(facts(s, d), ["state", "geo_name"], by=["disease_name"]),
+        _sql("SELECT disease_name, count(DISTINCT state) AS distinct_state, count(DISTINCT geo_name) AS "
+             "distinct_geo_name FROM facts GROUP BY 1"))
+    e["a3_count_distinct_approx"] = (
+        lambda s, d: A.count_distinct(facts(s, d), ["state", "geo_name"], by=["disease_name"], approx=True), None)
+    e["a4_date_span"] = (lambda s, d: A.date_span(facts(s, d), by=["data_source"]),
+                         _sql("SELECT data_source, min(report_period_start) AS earliest_date, "
+                              "max(report_period_end) AS latest_date FROM facts GROUP BY 1"))
+    e["a13_extent"] = (
+        lambda s, d: A.extent(Q.national_timeseries(facts(s, d)), "period", by=["disease_name"]),
+        _sql("SELECT disease_name, min(date_trunc('month', report_period_start)) AS min, "
+             "max(date_trunc('month', report_period_start)) AS max FROM facts GROUP BY 1"))
+    e["a15_aggregate"] = (
+        lambda s, d: A.aggregate(facts(s, d), ["data_source"], {"count": ["count", "sum", "avg", "min", "max"]}),
+        _sql("SELECT data_source, count(count) AS count_count, CAST(sum(count) AS BIGINT) AS sum_count, "
+             "avg(count) AS avg_count, min(count) AS min_count, max(count) AS max_count FROM facts GROUP BY 1"))
+    e["w2_with_group_total"] = (
+        lambda s, d: W.with_group_total(merged(s, d), ["disease_name", "state"], "count", "group_total"),
+        _sql("SELECT *, CAST(SUM(count) OVER (PARTITION BY disease_name, state) AS BIGINT) AS group_total "
+             "FROM merged", True))
+    e["o6_collect_series"] = (
+        lambda s, d: W.collect_series(Q.state_timeseries(facts(s, d)).where("level = 'state'"),
+                                      ["disease_name", "state"], "period", "cases"), None)
+    e["k4_validate_state_feed"] = (
+        lambda s, d: validate(C.load_state_feed(TB.state_feed_raw(s, d))),
+        O.facts_ctes() + '\nSELECT \'x\' AS "check", \'x\' AS "column", CAST(0 AS BIGINT) AS n_bad '
+                         'FROM tracker_facts WHERE false')
+    e["k5_load_all"] = (
+        lambda s, d: load_all(s, {"tracker": lambda sp: C.load_state_feed(TB.state_feed_raw(sp, d)),
+                                  "nndss": lambda sp: C.load_weekly_feed(TB.weekly_feed_raw(sp, d))})[0],
+        O.facts_ctes() + "\nSELECT * FROM facts")
+    e["k6_fact_table"] = (lambda s, d: facts(s, d), _sql("SELECT * FROM facts"))
+    e["k9_register_views"] = (
+        lambda s, d: _views_query(s, d),
+        _sql("SELECT m.disease_name, count(*) AS months, CAST(SUM(count) AS BIGINT) AS cases FROM merged m "
+             "WHERE m.disease_slug IN (SELECT disease_slug FROM facts) GROUP BY 1", True))
+    e["k11_to_json_rows"] = (lambda s, d: to_json_rows(Q.national_timeseries(facts(s, d))), None)
+    e["f13_drop_bad_periods"] = (
+        lambda s, d: FL.drop_bad_periods(TB.state_feed_raw(s, d), "report_period_start")
+        .agg(F.count(F.lit(1)).alias("rows")),
+        O.facts_ctes() + "\nSELECT count(*) AS rows FROM tracker_raw "
+                         "WHERE TRY_STRPTIME(report_period_start, '%Y-%m-%d') IS NOT NULL")
+
     # --- file sources (S): the state feed written as CSV files, then discovered, chosen and read back
     e["s1_discover_files"] = (lambda s, d: FS.discover_files(s, f"{state_feed_root(s, d)}/data/states"), None)
     e["s2_latest_file_per_group"] = (
@@ -350,6 +444,22 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
     return e
 
 
+def _attach_weeks_job(raw: DataFrame) -> DataFrame:
+    """Week dates computed once per distinct (year, week), joined back onto the line rows."""
+    rows = raw.select(F.col("Current MMWR Year").try_cast("int").alias("year"),
+                      F.col("MMWR WEEK").try_cast("int").alias("week"))
+    weeks = C.mmwr_periods(W.distinct_weeks(rows, "year", "week"), "year", "week")
+    return (J.attach_weeks(rows, weeks, ["year", "week"])
+             .groupBy("report_period_start").agg(F.count(F.lit(1)).alias("line_rows")))
+
+
+def _views_query(spark: SparkSession, sf: str) -> DataFrame:
+    """K9: register the views, then query them by name with Spark SQL."""
+    register_views(facts(spark, sf), merged(spark, sf))
+    return spark.sql("SELECT m.disease_name, count(*) AS months, SUM(count) AS cases FROM disease_data_merged m "
+                     "WHERE m.disease_slug IN (SELECT disease_slug FROM disease_name_mapping) GROUP BY 1")
+
+
 _FEED_ROOTS: dict[tuple[str, str], str] = {}
 
 
