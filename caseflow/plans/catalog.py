@@ -136,6 +136,7 @@ def to_json_rows(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ registry fact table
 _BUILT: dict[tuple[str, str], tuple[str, list[str]]] = {}
+_FRAMES: dict[tuple[str, str], DataFrame] = {}
 
 
 def facts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,4 +160,6 @@ def facts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                 log.error("source %s rejected: %d rows with nulls in required columns", src, n_bad)
         _BUILT[key] = (path, sorted(s for s, n in report.items() if n == 0))
     path, keep = _BUILT[key]
-    return read_facts(spark, path).where(F.col("data_source").isin(keep))
+    if key not in _FRAMES:  # a DataFrame is an immutable plan: list the files once, reuse it
+        _FRAMES[key] = read_facts(spark, path).where(F.col("data_source").isin(keep))
+    return _FRAMES[key]

@@ -38,10 +38,16 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts_table(spark, sf)
 
 
+_MERGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def merged(spark: SparkSession, sf: str, plan: str = "conditional") -> DataFrame:
     # the registry's fact table holds exactly TABLE_SOURCES, all listed in the priority
     assert set(TABLE_SOURCES) <= set(dims.DEFAULT_PRIORITY)
-    return merged_monthly(facts(spark, sf), dims.DEFAULT_PRIORITY, plan=plan)
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), plan)
+    if key not in _MERGED:
+        _MERGED[key] = merged_monthly(facts(spark, sf), dims.DEFAULT_PRIORITY, plan=plan)
+    return _MERGED[key]
 
 
 # ------------------------------------------------------------------ parameters
