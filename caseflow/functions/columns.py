@@ -57,11 +57,12 @@ def url_slug(c: ColumnOrName) -> Column:
 def truncate_period(ts: ColumnOrName, granularity: str = "month", strict: bool = False) -> Column:
     """X3 DATE_TRUNC to 'month' or 'week' (Monday); other values fall back to month.
 
-    Spark's date_trunc returns a zoned timestamp, so the result is cast back
-    to timestamp_ntz to keep the fact table's type.
+    Truncates the calendar date (``trunc``) and returns timestamp_ntz, so the
+    result never depends on the session time zone (``date_trunc`` would go
+    through a zoned timestamp).
     """
     g = check_granularity(granularity, strict)
-    return F.date_trunc(g, _c(ts)).cast("timestamp_ntz")
+    return F.trunc(F.to_date(_c(ts)), g).cast("timestamp_ntz")
 
 
 def check_granularity(granularity: str, strict: bool = False) -> str:

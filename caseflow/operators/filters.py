@@ -68,12 +68,13 @@ def month_scan_bounds(facts: DataFrame, start=None, end=None) -> DataFrame:
     """
     if start:
         s = _ntz(start)
-        first = F.when(F.date_trunc("month", s).cast("timestamp_ntz") == s, s).otherwise(
-            F.add_months(F.trunc(s, "month"), 1).cast("timestamp_ntz"))
+        first = F.when(F.trunc(F.to_date(s), "month").cast("timestamp_ntz") == s, s).otherwise(
+            F.add_months(F.trunc(F.to_date(s), "month"), 1).cast("timestamp_ntz"))
         facts = facts.where(F.col("report_period_start") >= first)
     if end:
         e = _ntz(end)
-        facts = facts.where(F.col("report_period_start") < F.add_months(F.trunc(e, "month"), 1).cast("timestamp_ntz"))
+        facts = facts.where(F.col("report_period_start")
+                            < F.add_months(F.trunc(F.to_date(e), "month"), 1).cast("timestamp_ntz"))
     return facts
 
 
