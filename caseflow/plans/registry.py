@@ -421,6 +421,25 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
     e["o6_collect_series"] = (
         lambda s, d: W.collect_series(Q.state_timeseries(facts(s, d)).where("level = 'state'"),
                                       ["disease_name", "state"], "period", "cases"), None)
+    e["a10_share_within"] = (
+        lambda s, d: A.share_within(A.sum_cases(merged(s, d), "disease_name", "state", out="cases"),
+                                    ["disease_name"], "cases", "percentage"),
+        _sql("""SELECT t.disease_name, t.state, CAST(t.cases AS BIGINT) AS cases,
+                  CASE WHEN g.total > 0 THEN round_even(t.cases / g.total * 100, 2) ELSE 0.0 END AS percentage
+                FROM (SELECT disease_name, state, COALESCE(SUM(count), 0) AS cases FROM merged GROUP BY 1, 2) t
+                JOIN (SELECT disease_name, SUM(count) AS total FROM merged GROUP BY 1) g
+                  ON t.disease_name = g.disease_name""", True))
+    e["j6_densify_sources"] = (
+        lambda s, d: _densify_sources(facts(s, d)),
+        _sql(f"""SELECT st.disease_name, st.state, src.data_source, COALESCE(c.records, 0) AS records
+                 FROM (SELECT DISTINCT disease_name, state FROM facts) st
+                 JOIN (SELECT DISTINCT disease_name, data_source FROM facts) src ON st.disease_name = src.disease_name
+                 LEFT JOIN (SELECT disease_name, state, data_source, count(*) AS records FROM facts GROUP BY 1, 2, 3) c
+                   ON c.disease_name = st.disease_name AND c.state = st.state AND c.data_source = src.data_source"""))
+    e["w1_pick_by_priority"] = (
+        lambda s, d: W.pick_by_priority(monthly_by_source(facts(s, d)), ["disease_name", "state", "month"],
+                                        "data_source", dims.DEFAULT_PRIORITY),
+        _sql("SELECT * FROM merged", True))
     e["k4_validate_state_feed"] = (
         lambda s, d: validate(C.load_state_feed(TB.state_feed_raw(s, d))),
         O.facts_ctes() + '\nSELECT \'x\' AS "check", \'x\' AS "column", CAST(0 AS BIGINT) AS n_bad '
@@ -459,6 +478,18 @@ def _attach_weeks_job(raw: DataFrame) -> DataFrame:
              .groupBy("report_period_start").agg(F.count(F.lit(1)).alias("line_rows")))
 
 
+def _densify_sources(facts: DataFrame) -> DataFrame:
+    """J6 join form: every (disease, state) x every source of the disease, zero-filled record counts.
+
+    Both sides of the grid are per-disease distinct lists (small); the counts
+    are one aggregate; the grid join is keyed by disease.
+    """
+    counts = A.count_records(facts, "disease_name", "state", "data_source")
+    states = facts.select("disease_name", "state").distinct()
+    sources = facts.select("disease_name", "data_source").distinct()
+    return J.densify(states, sources, counts, ["state"], ["data_source"], "records", by=["disease_name"])
+
+
 def _views_query(spark: SparkSession, sf: str) -> DataFrame:
     """K9: register the views, then query them by name with Spark SQL."""
     register_views(facts(spark, sf), merged(spark, sf))
