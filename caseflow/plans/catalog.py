@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from caseflow.operators.schema import FACT_COLUMNS, FACT_SCHEMA, REQUIRED_NON_NULL, conform, validate
-from caseflow.session import scratch_path
+from caseflow.session import LOAD_CONF, scratch_path, session_conf
 
 log = logging.getLogger(__name__)
 
@@ -153,7 +153,8 @@ def facts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _BUILT:
         path = scratch_path(spark, "facts")
-        written = write_facts(facts_from_tables(spark, sf_dir, gate=False), path)
+        with session_conf(spark, LOAD_CONF):
+            written = write_facts(facts_from_tables(spark, sf_dir, gate=False), path)
         report = valid_sources(written)
         for src, n_bad in sorted(report.items()):
             if n_bad:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -69,3 +71,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/caseflow-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# SQL confs the heavy load job wants even in a session someone else configured.
+LOAD_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+@contextmanager
+def session_conf(spark: SparkSession, conf: Mapping[str, str]) -> Iterator[None]:
+    """Set runtime SQL confs for the duration of a block, then restore the caller's values."""
+    saved = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
