@@ -100,6 +100,7 @@ def conform_state_feed(raw: DataFrame) -> DataFrame:
     Two projections: values first, then slugs of those values, so no regex
     chain is evaluated twice per row.
     """
+    mirrored = "reporting_jurisdiction" not in raw.columns and "state" in raw.columns
     df = mirror_jurisdiction(raw)
     cols = set(df.columns)
 
@@ -128,9 +129,13 @@ def conform_state_feed(raw: DataFrame) -> DataFrame:
         count.cast("long").alias("count"),
         F.col("disease_name").alias("original_disease_name"),
     )
-    return add_slug_columns(normalize_subtype(values),
-                            ["disease_name", "disease_subtype", "reporting_jurisdiction",
-                             "state", "geo_name", "geo_unit", "age_group"])
+    slugged = ["disease_name", "disease_subtype", "state", "geo_name", "geo_unit", "age_group"]
+    if not mirrored:
+        slugged.append("reporting_jurisdiction")
+    out = add_slug_columns(normalize_subtype(values), slugged)
+    if mirrored:  # the jurisdiction is a copy of the state: reuse its slug
+        out = out.withColumn("reporting_jurisdiction_slug", F.col("state_slug"))
+    return out
 
 
 # ------------------------------------------------------------------ P8-P13: weekly feed
@@ -269,7 +274,11 @@ def conform_weekly_feed(raw: DataFrame, standard: str = "compat", strict_counts:
         F.lit("cases").alias("outcome"),
         "count", "original_disease_name",
     )
-    return add_slug_columns(s4, ["disease_subtype", "reporting_jurisdiction", "state", "geo_unit", "age_group"])
+    # jurisdiction is the state code here, and geo_unit is one of three values that
+    # are already slugs, so those two slug columns need no regex work of their own
+    out = add_slug_columns(s4, ["disease_subtype", "state", "age_group"])
+    return out.withColumns({"reporting_jurisdiction_slug": F.col("state_slug"),
+                            "geo_unit_slug": F.col("geo_unit")})
 
 
 # ------------------------------------------------------------------ F1 / F2

@@ -40,7 +40,7 @@ def load_all(spark: SparkSession, loaders: Mapping[str, Callable[[SparkSession],
         try:
             df = conform(loaders[name](spark))
             bad = validate(df).collect()  # at most one row per schema column
-        except (AnalysisException, ValueError) as exc:
+        except (AnalysisException, ValueError) as exc:  # a bad or absent feed is skipped
             if strict:
                 raise
             log.error("loading %s failed: %s", name, exc)
@@ -164,3 +164,42 @@ def facts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _FRAMES:  # a DataFrame is an immutable plan: list the files once, reuse it
         _FRAMES[key] = read_facts(spark, path).where(F.col("data_source").isin(keep))
     return _FRAMES[key]
+
+
+# ------------------------------------------------------------------ production load
+def build_fact_table(spark: SparkSession, path: str, state_feed_root: str | None = None,
+                     weekly_feed_root: str | None = None, strict: bool = False,
+                     priority: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Load the CSV feeds, write the fact table at ``path`` and register the views.
+
+    The batch counterpart of the feeds' startup load: each given feed root is
+    read (newest uploads), conformed and validated (an invalid source is
+    skipped and reported unless ``strict``); the valid sources are written
+    once; ``disease_data``, ``disease_data_merged`` and
+    ``disease_name_mapping`` are registered over the written table.
+    Returns ``(facts, merged, report)``.
+    """
+    from caseflow.functions import dims
+    from caseflow.operators.conform import load_state_feed, load_weekly_feed
+    from caseflow.operators.merge import merged_monthly
+    from caseflow.sources.files import read_state_feed, read_weekly_feed
+
+    def need(df: DataFrame | None, what: str) -> DataFrame:
+        if df is None:
+            raise ValueError(f"no {what} files found")
+        return df
+
+    loaders: dict[str, Callable[[SparkSession], DataFrame]] = {}
+    if state_feed_root:
+        loaders["tracker"] = lambda s: load_state_feed(need(read_state_feed(s, state_feed_root), "state feed"))
+    if weekly_feed_root:
+        loaders["nndss"] = lambda s: load_weekly_feed(need(read_weekly_feed(s, weekly_feed_root), "weekly feed"))
+    facts, report = load_all(spark, loaders, strict=strict)
+    with session_conf(spark, LOAD_CONF):
+        written = write_facts(facts, path)
+    order = priority or dims.DEFAULT_PRIORITY
+    sources = {r["data_source"] for r in written.select("data_source").distinct().collect()}  # <= #feeds
+    plan = "conditional" if sources <= set(order) else "window"
+    merged = merged_monthly(written, order, plan=plan)
+    register_views(written, merged)
+    return written, merged, report

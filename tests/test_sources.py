@@ -71,3 +71,14 @@ def test_mixed_jurisdiction_columns_reject_source(spark, feed_root):
         FS.read_state_feed(s, f"{feed_root}/mixed"))})
     assert report.first()["status"] == "invalid"
     assert facts.count() == 0
+
+
+def test_build_fact_table_end_to_end(spark, feed_root, tmp_path):
+    from caseflow.plans.catalog import build_fact_table
+    facts, merged, report = build_fact_table(spark, str(tmp_path / "facts"), f"{feed_root}/state",
+                                             f"{feed_root}/weekly")
+    assert {r["source"]: r["status"] for r in report.collect()} == {"nndss": "loaded", "tracker": "loaded"}
+    assert facts.count() == 13 and merged.count() == 7
+    got = spark.sql("SELECT disease_name, SUM(count) AS c FROM disease_data_merged GROUP BY 1 ORDER BY 1").collect()
+    assert [(r["disease_name"], r["c"]) for r in got] == [("measles", 1274), ("meningococcus", 13)]
+    assert spark.sql("SELECT count(*) AS n FROM disease_name_mapping").first()["n"] == 4
