@@ -464,6 +464,8 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
     e["s1_discover_files"] = (lambda s, d: FS.discover_files(s, f"{state_feed_root(s, d)}/data/states"), None)
     e["s2_latest_file_per_group"] = (
         lambda s, d: FS.latest_file_per_group(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states")), None)
+    e["s3_latest_file"] = (
+        lambda s, d: FS.latest_file(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states")), None)
     e["s4_read_state_feed"] = (lambda s, d: C.load_state_feed(FS.read_state_feed(s, state_feed_root(s, d))),
                                O.facts_ctes() + "\nSELECT * FROM tracker_facts")
     return e

@@ -32,6 +32,13 @@ def test_url_slug(spark):
         "carbapenemase-producing-organisms-cpo-total"
 
 
+def test_url_slug_normalizes_decomposed_accents(spark):
+    import unicodedata
+    decomposed = unicodedata.normalize("NFD", "Café Ñandú")
+    assert one(spark, X.url_slug("v"), decomposed) == one(spark, X.url_slug("v"), "Café Ñandú") == "caf-and"
+    assert one(spark, X.url_slug("v", normalize=False), decomposed) == "cafe-n-andu"
+
+
 def test_title_from_slug_matches_python_title(spark):
     for s in ["h1n1-influenza", "covid-19", "west-nile-virus", "e-coli"]:
         assert one(spark, X.title_from_slug("v"), s) == s.replace("-", " ").title()
