@@ -154,7 +154,7 @@ def quantile_bin(c: ColumnOrName, breaks: Column) -> Column:
     Null (no data) and zero values give a null bin.
     """
     hits = F.aggregate(breaks, F.lit(0), lambda acc, t: acc + F.when(_c(c) >= t, 1).otherwise(0))
-    return F.when(_c(c).isNull() | (_c(c) <= 0), F.lit(None).cast("int")).otherwise(hits)
+    return F.when(_c(c).isNull() | (_c(c) <= 0), F.lit(None).cast("long")).otherwise(hits.cast("long"))
 
 
 def zero_if_null(c: ColumnOrName) -> Column:

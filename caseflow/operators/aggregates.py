@@ -67,30 +67,36 @@ def with_extent(df: DataFrame, col: str, by: Iterable[str] = (), lo: str = "min_
                 hi: str = "max_cases") -> DataFrame:
     """Group min and max of ``col`` next to every row.
 
-    Computed as a per-group aggregate joined back (one row when ungrouped,
-    broadcast), not as an unpartitioned window that would pull all rows into
-    one task.
+    Meant for aggregated rows (one per state of a disease): grouped, it is a
+    window partitioned by the group, so the input is computed once and no
+    group is larger than its aggregate; ungrouped, a one-row aggregate is
+    broadcast next to the rows (never an unpartitioned window).
     """
     by = list(by)
-    ext = df.groupBy(*by).agg(F.min(col).alias(lo), F.max(col).alias(hi))
-    return df.crossJoin(F.broadcast(ext)) if not by else df.join(ext, by, "left")
+    if by:
+        w = Window.partitionBy(*by)
+        return df.withColumns({lo: F.min(col).over(w), hi: F.max(col).over(w)})
+    ext = df.agg(F.min(col).alias(lo), F.max(col).alias(hi))
+    return df.crossJoin(F.broadcast(ext))
 
 
 def share_within(df: DataFrame, group: Iterable[str], value: str = "count", out: str = "percentage",
                  digits: int = 2) -> DataFrame:
     """A10: value / group total * 100, half-even rounded; 0 when the group total is 0.
 
-    The group total is a per-group aggregate joined back (W2 as a join).
+    Meant for aggregated rows: the group total is a window partitioned by the
+    group (W2), so the input is computed once.
     """
     group = list(group)
-    totals = df.groupBy(*group).agg(F.sum(value).alias("_group_total"))
-    return (df.join(totals, group, "left")
+    total = F.sum(value).over(Window.partitionBy(*group))
+    return (df.withColumn("_group_total", total)
               .withColumn(out, X.round_half_even(X.percent_of(F.col(value), F.col("_group_total")), digits))
               .drop("_group_total"))
 
 
 def dense_shares(agg: DataFrame, by: list[str], row: str, col: str, value: str = "count",
-                 out: str = "percentage", digits: int = 2) -> DataFrame:
+                 out: str = "percentage", digits: int = 2,
+                 row_aggs: Mapping[str, Column] | None = None) -> DataFrame:
     """J6 + A10 in one pass over an aggregate: every ``row`` x every ``col`` seen in its ``by``
     group, zero-filled, with ``value`` as a share of the row's total.
 
@@ -103,14 +109,16 @@ def dense_shares(agg: DataFrame, by: list[str], row: str, col: str, value: str =
     """
     w = Window.partitionBy(*by)
     with_cats = agg.withColumn("_cats", F.array_sort(F.collect_set(col).over(w)))
+    extra = dict(row_aggs or {})
     per_row = (with_cats.groupBy(*by, row)
                .agg(F.first("_cats").alias("_cats"),
                     F.map_from_entries(F.collect_list(F.when(F.col(col).isNotNull(),
-                                                             F.struct(F.col(col), F.col(value))))).alias("_m")))
+                                                             F.struct(F.col(col), F.col(value))))).alias("_m"),
+                    *[e.alias(k) for k, e in extra.items()]))
     total = F.aggregate(F.map_values("_m"), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    exploded = per_row.select(*by, row, F.explode("_cats").alias(col), "_m", total.alias("_t"))
+    exploded = per_row.select(*by, row, *extra, F.explode("_cats").alias(col), "_m", total.alias("_t"))
     cnt = F.coalesce(F.try_element_at(F.col("_m"), F.col(col)), F.lit(0)).cast("long")
-    return exploded.select(*by, row, col, cnt.alias(value),
+    return exploded.select(*by, row, *extra, col, cnt.alias(value),
                            X.round_half_even(X.percent_of(cnt, F.col("_t")), digits).alias(out))
 
 

@@ -57,7 +57,7 @@ def rank_states(df: DataFrame, by: Iterable[str] = (), state: str = "state", tot
     """Rank by total descending with ``pin`` first; ties by state name."""
     w = Window.partitionBy(*by).orderBy(F.when(F.col(state) == pin, 0).otherwise(1),
                                         F.col(total).desc(), F.col(state))
-    return df.withColumn(out, F.row_number().over(w))
+    return df.withColumn(out, F.row_number().over(w).cast("long"))
 
 
 def collect_series(df: DataFrame, group: Sequence[str], order: str = "period", value: str = "cases",

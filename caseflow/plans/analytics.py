@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import columns as X
@@ -38,9 +38,13 @@ def choropleth_bins(state_totals: DataFrame, k: int = 5, by: Iterable[str] = ("d
     group (linear interpolation); class = number of thresholds <= value.
     """
     by = list(by)
-    breaks = A.quantile_breaks(state_totals, cases, k, by)
-    joined = state_totals.join(breaks, by, "left") if by else state_totals.crossJoin(F.broadcast(breaks))
-    return joined.select(*by, "state", cases, X.quantile_bin(F.col(cases), F.col("breaks")).alias("bin"))
+    if by:  # a window over the per-state rows of each group: computed once, groups hold <= one row per state
+        probs = F.array(*[F.lit(i / k) for i in range(1, k)])
+        positive = F.when(F.col(cases) > 0, F.col(cases).cast("double"))
+        with_breaks = state_totals.withColumn("breaks", F.percentile(positive, probs).over(Window.partitionBy(*by)))
+    else:
+        with_breaks = state_totals.crossJoin(F.broadcast(A.quantile_breaks(state_totals, cases, k).select("breaks")))
+    return with_breaks.select(*by, "state", cases, X.quantile_bin(F.col(cases), F.col("breaks")).alias("bin"))
 
 
 def legend_breaks(state_totals: DataFrame, k: int = 5, by: Iterable[str] = ("disease_name",),
@@ -50,7 +54,8 @@ def legend_breaks(state_totals: DataFrame, k: int = 5, by: Iterable[str] = ("dis
     b = A.quantile_breaks(state_totals, cases, k, by)
     edges = F.concat(F.array(F.col("lo")), F.col("breaks"), F.array(F.col("hi")))
     return (b.select(*by, F.posexplode(F.slice(edges, 1, k)).alias("i", "lower"), edges.alias("_e"))
-             .select(*by, "i", "lower", F.element_at("_e", F.col("i") + 2).alias("upper")))
+             .select(*by, F.col("i").cast("long").alias("i"), "lower",
+                     F.element_at("_e", F.col("i") + 2).alias("upper")))
 
 
 def stacked_shares(distribution: DataFrame, group: Iterable[str] = ("disease_name", "state"),

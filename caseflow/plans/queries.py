@@ -166,10 +166,9 @@ def subtype_distribution(facts: DataFrame, disease: str | None = None, source: s
     scope = FL.with_subtype(scope)
     agg = (scope.groupBy("disease_slug", "state_slug", "disease_subtype_slug")
                 .agg(X.zero_if_null(F.sum("count")).alias("count"), F.max("state").alias("_state")))
-    labels = agg.groupBy("disease_slug", "state_slug").agg(F.max("_state").alias("state"))
-    shares = A.dense_shares(agg.drop("_state"), ["disease_slug"], "state_slug", "disease_subtype_slug")
-    return (shares.join(labels, ["disease_slug", "state_slug"], "inner")
-                  .select("disease_slug", "state", "disease_subtype_slug", "count", "percentage"))
+    shares = A.dense_shares(agg, ["disease_slug"], "state_slug", "disease_subtype_slug",
+                            row_aggs={"state": F.max("_state")})
+    return shares.select("disease_slug", "state", "disease_subtype_slug", "count", "percentage")
 
 
 # ------------------------------------------------------------------ map totals
@@ -217,7 +216,7 @@ def disease_cards(facts: DataFrame, merged: DataFrame, source: str | None = "tra
 def state_selector(facts: DataFrame, merged: DataFrame, disease: str | None = None) -> DataFrame:
     """Q18: (disease_name, state, total, position): mapped state totals plus 'National'
     (their sum), ranked by total with National pinned first."""
-    st = state_totals(facts, merged, disease).select("disease_name", "state", F.col("cases").alias("total"))
-    national = st.groupBy("disease_name").agg(F.sum("total").alias("total")).withColumn("state", F.lit("National"))
-    both = st.unionByName(national)
+    st = state_totals(facts, merged, disease).select("disease_name", "state", "cases")
+    # state rows and the National row from one GROUPING SETS pass over the state totals
+    both = A.with_national(st, ["disease_name"], state="state", value="cases", out="total").drop("level")
     return W.rank_states(both, by=["disease_name"], state="state", total="total", pin="National")
