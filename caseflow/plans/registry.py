@@ -111,10 +111,6 @@ _BREAKS_CTE = """,
         FROM st WHERE cases > 0 GROUP BY 1)"""
 
 
-def _x_slug_sql(col: str) -> str:
-    return O.slug(col)
-
-
 # ------------------------------------------------------------------ entries
 def _entries() -> dict[str, tuple[Fn, str | None]]:
     e: dict[str, tuple[Fn, str | None]] = {}
