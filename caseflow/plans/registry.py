@@ -183,6 +183,9 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
         _sql("SELECT * FROM dist", ctes=_age_dist_ctes(
             f"WHERE data_source = 'tracker' AND report_period_start >= TIMESTAMP '{RANGE[0]}' "
             f"AND report_period_end <= TIMESTAMP '{RANGE[1]}'")))
+    e["q11_age_distribution_nndss"] = (  # the weekly feed has no age groups: no category, no row
+        lambda s, d: Q.age_distribution(facts(s, d), None, "nndss"),
+        _sql("SELECT * FROM dist", ctes=_age_dist_ctes("WHERE data_source = 'nndss'")))
     e["q12_state_timeseries"] = (
         lambda s, d: Q.state_timeseries(facts(s, d)),
         _sql(f"""SELECT 'state' AS level, state, disease_name, date_trunc('month', report_period_start) AS period,
@@ -190,6 +193,33 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
                  UNION ALL
                  SELECT 'national' AS level, 'National' AS state, disease_name,
                    date_trunc('month', report_period_start) AS period, {SUM0} AS cases FROM facts GROUP BY 3, 4"""))
+    e["q9_national_timeseries_nndss"] = (
+        lambda s, d: Q.national_timeseries(facts(s, d), None, "month", "nndss"),
+        _sql(f"SELECT disease_name, date_trunc('month', report_period_start) AS period, {SUM0} AS total_cases "
+             f"FROM facts WHERE data_source = 'nndss' GROUP BY 1, 2"))
+    e["q12_state_timeseries_week"] = (
+        lambda s, d: Q.state_timeseries(facts(s, d), None, "week"),
+        _sql(f"""SELECT 'state' AS level, state, disease_name, date_trunc('week', report_period_start) AS period,
+                   {SUM0} AS cases FROM facts GROUP BY 2, 3, 4
+                 UNION ALL
+                 SELECT 'national' AS level, 'National' AS state, disease_name,
+                   date_trunc('week', report_period_start) AS period, {SUM0} AS cases FROM facts GROUP BY 3, 4"""))
+    e["q13_subtype_distribution_tracker"] = (
+        lambda s, d: Q.subtype_distribution(facts(s, d), None, "tracker"),
+        _sql("""SELECT d.disease_slug, d.state, d.disease_subtype_slug, CAST(d.count AS BIGINT) AS count,
+                  CASE WHEN t > 0 THEN round_even(d.count / t * 100, 2) ELSE 0.0 END AS percentage
+                FROM dense d JOIN tot ON d.disease_slug = tot.disease_slug AND d.state_slug = tot.state_slug""",
+             ctes=""",
+  agg AS (SELECT disease_slug, state_slug, disease_subtype_slug, COALESCE(SUM(count), 0) AS count,
+                 max(state) AS st FROM facts WHERE disease_subtype_slug IS NOT NULL AND data_source = 'tracker'
+          GROUP BY 1, 2, 3),
+  lab AS (SELECT disease_slug, state_slug, max(st) AS state FROM agg GROUP BY 1, 2),
+  sub AS (SELECT DISTINCT disease_slug, disease_subtype_slug FROM agg),
+  dense AS (SELECT l.disease_slug, l.state_slug, l.state, s.disease_subtype_slug, COALESCE(a.count, 0) AS count
+            FROM lab l JOIN sub s ON l.disease_slug = s.disease_slug
+            LEFT JOIN agg a ON a.disease_slug = l.disease_slug AND a.state_slug = l.state_slug
+                            AND a.disease_subtype_slug = s.disease_subtype_slug),
+  tot AS (SELECT disease_slug, state_slug, SUM(count) AS t FROM dense GROUP BY 1, 2)"""))
     e["q13_subtype_distribution"] = (
         lambda s, d: Q.subtype_distribution(facts(s, d)),
         _sql("""SELECT d.disease_slug, d.state, d.disease_subtype_slug, CAST(d.count AS BIGINT) AS count,
