@@ -10,8 +10,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-# Configs the operators rely on. Time zone pins DATE_TRUNC / timestamp
-# formatting; AQE lets Spark coalesce small shuffles and split skewed ones.
+# Configs the operators rely on. Time zone pins timestamp formatting (period
+# truncation itself is zone-free); AQE coalesces small shuffle partitions and
+# splits skewed ones at run time. Shuffle partition count is deliberately not
+# pinned here: a cluster sets it for its data volume (sized so one partition
+# fits an executor's memory, e.g. ~128-256 MB of shuffle data each) and AQE
+# coalesces the small aggregates these queries produce; local runs pass it.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
