@@ -48,3 +48,16 @@ def test_merge_matches_rule(spark, rows):
         got = {tuple(r) for r in merged_monthly(facts, plan=plan)
                .select("disease_name", "state", "month", "data_source", "count").collect()}
         assert got == want, plan
+
+
+dates = st.dates(min_value=dt.date(2023, 12, 1), max_value=dt.date(2024, 4, 30))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(dates, dates)
+def test_month_scan_bound_is_exact(spark, fixture_facts, a, b):
+    from caseflow.plans import queries as Q
+    start, end = min(a, b).isoformat(), max(a, b).isoformat()
+    plain = Q.state_totals(fixture_facts, merged_monthly(fixture_facts), None, None, start, end)
+    pruned = Q.state_totals_merged_pruned(fixture_facts, merged_monthly, None, start, end)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, pruned.collect()))
