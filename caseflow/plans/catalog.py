@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from caseflow.operators.windows import append_sources, distinct_rows
 from caseflow.operators.schema import FACT_COLUMNS, FACT_SCHEMA, REQUIRED_NON_NULL, conform, validate
 from caseflow.session import LOAD_CONF, scratch_path, session_conf
 
@@ -54,9 +55,7 @@ def load_all(spark: SparkSession, loaders: Mapping[str, Callable[[SparkSession],
             continue
         kept.append(df)
         report.append((name, "loaded", ""))
-    facts = spark.createDataFrame([], FACT_SCHEMA)
-    for df in kept:
-        facts = facts.unionByName(df)
+    facts = append_sources([spark.createDataFrame([], FACT_SCHEMA), *kept])
     return facts, spark.createDataFrame(report, "source string, status string, detail string")
 
 
@@ -104,8 +103,8 @@ def open_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 
 def build_name_mapping(facts: DataFrame) -> DataFrame:
     """K8: distinct (disease_slug, disease_name, data_source), ordered by slug then source."""
-    return (facts.select("disease_slug", "disease_name", "data_source").distinct()
-                 .orderBy("disease_slug", "data_source", "disease_name"))
+    return (distinct_rows(facts, ["disease_slug", "disease_name", "data_source"])
+            .orderBy("disease_slug", "data_source", "disease_name"))
 
 
 def register_views(facts: DataFrame, merged: DataFrame | None = None,
