@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
@@ -53,22 +52,24 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory the cluster names.
+    """Return the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A cluster sets ``spark.checkpoint.dir`` to a shared folder; we only fall
-    back to a fresh local folder when nothing is set (local runs and tests).
+    Only a local master (one machine, as in tests) may go without the setting
+    and gets a fresh temporary folder. On a cluster a missing setting is an
+    error: a machine-local folder would be invisible to the other executors.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-        if current:
-            sc.setCheckpointDir(current)
-    if not current:
-        current = tempfile.mkdtemp(prefix="caseflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(current)
-        current = sc.getCheckpointDir() or current
-    return current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver "
+                               f"and all executors share (master {sc.master})")
+        named = tempfile.mkdtemp(prefix="caseflow-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -77,6 +78,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/caseflow-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every table this session wrote with ``scratch_path``.
+
+    Call it once the results that read those tables have been used.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/caseflow-scratch")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # SQL confs the heavy load job wants even in a session someone else configured.
 LOAD_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
