@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact_dedup, mixing, pii
+from caseflow.llm import exact_dedup, langid, mixing, packing, pii, quality, token_files
+
+ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_token_files": (token_files.op2, None),
+    "op3_exact_dedup": (exact_dedup.op3, exact_dedup.OP3_SQL),
+    "op4_quality_rules": (quality.op4, None),
+    "op5_language_id": (langid.op5, None),
+    "op6_packing": (packing.op6, None),
+    "op8_mixing": (mixing.op8, mixing.OP8_SQL),
+    "op9_pii": (pii.op9, pii.OP9_SQL),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": exact_dedup.op3, "op8_mixing": mixing.op8, "op9_pii": pii.op9}
+    return {name: query for name, (query, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op8_mixing": mixing.OP8_SQL, "op9_pii": pii.OP9_SQL}
+    return {name: sql for name, (_, sql) in ENTRIES.items() if sql}
