@@ -32,6 +32,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: do not set megabytes of disk aside for each
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
