@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact_dedup, langid, mixing, packing, pii, quality, token_files
+from caseflow.llm import exact_dedup, html_text, jaccard_join, langid, licenses, mixing, packing, pii, quality, token_files
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_html_text": (html_text.op1, None),
     "op2_token_files": (token_files.op2, None),
     "op3_exact_dedup": (exact_dedup.op3, exact_dedup.OP3_SQL),
     "op4_quality_rules": (quality.op4, None),
     "op5_language_id": (langid.op5, None),
     "op6_packing": (packing.op6, None),
+    "op7_jaccard_join": (jaccard_join.op7, None),
     "op8_mixing": (mixing.op8, mixing.OP8_SQL),
     "op9_pii": (pii.op9, pii.OP9_SQL),
+    "op10_licenses": (licenses.op10, licenses.OP10_SQL),
 }
 
 
