@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
@@ -30,6 +33,9 @@ DEFAULT_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "caseflow", extra_conf: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with caseflow's defaults.
@@ -78,6 +84,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/caseflow-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers, once a session.
+
+    Functions that run there import its modules; a cluster whose machines have the
+    package installed does without it.
+    """
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="caseflow-ship-")      # the driver serves the archive from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(f"{folder}/caseflow", "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every table this session wrote with ``scratch_path``.
 
