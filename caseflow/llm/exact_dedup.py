@@ -46,26 +46,26 @@ def sha256(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
-def _first() -> Column:
-    """Greatest for the row of a group that stays: longest text, then smallest doc_id, null last."""
+def _first(row: str) -> Column:
+    """Greatest for the row of a group that stays: longest text, then smallest doc_id, null last, then smallest row."""
     return F.struct(F.length(T.text_or_empty()).alias("chars"), F.col("doc_id").isNotNull().alias("named"),
-                    (-F.col("doc_id")).alias("order"), "doc_id")
+                    (-F.col("doc_id")).alias("order"), "doc_id", (-F.col(row)).alias("row_order"), F.col(row).alias("row"))
 
 
 def keep_state(spark: SparkSession, source: str, bytes_per_batch: int = 64 << 30,
-               digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None) -> DataFrame:
+               digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None, row: str = "doc_id") -> DataFrame:
     """Run the stream over all files of ``source`` not seen by ``checkpoint`` yet; return the state as a table.
 
-    One row per digest: keep_id, locator (file of the row that stays), chars,
-    group_size. Calling it again with the same ``checkpoint`` takes in new files only.
+    One row per digest: keep_id, keep_row, locator (file of the row that stays), chars,
+    group_size. ``row`` is a column that tells rows of one doc_id apart, if they must be. Calling it again with the same ``checkpoint`` takes in new files only.
     """
     checkpoint = checkpoint or scratch_path(spark, "dedup-state")
-    schema = spark.read.parquet(source).select("doc_id", "text").schema
+    schema = spark.read.parquet(source).select(*dict.fromkeys(("doc_id", "text", row))).schema
     pattern = f"{source[:-1]}[{source[-1]}]"     # a glob, since a stream takes a single file only as the match of one
     stream = (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(pattern)
-              .select("doc_id", "text", F.col("_metadata.file_path").alias("locator")))
+              .select("*", F.col("_metadata.file_path").alias("locator")))
     state = (stream.select(digest(normalised(F.col("text"))).alias("digest"),
-                           F.struct(_first().alias("first"), "locator").alias("row"))
+                           F.struct(_first(row).alias("first"), "locator").alias("row"))
              .groupBy("digest").agg(F.max("row").alias("row"), F.count(F.lit(1)).alias("group_size")))
     with session_conf(spark, STATE_CONF):
         query = (state.writeStream.outputMode("update").format("noop")
@@ -75,6 +75,7 @@ def keep_state(spark: SparkSession, source: str, bytes_per_batch: int = 64 << 30
         value = table.schema["value"].dataType.names
         return T.written(table.select(
             F.col("key.digest").alias("digest"), F.col(f"value.{value[0]}.first.doc_id").alias("keep_id"),
+            F.col(f"value.{value[0]}.first.row").alias("keep_row"),
             F.col(f"value.{value[0]}.locator").alias("locator"), F.col(f"value.{value[0]}.first.chars").alias("chars"),
             F.col(f"value.{value[1]}").alias("group_size")), "dedup-kept")
 
@@ -90,27 +91,28 @@ def clashes(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
     return texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
 
 
-def classify(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of each row, once the full bytes of all hits were compared."""
+def classify(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256, row: str = "doc_id") -> DataFrame:
+    """doc_id, row, keep_id, group_size, kept, text_sha256 of each row, once the full bytes of all hits were compared."""
     norm = normalised(F.col("text"))
-    rows = docs.select("doc_id", digest(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256"))
+    rows = docs.select("doc_id", F.col(row).alias("row"), digest(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256"))
     apart = T.written(clashes(docs, digest), "dedup-clashes")
-    out = rows.join(state.select("digest", "keep_id", "group_size"), "digest")
+    out = rows.join(state.select("digest", "keep_id", "keep_row", "group_size"), "digest")
     if not apart.isEmpty():
         # under these digests the groups are the full texts themselves
-        clashing = docs.select("doc_id", norm.alias("norm"), digest(norm).alias("digest"),
-                               _first().alias("row")).join(apart, "digest", "left_semi")
-        groups = clashing.groupBy("norm").agg(F.max("row").alias("first"), F.count(F.lit(1)).alias("group_size"))
-        redone = clashing.select("doc_id", "digest", "norm").join(groups, "norm").select(
-            "digest", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.col("first.doc_id").alias("keep_id"), "group_size")
+        clashing = docs.select("doc_id", F.col(row).alias("row"), norm.alias("norm"), digest(norm).alias("digest"),
+                               _first(row).alias("first")).join(apart, "digest", "left_semi")
+        groups = clashing.groupBy("norm").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("group_size"))
+        redone = clashing.select("doc_id", "row", "digest", "norm").join(groups, "norm").select(
+            "digest", "doc_id", "row", F.sha2("norm", 256).alias("text_sha256"), F.col("first.doc_id").alias("keep_id"),
+            F.col("first.row").alias("keep_row"), "group_size")
         out = out.join(apart, "digest", "left_anti").unionByName(redone)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "row", "keep_id", "group_size", F.col("row").eqNullSafe(F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document of the table: the document that stays of its equals, and their number."""
     source = f"{sf_dir.rstrip('/')}/documents.parquet"
-    return classify(spark.read.parquet(source).select("doc_id", "text"), keep_state(spark, source))
+    return classify(spark.read.parquet(source).select("doc_id", "text"), keep_state(spark, source)).drop("row")
 
 
 OP3_SQL = r"""

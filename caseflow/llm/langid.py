@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from caseflow.llm import tables as T
 
@@ -118,21 +119,24 @@ def fit(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, table_rows: i
     return Model(languages, table(words, "word"), grams)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of ``docs`` (doc_id, text)."""
+def label(docs: DataFrame, model: Model) -> DataFrame:
+    """Add lang_pred and score to ``docs`` (text and any other columns; columns of those names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+    names = [*docs.columns, "lang_pred", "score"]
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.predict(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([f[0] for f in found], pa.string()),
-                                              pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()),
+                                              pa.array([f[1] for f in found], pa.float64())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
+    schema = T_.StructType([*docs.schema.fields, T_.StructField("lang_pred", T_.StringType()), T_.StructField("score", T_.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that are not held out."""
     docs = T.read(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return label(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

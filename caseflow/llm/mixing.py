@@ -70,11 +70,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, size: str = "size", quality: str = "quality", seed: str = "mix",
-        docs_per_bin: int = DOCS_PER_BIN, **settings) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, taken for ``docs`` (doc_id, source, size, quality)."""
+        docs_per_bin: int = DOCS_PER_BIN, carry: tuple[str, ...] = (), **settings) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, drawn, taken for ``docs`` (doc_id, source, size, quality).
+
+    Columns named in ``carry`` come along.
+    """
     weight = F.greatest(F.coalesce(F.col(quality), F.lit(0.0)), F.lit(1e-9))
     rows = T.written(docs.select(
-        "doc_id", "source", F.col(size).alias("size"), weight.alias("quality"),
+        "doc_id", "source", *carry, F.col(size).alias("size"), weight.alias("quality"),
         (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key")), "mix-sizes")
     spread = rows.groupBy(F.col("source").alias("_source")).agg(
         F.min("quality").alias("least"), F.sum("quality").alias("total"))
@@ -103,13 +106,14 @@ def mix(docs: DataFrame, size: str = "size", quality: str = "quality", seed: str
     first = marked.where(F.col("end_bin").isNull() | (F.col("bin") != F.col("end_bin")))
     # without a bin in which the budget ends, it is 0 or the whole source
     whole = F.when(F.col("end_bin").isNull(), F.col("rest") > 0).otherwise(F.col("bin") < F.col("end_bin"))
-    out = ("doc_id", "source", "size", "source_size", "target", "epochs")
+    out = ("doc_id", "source", *carry, "size", "source_size", "target", "epochs")
     done = first.select(*out, whole.alias("drawn")).unionByName(last.select(*out, drawn.alias("drawn")))
     return done.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("drawn").cast("long")))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", T.n_words().alias("size"), text_quality().alias("quality"))
+def measured(docs: DataFrame, *carry: str) -> DataFrame:
+    """Sizes and qualities of documents."""
+    return docs.select("doc_id", "source", *carry, T.n_words().alias("size"), text_quality().alias("quality"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caseflow.llm import exact_dedup, html_text, jaccard_join, langid, licenses, mixing, packing, pii, quality, token_files
+from caseflow.session import ship_package
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_html_text": (html_text.op1, None),
@@ -22,8 +23,16 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 }
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, (query, _) in ENTRIES.items()}
+    return {name: _shipped(query) for name, (query, _) in ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
