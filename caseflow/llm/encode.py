@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from functools import cache
 from itertools import groupby
@@ -26,8 +25,11 @@ _WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 
 @cache
 def _class_of(category: str) -> str:
-    """The characters whose general category starts so, as ranges of a character class."""
-    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)).startswith(category)]
+    """The characters up to U+FFFF whose general category starts so, as ranges of a character class.
+
+    Within that plane a class is a table; ranges beyond it would be tried one by one.
+    """
+    codes = [c for c in range(1 << 16) if unicodedata.category(chr(c)).startswith(category)]
     out = []
     for _, run in groupby(enumerate(codes), lambda x: x[1] - x[0]):
         run = [c for _, c in run]
@@ -60,8 +62,9 @@ class Encoder:
         else:
             self.pattern = re.compile(f"{endings}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+"
                                       f"|[{space}]+(?![^{space}])|[{space}]+")
-        #: characters that Python's Unicode tables do not know yet; the library's may
-        self.unassigned = re.compile(f"[{_class_of('Cn')}]")
+        #: characters that Python's Unicode tables do not know yet, while the library's may, and those
+        #: beyond U+FFFF but for pictographs, which are neither letters nor numbers
+        self.rare = re.compile(f"[{_class_of('Cn')}\U00010000-\U0001F2FF\U0001FB00-\U0010FFFF]")
         self.known: dict[str, bytes] = {}
 
     def _merge(self, word: str) -> bytes:
@@ -70,7 +73,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """All ids of the whole text."""
-        if not text.isascii() and self.unassigned.search(text):
+        if not text.isascii() and self.rare.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.words_only:
             if not unicodedata.is_normalized("NFC", text):
