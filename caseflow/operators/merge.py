@@ -62,6 +62,10 @@ def merged_monthly(facts: DataFrame, priority: Sequence[str] = dims.DEFAULT_PRIO
         return _merged_conditional(facts, priority, key)
     if plan != "window":
         raise ValueError(f"unknown merge plan {plan!r}")
+    return _merged_window(facts, priority, key)
+
+
+def _merged_window(facts: DataFrame, priority: list[str], key: str) -> DataFrame:
     monthly = monthly_by_source(facts, key)
     w = Window.partitionBy(key, "state", "month").orderBy(
         X.source_rank("data_source", priority), "data_source", "disease_name", "disease_slug")
@@ -94,6 +98,13 @@ def _merged_conditional(facts: DataFrame, priority: list[str], key: str) -> Data
     # with key disease_name the name is the grouping column itself, so a filter on it
     # is pushed through the aggregate down to the scan
     name_out = F.col("disease_name") if key == "disease_name" else name_expr
-    return g.where(src_expr.isNotNull()).select(
+    listed = g.where(src_expr.isNotNull()).select(
         name_out.alias("disease_name"), "disease_slug", "state", "month",
         src_expr.alias("data_source"), cnt_expr.cast("long").alias("count"))
+    # rows of other sources; a table partitioned by source reads none where all of its sources are listed
+    others = facts.where(~F.coalesce(F.col("data_source").isin(priority), F.lit(False)))
+    rest = _merged_window(others, priority, key).withColumn("count", F.col("count").cast("long"))
+    keys = (key, "state", "month")
+    taken = listed.select(*[F.col(c).alias(f"_taken_{c}") for c in keys])
+    missing = rest.join(taken, [rest[c].eqNullSafe(taken[f"_taken_{c}"]) for c in keys], "left_anti")
+    return listed.unionByName(missing)

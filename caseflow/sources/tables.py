@@ -54,26 +54,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_if_undersplit(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan over the cluster's cores only when it has fewer splits than cores.
-
-    A large table arrives in thousands of splits and is returned untouched (no
-    shuffle); a file with a single row group would otherwise push the whole
-    conform projection through one task. Counting splits only plans the scan.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
-
-
 def state_feed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-state feed rows as CSV text: one row per order.
 
     The join to customer is left to Catalyst/AQE: it becomes a broadcast
     only when the measured customer side is under the broadcast threshold.
     """
-    o = spread_if_undersplit(_read(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    o = _read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
     start = F.date_sub(F.to_date("o_orderdate"), F.dayofweek("o_orderdate") - 1)
@@ -93,8 +81,8 @@ def state_feed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekly_feed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly feed rows as CSV text (original header names): one row per line item."""
-    li = spread_if_undersplit(_read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"))
+    li = _read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner").join(c, F.col("o_custkey") == c.c_custkey, "inner")
