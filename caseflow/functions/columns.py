@@ -134,8 +134,23 @@ def _create_map(mapping: Mapping[str, str]) -> Column:
 
 
 def round_half_even(c: ColumnOrName, digits: int = 2) -> Column:
-    """X10 Python ``round(x, n)`` on the ratios used here is banker's rounding -> ``bround``."""
-    return F.bround(_c(c), digits)
+    """X10 Python ``round(x, n)``: the double's exact value to the nearest n-digit decimal, ties to even.
+
+    ``bround`` rounds the double's shortest decimal text instead, which makes ties
+    of values that only print like one. Here x * 2 * 10**n is held against the odd
+    integer of the nearest tie without error: x is split into two halves of 26 bits
+    (Dekker), whose products with so small a factor are exact. For |x| below about
+    2**50 / 10**n.
+    """
+    scale = float(10 ** digits)
+    x = F.abs(_c(c).cast("double"))
+    big = x * F.lit(134217729.0)                       # 2**27 + 1
+    high = big - (big - x)
+    low = x - high
+    floor = F.floor(x * F.lit(scale)).cast("double")
+    over = (high * F.lit(2 * scale) - (floor * 2.0 + 1.0)) + low * F.lit(2 * scale)
+    up = (over > 0) | ((over == 0) & (F.pmod(floor, F.lit(2.0)) == 1.0))
+    return F.signum(_c(c)) * (floor + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
 
 
 def percent_of(part: ColumnOrName, total: ColumnOrName) -> Column:

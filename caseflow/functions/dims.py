@@ -57,8 +57,6 @@ REGION_SLUGS = (
 # Weekly-feed disease slug -> canonical (state-feed) disease slug.
 DISEASE_ALIASES: dict[str, str] = {
     "meningococcal-disease": "meningococcus",
-    "measles": "measles",
-    "pertussis": "pertussis",
 }
 
 # Canonical disease slug -> display name.
