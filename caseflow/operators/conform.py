@@ -61,11 +61,6 @@ def mirror_jurisdiction(df: DataFrame) -> DataFrame:
     return df
 
 
-def keep_original_name(df: DataFrame, col: str = "disease_name") -> DataFrame:
-    """Provenance copy before the name is rewritten."""
-    return df.withColumn("original_disease_name", F.col(col))
-
-
 SLUG_DIMENSIONS = ("disease", "disease_subtype", "reporting_jurisdiction", "state",
                    "geo_name", "geo_unit", "age_group")
 
@@ -85,9 +80,20 @@ def add_url_slugs(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ P3: state feed
+DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy")
+
+
 def parse_timestamp(c: Column) -> Column:
-    """Date text from a CSV -> timestamp_ntz (unparsable -> null)."""
-    return c.try_cast("timestamp_ntz")
+    """Date text from a CSV -> timestamp_ntz: ISO, else the first of DATE_FORMATS that fits, else null."""
+    text = F.trim(c)
+    eight = F.when(~text.rlike("^[0-9]{8}$"), text.try_cast("timestamp_ntz"))   # else a cast reads a year of 8 digits
+    return F.coalesce(eight, *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS])
+
+
+def parse_int(c: Column) -> Column:
+    """Integer text, decimal notation too (``2024.0``); a fraction or anything else is null."""
+    number = c.try_cast("double")
+    return F.coalesce(c.try_cast("int"), F.when(number == F.floor(number), number.try_cast("int")))
 
 
 def conform_state_feed(raw: DataFrame) -> DataFrame:
@@ -199,7 +205,9 @@ def mmwr_week_start(year: Column, week: Column, standard: str = "compat") -> Col
     ``compat`` reproduces the feed's published rule: week 1 starts on the
     first Sunday on/after Jan 1 when Jan 1 falls Monday-Thursday, else one
     week later. ``cdc`` is the standard rule: the Sunday on/before Jan 4.
+    A year outside 1 to 9999 gives null.
     """
+    year = F.when(year.between(1, 9999), year)
     jan1 = F.make_date(year, F.lit(1), F.lit(1))
     if standard == "cdc":
         jan4 = F.make_date(year, F.lit(1), F.lit(4))
@@ -246,8 +254,8 @@ def conform_weekly_feed(raw: DataFrame, standard: str = "compat", strict_counts:
     s1 = raw.select(
         F.col(WEEKLY_AREA).alias("geo_name"),
         X.slug(F.col(WEEKLY_AREA)).alias("geo_name_slug"),
-        F.col(WEEKLY_YEAR).try_cast("int").alias("_year"),
-        F.col(WEEKLY_WEEK).try_cast("int").alias("_week"),
+        parse_int(F.col(WEEKLY_YEAR)).alias("_year"),
+        parse_int(F.col(WEEKLY_WEEK)).alias("_week"),
         F.col(WEEKLY_LABEL).alias("original_disease_name"),
         loc2.alias("_loc2"),
         clean_counts_col(F.col(WEEKLY_COUNT), strict_counts).alias("count"),

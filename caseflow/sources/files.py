@@ -8,13 +8,15 @@ Layouts (as the feeds deliver them):
 
 Listing uses Spark's ``binaryFile`` source with only the path selected, so
 file contents are never read for discovery. Rows are read by Spark's CSV
-reader (splittable, so a large file is read by many tasks), every column
-as text; typing happens in the conform step.
+reader, every column as text; typing happens in the conform step.
 """
 
 from __future__ import annotations
 
+import csv
 import logging
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,32 +65,44 @@ def _paths(df: DataFrame) -> list[str]:
     return [r["path"] for r in df.select("path").collect()]
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(spark.read.option("header", True).option("inferSchema", False).csv(path).columns)
+def _plain(path: str) -> str:
+    """One spelling of a file's URI, whichever reader gave it."""
+    return re.sub(":/+", ":/", unquote(path))
+
+
+def _headers(spark: SparkSession, paths: list[str], on_error: str) -> dict[tuple[str, ...], list[str]]:
+    """Paths by their header, in the order given: one distributed read of all files' lines, the first of each kept."""
+    lines = spark.read.option("ignoreCorruptFiles", on_error == "skip").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    first = lines.where(F.trim("value") != "").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    found = {_plain(r["path"]): r["header"] for r in first.collect()}       # one row a file
+    out: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        header = found.get(_plain(path))
+        if header is None:
+            if on_error != "skip":
+                raise ValueError(f"{path} has no header")
+            log.error("skipping %s: it has no readable header", path)
+            continue
+        out.setdefault(tuple(next(csv.reader([header.lstrip("\ufeff")]))), []).append(path)
+    return out
 
 
 def read_csv_text(spark: SparkSession, paths: list[str], on_error: str = "skip") -> DataFrame | None:
     """Read CSV files as all-text columns, union by name across differing headers.
 
-    Files are grouped by their header line; each group is one Spark read with
-    an explicit all-string schema (so nothing is inferred and large files
-    split across tasks). ``on_error='skip'`` drops a file that cannot be read
-    (S7); ``'raise'`` propagates.
+    Files are grouped by their header line; each group is one Spark read with an
+    explicit all-string schema. Quotes inside quoted text are doubled, and quoted
+    text may hold line breaks; a file is therefore read by one task, as no one can
+    tell from its middle whether a line break is quoted. ``on_error='skip'`` drops
+    a file that cannot be read (S7); ``'raise'`` propagates.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        try:
-            groups.setdefault(_header(spark, p), []).append(p)
-        except Exception as exc:  # unreadable file: the feeds skip it
-            if on_error != "skip":
-                raise
-            log.error("skipping unreadable file %s: %s", p, str(exc).splitlines()[0])
     frames = []
-    for header, group_paths in groups.items():
-        if not header:
-            continue
+    for header, group_paths in _headers(spark, paths, on_error).items():
         schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
         reader = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+                  .option("quote", '"').option("escape", '"').option("multiLine", True)
                   .option("ignoreCorruptFiles", on_error == "skip"))
         frames.append(reader.csv(group_paths))
     return union_files(frames) if frames else None
