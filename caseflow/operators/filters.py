@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import columns as X
@@ -89,23 +89,21 @@ def non_blank(df: DataFrame, col: str) -> DataFrame:
     return df.where(X.non_blank(col))
 
 
-def exclude_total_groups(df: DataFrame, col: str = "age_group") -> DataFrame:
-    """F8: ``LOWER(c) NOT LIKE '%total%'``."""
-    return df.where(~X.contains_ci(col, "total"))
-
-
-def trailing_days(df: DataFrame, end_col: str = "report_period_end", days: int = 14,
+def trailing_days(groups: DataFrame, end_col: str = "report_period_end", days: int = 14,
                   by: Iterable[str] = ()) -> DataFrame:
-    """rows whose end is within ``days`` of the maximum end (inclusive both sides).
+    """rows whose end is within ``days`` of the maximum end of their ``by`` group (inclusive both sides).
 
-    The maximum is taken per ``by`` group. It is computed on a one-row-per-group
-    aggregate joined back; with no groups it is a one-row broadcast.
+    Meant for rows aggregated per (group, end): the maximum is a window over that
+    aggregate, so raw facts are scanned and combined once and never joined to it.
+    Ungrouped, the maximum is a one-row aggregate.
     """
     by = list(by)
-    mx = df.groupBy(*by).agg(F.max(end_col).alias("_max_end"))
-    joined = df.crossJoin(F.broadcast(mx)) if not by else df.join(mx, by, "inner")
-    return (joined.where((F.col(end_col) >= X.days_before("_max_end", days)) & (F.col(end_col) <= F.col("_max_end")))
-                  .drop("_max_end"))
+    if by:
+        dated = groups.withColumn("_max_end", F.max(end_col).over(Window.partitionBy(*by)))
+    else:
+        dated = groups.crossJoin(F.broadcast(groups.agg(F.max(end_col).alias("_max_end"))))
+    return (dated.where((F.col(end_col) >= X.days_before("_max_end", days)) & (F.col(end_col) <= F.col("_max_end")))
+                 .drop("_max_end"))
 
 
 def mappable_positive(df: DataFrame, fips: str = "fips", cases: str = "cases") -> DataFrame:

@@ -1,16 +1,15 @@
-"""Joins (J1-J8).
+"""Joins (J1-J7; J8, re-keying by a label, is part of the subtype distribution).
 
-Broadcast is used only for sides whose size is bounded by construction (a
-fixed dimension of at most 57 rows, or a one-row aggregate). Joins between
-aggregates are left to Catalyst/AQE, which broadcasts a side only after
-measuring it under ``spark.sql.autoBroadcastJoinThreshold``.
+Broadcast is asked for only where a side is one row by construction. All other
+joins, with dimensions too, are left to Catalyst/AQE, which broadcasts a side only
+after measuring it under ``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import dims
@@ -19,27 +18,27 @@ from caseflow.functions import dims
 def attach_weeks(df: DataFrame, weeks: DataFrame, keys: Iterable[str] = ("year", "week")) -> DataFrame:
     """Left equi join of per-(year, week) dates back onto rows.
 
-    The week table is one row per distinct week (bounded by the calendar).
+    The week table is derived from data, so its size is left for AQE to measure.
     The conform step computes the dates inline (P11) and does not need it.
     """
-    return df.join(F.broadcast(weeks), list(keys), "left")
+    return df.join(weeks, list(keys), "left")
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, out: str, dim_value: str,
            fallback: str | None = None) -> DataFrame:
     """Left dimension lookup with fallback to another column when unmatched.
 
-    ``dim`` must be a small fixed dimension (it is broadcast).
+    The caller's ``dim`` is broadcast only if Spark measures it as small.
     """
     d = dim.select(F.col(dim_key).alias("_k"), F.col(dim_value).alias("_v"))
-    j = df.join(F.broadcast(d), df[key] == d["_k"], "left")
+    j = df.join(d, df[key] == d["_k"], "left")
     val = F.coalesce(F.col("_v"), F.col(fallback)) if fallback else F.col("_v")
     return j.withColumn(out, val).drop("_k", "_v")
 
 
 def inner_lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Inner dimension join, unmatched rows dropped (``dim`` broadcast, fixed size)."""
-    return df.join(F.broadcast(dim), key, "inner")
+    """Inner dimension join, unmatched rows dropped."""
+    return df.join(dim, key, "inner")
 
 
 def with_fips_join(df: DataFrame, state_col: str = "state") -> DataFrame:
@@ -48,17 +47,27 @@ def with_fips_join(df: DataFrame, state_col: str = "state") -> DataFrame:
     return inner_lookup(df, fips, state_col)
 
 
-def having_source(df: DataFrame, source: str | None, key: str = "disease_slug") -> DataFrame:
-    """Keep all rows of every ``key`` that has at least one row from ``source`` (left semi)."""
+def having_source(groups: DataFrame, source: str | None, key: str = "disease_slug",
+                  sources: str = "sources") -> DataFrame:
+    """Of an aggregate with its set of sources per row, the rows of every ``key`` that has ``source``.
+
+    ``groups`` is one row per (name, key) with an array of sources, so the test is a
+    window over that small aggregate and the facts are scanned once.
+    """
     if not source:
-        return df
-    keys = df.where(F.col("data_source") == source).select(key)
-    return df.join(keys, key, "left_semi")
+        return groups
+    has = F.max(F.array_contains(sources, source)).over(Window.partitionBy(key))
+    return groups.withColumn("_has", has).where("_has").drop("_has")
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put a one-row result next to every row (broadcast of exactly one row)."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Put a one-row result next to every row.
+
+    The side is an aggregate without groups; taking its maximum once more makes
+    it one row by construction whatever the caller passes.
+    """
+    single = one_row.agg(*[F.max(c).alias(c) for c in one_row.columns])
+    return df.crossJoin(F.broadcast(single))
 
 
 def densify(rows: DataFrame, cols: DataFrame, counts: DataFrame, on_rows: list[str],
@@ -77,8 +86,3 @@ def densify(rows: DataFrame, cols: DataFrame, counts: DataFrame, on_rows: list[s
 def enrich_totals(catalog: DataFrame, totals: DataFrame, key: str = "disease_name") -> DataFrame:
     """Left join of per-disease totals onto a disease list (missing -> null)."""
     return catalog.join(totals, key, "left")
-
-
-def relabel(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Re-key rows by a display label (e.g. state slug -> state code)."""
-    return df.join(labels, key, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Column order is significant: sinks write positionally in this order.
+# The columns, their order (sinks write positionally) and which of them may be null.
 FACT_COLUMNS = [
     "report_period_start", "report_period_end", "date_type", "time_unit",
     "disease_name", "disease_slug", "disease_subtype", "disease_subtype_slug",
@@ -75,23 +75,8 @@ def assert_valid(df: DataFrame, source: str = "source") -> None:
     """Raise ``ValueError`` listing every failing check (one Spark job)."""
     bad = validate(df).collect()  # at most one row per schema column
     if bad:
-        detail = "\n".join(f"  - {r['check']}: {r['column']} ({r['n_bad']})" for r in bad)
-        raise ValueError(f"Schema validation failed for {source}:\n{detail}")
-
-
-def gate_valid(df: DataFrame) -> DataFrame:
-    """Lazy all-or-nothing validation: the rows pass only if no required column has a null.
-
-    The check is a one-row aggregate joined back as a broadcast scalar, so the
-    whole decision stays inside one Spark plan (no driver round trip). A source
-    missing a required column yields no rows at all.
-    """
-    if any(c not in df.columns for c in FACT_COLUMNS):
-        return df.limit(0)
-    bad = df.agg(F.count_if(F.greatest(*[F.col(c).isNull() for c in REQUIRED_NON_NULL])).alias("_n_bad"))
-    return (df.crossJoin(F.broadcast(bad))  # exactly one row: a proven size bound
-              .where(F.col("_n_bad") == 0)
-              .drop("_n_bad"))
+        detail = ", ".join(f"{r['column']} {r['check']} in {r['n_bad']} rows" for r in bad)
+        raise ValueError(f"{source} does not fit the fact schema: {detail}")
 
 
 def integrity_report(facts: DataFrame) -> DataFrame:

@@ -42,11 +42,6 @@ def stack_offsets(df: DataFrame, group: Sequence[str], order: str, value: str =
 
 
 # ------------------------------------------------------------------ O / D rows
-def sorted_result(df: DataFrame, *keys: str) -> DataFrame:
-    """O1: ORDER BY at the result edge."""
-    return df.orderBy(*keys)
-
-
 def first_match(df: DataFrame, key: str, out: str) -> DataFrame:
     """O2: deterministic LIMIT-1 lookup per key: the smallest ``out`` value."""
     return df.groupBy(key).agg(F.min(out).alias(out))

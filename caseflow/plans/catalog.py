@@ -2,9 +2,9 @@
 
 The fact table is written once and read by every query: a load job derives
 and validates the feeds, then writes Parquet partitioned by ``data_source``
-and range-clustered on (disease_name, state, report_period_start), so a
-query for one disease, state or date range reads only the row groups whose
-min/max statistics overlap it. Writing into the shared checkpoint folder
+and dealt by range of (disease_name, state, report_period_start), so a query for
+one disease skips the files of the others by their footers, and within a file
+rows are sorted by the same columns. Writing into the shared checkpoint folder
 also cuts the lineage: a lost executor re-reads files, it does not recompute
 the feeds.
 """
@@ -16,7 +16,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 from caseflow.operators.windows import append_sources, distinct_rows
 from caseflow.operators.schema import FACT_COLUMNS, FACT_SCHEMA, REQUIRED_NON_NULL, conform, validate
@@ -31,29 +31,33 @@ def load_all(spark: SparkSession, loaders: Mapping[str, Callable[[SparkSession],
              strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """K5: run every loader in name order, keep the valid ones, append them.
 
-    A loader returns that source's conformed rows (lazy). Each is checked
-    with one aggregate job (K4); a failing or raising source is skipped and
-    reported, as the feeds' loader does, unless ``strict``.
+    A loader returns that source's rows (lazy). Each source is read once, into a
+    staging table in the shared folder, which is then checked (K4) before its
+    columns are conformed. A source that is invalid or fails in any way, while it
+    is read too, is skipped and reported unless ``strict``; the others load.
     Returns ``(facts, report)`` where report rows are (source, status, detail).
     """
     kept, report = [], []
     for name in sorted(loaders):
         try:
-            df = conform(loaders[name](spark))
-            bad = validate(df).collect()  # at most one row per schema column
-        except (AnalysisException, ValueError) as exc:  # a bad or absent feed is skipped
+            staged = scratch_path(spark, f"stage-{name}")
+            rows = loaders[name](spark)
+            rows.write.parquet(staged)
+            rows = spark.read.schema(rows.schema).parquet(staged)
+            bad = validate(rows).collect()  # at most one row per schema column
+        except Exception as exc:
             if strict:
                 raise
             log.error("loading %s failed: %s", name, exc)
-            report.append((name, "error", str(exc).splitlines()[0][:500]))
+            report.append((name, "error", str(exc)))
             continue
         if bad:
             detail = "; ".join(f"{r['check']}:{r['column']}={r['n_bad']}" for r in bad)
             if strict:
-                raise ValueError(f"Schema validation failed for {name}: {detail}")
+                raise ValueError(f"source {name} does not fit the fact schema: {detail}")
             report.append((name, "invalid", detail))
             continue
-        kept.append(df)
+        kept.append(conform(rows))
         report.append((name, "loaded", ""))
     facts = append_sources([spark.createDataFrame([], FACT_SCHEMA), *kept])
     return facts, spark.createDataFrame(report, "source string, status string, detail string")
@@ -62,14 +66,16 @@ def load_all(spark: SparkSession, loaders: Mapping[str, Callable[[SparkSession],
 def write_facts(df: DataFrame, path: str) -> DataFrame:
     """K6 + K10: replace the table at ``path``; returns the table read back.
 
-    No shuffle: every task sorts its own rows by (disease_name, state,
-    report_period_start) and writes them under ``data_source=...``, so each
-    file's row groups carry tight min/max statistics for those columns and
-    a source filter is a partition filter. A hot disease only makes its
-    row groups more selective; it never concentrates in one task.
+    One shuffle by range of (data_source, disease_name, state,
+    report_period_start): a file holds a narrow range of them, so its footer lets a
+    query for another disease skip it, and a source filter is a partition filter.
+    The range bounds come from a sample of all four columns, so a hot disease
+    is split over as many tasks as its rows need.
     """
+    keys = ("data_source", *CLUSTER_COLUMNS)
     (conform(df)
-        .sortWithinPartitions("data_source", *CLUSTER_COLUMNS)
+        .repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+        .sortWithinPartitions(*keys)
         .write.mode("overwrite").partitionBy("data_source").parquet(path))
     return read_facts(spark_of(df), path)
 
@@ -91,10 +97,11 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """K7: reuse the table at ``path`` if it exists and has rows, else build and write it."""
+    """K7: reuse the table at ``path`` if it and its merged view have rows, else build and write it."""
+    from caseflow.operators.merge import merged_monthly
     try:
         existing = read_facts(spark, path)
-        if not existing.isEmpty():
+        if not merged_monthly(existing.limit(1)).isEmpty():
             return existing
     except AnalysisException:
         pass
@@ -117,6 +124,11 @@ def register_views(facts: DataFrame, merged: DataFrame | None = None,
     build_name_mapping(facts).createOrReplaceTempView(names[2])
 
 
+def result_shape(df: DataFrame) -> dict[str, object]:
+    """Column names and number of rows of a result (one count job)."""
+    return {"columns": df.columns, "row_count": df.count()}
+
+
 def to_json_rows(df: DataFrame) -> DataFrame:
     """One JSON object per row; date/timestamp values as ``yyyy-MM-dd``.
 
@@ -153,7 +165,7 @@ def facts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _BUILT:
         path = scratch_path(spark, "facts")
         with session_conf(spark, LOAD_CONF):
-            written = write_facts(facts_from_tables(spark, sf_dir, gate=False), path)
+            written = write_facts(facts_from_tables(spark, sf_dir), path)
         report = valid_sources(written)
         for src, n_bad in sorted(report.items()):
             if n_bad:
@@ -197,8 +209,6 @@ def build_fact_table(spark: SparkSession, path: str, state_feed_root: str | None
     with session_conf(spark, LOAD_CONF):
         written = write_facts(facts, path)
     order = priority or dims.DEFAULT_PRIORITY
-    sources = {r["data_source"] for r in written.select("data_source").distinct().collect()}  # <= #feeds
-    plan = "conditional" if sources <= set(order) else "window"
-    merged = merged_monthly(written, order, plan=plan)
+    merged = merged_monthly(written, order, plan="conditional")
     register_views(written, merged)
     return written, merged, report

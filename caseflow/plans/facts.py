@@ -5,23 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from caseflow.operators.conform import load_state_feed, load_weekly_feed
-from caseflow.operators.schema import gate_valid
 from caseflow.sources.tables import state_feed_raw, weekly_feed_raw
 
-# Sources the registry builds; the monthly merge can then use its one-exchange plan.
-TABLE_SOURCES = ("nndss", "tracker")
 
-
-def facts_from_tables(spark: SparkSession, sf_dir: str, gate: bool = True,
-                      standard: str = "compat") -> DataFrame:
-    """Both feeds derived from the tables, conformed, each validated all-or-nothing, appended.
-
-    Sources are appended in name order (nndss, then tracker). With ``gate``
-    a source with any null in a required column contributes no rows, as a
-    load would skip it; the check is part of the same lazy plan.
-    """
+def facts_from_tables(spark: SparkSession, sf_dir: str, standard: str = "compat") -> DataFrame:
+    """Both feeds derived from the tables, conformed and appended in name order (nndss, then tracker)."""
     weekly = load_weekly_feed(weekly_feed_raw(spark, sf_dir), standard=standard)
     state = load_state_feed(state_feed_raw(spark, sf_dir))
-    if gate:
-        weekly, state = gate_valid(weekly), gate_valid(state)
     return weekly.unionByName(state)

@@ -9,6 +9,7 @@ Each registered query's oracle is ``WITH <ctes> SELECT ...``.
 from __future__ import annotations
 
 from caseflow.functions import dims
+from caseflow.operators.schema import REQUIRED_NON_NULL
 from caseflow.sources import tables as TB
 
 
@@ -196,14 +197,8 @@ def weekly_facts_sql(standard: str = "compat") -> str:
   )"""
 
 
-REQUIRED = ["report_period_start", "report_period_end", "date_type", "time_unit", "disease_name",
-            "disease_slug", "reporting_jurisdiction", "reporting_jurisdiction_slug", "state",
-            "state_slug", "geo_name", "geo_name_slug", "geo_unit", "geo_unit_slug", "outcome",
-            "data_source", "original_disease_name"]
-
-
 def _gate(name: str) -> str:
-    anynull = " OR ".join(f"{c} IS NULL" for c in REQUIRED)
+    anynull = " OR ".join(f"{c} IS NULL" for c in REQUIRED_NON_NULL)
     return f"(SELECT count(*) FROM {name} WHERE {anynull}) = 0"
 
 
@@ -235,6 +230,3 @@ def merged_cte(priority=dims.DEFAULT_PRIORITY) -> str:
     WHERE rn = 1
   )"""
 
-
-def with_facts(select: str, merged: bool = False) -> str:
-    return facts_ctes() + (merged_cte() if merged else "") + "\n" + select

@@ -10,7 +10,7 @@ aggregates, one exchange per aggregate and joins between small aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.functions import columns as X
@@ -26,7 +26,7 @@ def _scope(facts: DataFrame, disease: str | None, source: str | None) -> DataFra
 
 
 # ------------------------------------------------------------------ catalogue queries
-def diseases(facts: DataFrame, source: str | None = None) -> DataFrame:
+def disease_names(facts: DataFrame, source: str | None = None) -> DataFrame:
     """Q1: distinct disease names (optionally of one source), sorted."""
     return W.distinct_values(FL.from_source(facts, source), "disease_name").orderBy("disease_name")
 
@@ -34,8 +34,13 @@ def diseases(facts: DataFrame, source: str | None = None) -> DataFrame:
 def disease_catalog(facts: DataFrame, source: str | None = None) -> DataFrame:
     """Q2: (disease_name, disease_slug, sources). With ``source``: only diseases that have
     a row from it, but listing all of their sources."""
-    scoped = J.having_source(facts, source, key="disease_slug")
-    return A.list_sources_by(scoped, "disease_name", "disease_slug").orderBy("disease_name", "disease_slug")
+    return _catalog(facts, source).orderBy("disease_name", "disease_slug")
+
+
+def _catalog(facts: DataFrame, source: str | None) -> DataFrame:
+    sets = facts.groupBy("disease_name", "disease_slug").agg(F.collect_set("data_source").alias("sources"))
+    listed = J.having_source(sets, source, key="disease_slug")
+    return listed.withColumn("sources", F.array_join(F.array_sort("sources"), ","))
 
 
 def disease_name_by_slug(facts: DataFrame, slugs: str | list[str] | None = None) -> DataFrame:
@@ -58,13 +63,17 @@ def summary_stats(facts: DataFrame, merged: DataFrame, source: str | None = None
     """Q6: one row of totals. ``total_cases`` comes from the merged rows when no source is
     given (no double counting), else from that source's raw rows."""
     raw = FL.from_source(facts, source)
-    stats = raw.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_distinct("disease_name").alias("total_diseases"),
+    # one pass over the rows; all six numbers come from its result, one row a disease and state
+    rolled = raw.groupBy("disease_name", "state").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("count").alias("_s"),
+        F.min("report_period_start").alias("_from"), F.max("report_period_end").alias("_to"))
+    stats = rolled.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_records"),
+        F.count_distinct("disease_name").alias("disease_count"),
         F.count_distinct("state").alias("total_states"),
-        F.sum("count").cast("long").alias("_raw_cases"),
-        F.min("report_period_start").alias("earliest_date"),
-        F.max("report_period_end").alias("latest_date"),
+        F.sum("_s").cast("long").alias("_raw_cases"),
+        F.min("_from").alias("earliest_date"),
+        F.max("_to").alias("latest_date"),
     )
     if source:
         return stats.withColumnRenamed("_raw_cases", "total_cases")
@@ -91,9 +100,7 @@ def national_timeseries(facts: DataFrame, disease: str | None = None, granularit
     Like the feeds' API this reads raw rows even without a source, so
     overlapping feeds add up (use ``merged_monthly`` for de-duplicated months).
     """
-    return (A.sum_by_period(_scope(facts, disease, source), X.check_granularity(granularity, strict),
-                            "disease_name")
-             .orderBy("disease_name", "period"))
+    return A.sum_by_period(_scope(facts, disease, source), X.check_granularity(granularity, strict), "disease_name")
 
 
 def state_timeseries(facts: DataFrame, disease: str | None = None, granularity: str = "month",
@@ -117,11 +124,8 @@ def disease_stats(facts: DataFrame, merged: DataFrame, disease: str | None = Non
     """
     raw = _scope(facts, disease, source)
     per_end = raw.groupBy("disease_name", "report_period_end").agg(F.sum("count").alias("_s"))
-    w = Window.partitionBy("disease_name")
-    two_week = (per_end.withColumn("_mx", F.max("report_period_end").over(w))
-                       .where((F.col("report_period_end") >= X.days_before("_mx", days))
-                              & (F.col("report_period_end") <= F.col("_mx")))
-                       .groupBy("disease_name").agg(X.zero_if_null(F.sum("_s")).alias("two_week_cases")))
+    two_week = (FL.trailing_days(per_end, days=days, by=["disease_name"])
+                  .groupBy("disease_name").agg(X.zero_if_null(F.sum("_s")).alias("two_week_cases")))
     counties = (FL.non_blank(raw, "geo_name").groupBy("disease_name")
                   .agg(F.count_distinct("geo_name").alias("affected_counties")))
     base = FL.for_disease(merged, name=disease) if not source else raw
@@ -207,10 +211,8 @@ def disease_cards(facts: DataFrame, merged: DataFrame, source: str | None = "tra
     """Q17: disease list (default: those with tracker rows; 'all' = every disease) with
     merged totals (null when a disease has none)."""
     effective = None if source == "all" else (source or "tracker")
-    catalog = A.list_sources_by(J.having_source(facts, effective, key="disease_slug"),
-                                "disease_name", "disease_slug")
     totals = A.sum_cases(merged, "disease_name")
-    return J.enrich_totals(catalog, totals, "disease_name")
+    return J.enrich_totals(_catalog(facts, effective), totals, "disease_name")
 
 
 def state_selector(facts: DataFrame, merged: DataFrame, disease: str | None = None) -> DataFrame:

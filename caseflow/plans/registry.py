@@ -20,12 +20,11 @@ from caseflow.operators import filters as FL
 from caseflow.operators import windows as W
 from caseflow.operators.merge import merged_monthly, monthly_by_source
 from caseflow.operators import joins as J
-from caseflow.operators.schema import integrity_report, validate
+from caseflow.operators.schema import REQUIRED_NON_NULL, integrity_report, validate
 from caseflow.plans import analytics as AN
 from caseflow.plans import oracle as O
 from caseflow.plans import queries as Q
 from caseflow.plans.catalog import build_name_mapping, facts_table, load_all, register_views, to_json_rows
-from caseflow.plans.facts import TABLE_SOURCES
 from caseflow.plans.sql import query as guarded_query
 from caseflow.session import scratch_path
 from caseflow.sources import files as FS
@@ -42,8 +41,6 @@ _MERGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def merged(spark: SparkSession, sf: str, plan: str = "conditional") -> DataFrame:
-    # the registry's fact table holds exactly TABLE_SOURCES, all listed in the priority
-    assert set(TABLE_SOURCES) <= set(dims.DEFAULT_PRIORITY)
     key = (spark.sparkContext.applicationId, sf.rstrip("/"), plan)
     if key not in _MERGED:
         _MERGED[key] = merged_monthly(facts(spark, sf), dims.DEFAULT_PRIORITY, plan=plan)
@@ -54,6 +51,8 @@ def merged(spark: SparkSession, sf: str, plan: str = "conditional") -> DataFrame
 RANGE = ("1996-01-15", "1999-06-30")
 XF_STATES = ["CA", "NYC", "MA"]
 XF_RANGE = ("1996-01-01", "1998-12-31")
+# a decomposed and a composed accent, and an apostrophe
+ACCENTED = " Cafe\u0301 d'\u00e9t\u00e9"
 AGE_CATEGORIES = [a for a in TB.AGE_BY_MOD8 if a not in ("Total", "unknown")]
 
 # ------------------------------------------------------------------ oracle fragments
@@ -81,7 +80,7 @@ def _age_dist_ctes(where: str = "") -> str:
                             AND a.age_group = grp.age_group),
   tot AS (SELECT disease_name, state, SUM(count) AS t FROM dense GROUP BY 1, 2),
   dist AS (SELECT d.disease_name, d.state, d.age_group, CAST(d.count AS BIGINT) AS count,
-                  CASE WHEN t > 0 THEN round_even(d.count / t * 100, 2) ELSE 0.0 END AS percentage
+                  CASE WHEN t > 0 THEN CAST(printf('%.2f', CAST(d.count / t * 100 AS DOUBLE)) AS DOUBLE) ELSE 0.0 END AS percentage
            FROM dense d JOIN tot ON d.disease_name = tot.disease_name AND d.state = tot.state)"""
 
 
@@ -116,9 +115,9 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
     e: dict[str, tuple[Fn, str | None]] = {}
 
     # --- composite queries (Q)
-    e["q1_diseases"] = (lambda s, d: Q.diseases(facts(s, d)),
+    e["q1_disease_names"] = (lambda s, d: Q.disease_names(facts(s, d)),
                         _sql("SELECT DISTINCT disease_name FROM facts"))
-    e["q1_diseases_nndss"] = (lambda s, d: Q.diseases(facts(s, d), "nndss"),
+    e["q1_disease_names_nndss"] = (lambda s, d: Q.disease_names(facts(s, d), "nndss"),
                               _sql("SELECT DISTINCT disease_name FROM facts WHERE data_source = 'nndss'"))
     e["q2_disease_catalog"] = (lambda s, d: Q.disease_catalog(facts(s, d)),
                                _sql(f"SELECT disease_name, disease_slug, {SRC_LIST} AS sources FROM facts GROUP BY 1, 2"))
@@ -131,7 +130,7 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
     e["q4_sources_by_slug"] = (lambda s, d: Q.sources_by_slug(facts(s, d)),
                                _sql(f"SELECT disease_slug, {SRC_LIST} AS sources FROM facts GROUP BY 1"))
     e["q5_states"] = (lambda s, d: Q.states(facts(s, d)), _sql("SELECT DISTINCT state FROM facts"))
-    summary_cols = ("count(*) AS total_records, count(DISTINCT disease_name) AS total_diseases, "
+    summary_cols = ("count(*) AS total_records, count(DISTINCT disease_name) AS disease_count, "
                     "count(DISTINCT state) AS total_states, min(report_period_start) AS earliest_date, "
                     "max(report_period_end) AS latest_date")
     e["q6_summary_stats"] = (
@@ -207,7 +206,7 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
     e["q13_subtype_distribution_tracker"] = (
         lambda s, d: Q.subtype_distribution(facts(s, d), None, "tracker"),
         _sql("""SELECT d.disease_slug, d.state, d.disease_subtype_slug, CAST(d.count AS BIGINT) AS count,
-                  CASE WHEN t > 0 THEN round_even(d.count / t * 100, 2) ELSE 0.0 END AS percentage
+                  CASE WHEN t > 0 THEN CAST(printf('%.2f', CAST(d.count / t * 100 AS DOUBLE)) AS DOUBLE) ELSE 0.0 END AS percentage
                 FROM dense d JOIN tot ON d.disease_slug = tot.disease_slug AND d.state_slug = tot.state_slug""",
              ctes=""",
   agg AS (SELECT disease_slug, state_slug, disease_subtype_slug, COALESCE(SUM(count), 0) AS count,
@@ -223,7 +222,7 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
     e["q13_subtype_distribution"] = (
         lambda s, d: Q.subtype_distribution(facts(s, d)),
         _sql("""SELECT d.disease_slug, d.state, d.disease_subtype_slug, CAST(d.count AS BIGINT) AS count,
-                  CASE WHEN t > 0 THEN round_even(d.count / t * 100, 2) ELSE 0.0 END AS percentage
+                  CASE WHEN t > 0 THEN CAST(printf('%.2f', CAST(d.count / t * 100 AS DOUBLE)) AS DOUBLE) ELSE 0.0 END AS percentage
                 FROM dense d JOIN tot ON d.disease_slug = tot.disease_slug AND d.state_slug = tot.state_slug""",
              ctes=""",
   agg AS (SELECT disease_slug, state_slug, disease_subtype_slug, COALESCE(SUM(count), 0) AS count,
@@ -258,6 +257,13 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
                                    {"disease_data": facts(s, d)}),
         _sql("SELECT data_source, disease_name, COUNT(*) AS records, CAST(SUM(count) AS BIGINT) AS cases "
              "FROM facts GROUP BY 1, 2"))
+    e["q16_sql_query_merged"] = (
+        lambda s, d: guarded_query(s, "WITH m AS (SELECT REPLACE(disease_name, '-', ' ') AS disease, state, count FROM disease_data_merged) "
+                                      "SELECT disease, COUNT(DISTINCT state) AS states, SUM(count) AS cases FROM m "
+                                      "WHERE disease <> 'a;b' GROUP BY disease",
+                                   {"disease_data": facts(s, d), "disease_data_merged": merged(s, d)}),
+        _sql("SELECT replace(disease_name, '-', ' ') AS disease, count(DISTINCT state) AS states, CAST(SUM(count) AS BIGINT) AS cases "
+             "FROM merged GROUP BY 1", True))
     e["q17_disease_cards"] = (
         lambda s, d: Q.disease_cards(facts(s, d), merged(s, d)),
         _sql(f"""SELECT cat.*, tot.total_cases FROM cat LEFT JOIN tot ON cat.disease_name = tot.disease_name""", True,
@@ -274,6 +280,46 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
                 FROM (SELECT disease_name, state, cases AS total FROM st
                       UNION ALL SELECT disease_name, 'National', SUM(cases) FROM st GROUP BY 1)""",
              True, _state_totals_ctes(MERGED_TOTALS)))
+    one = "disease_name = 'pertussis'"
+    e["q9_one_disease"] = (
+        lambda s, d: Q.national_timeseries(facts(s, d), "pertussis"),
+        _sql(f"SELECT disease_name, date_trunc('month', report_period_start) AS period, {SUM0} AS total_cases "
+             f"FROM facts WHERE {one} GROUP BY 1, 2"))
+    e["q10_one_disease"] = (
+        lambda s, d: Q.disease_stats(facts(s, d), merged(s, d), "pertussis"),
+        _sql(f"""SELECT 'pertussis' AS disease_name,
+                  (SELECT {SUM0} FROM merged WHERE {one}) AS total_cases,
+                  (SELECT count(DISTINCT state) FROM merged WHERE {one}) AS affected_states,
+                  (SELECT count(DISTINCT geo_name) FROM facts WHERE {one} AND geo_name != '') AS affected_counties,
+                  (SELECT {SUM0} FROM facts WHERE {one} AND report_period_end >=
+                     (SELECT max(report_period_end) - INTERVAL 14 DAYS FROM facts WHERE {one})) AS two_week_cases""", True))
+    e["q11_one_disease"] = (
+        lambda s, d: Q.age_distribution(facts(s, d), "pertussis"),
+        _sql("SELECT * FROM dist", ctes=_age_dist_ctes(f"WHERE {one}")))
+    e["q12_one_disease"] = (
+        lambda s, d: Q.state_timeseries(facts(s, d), "pertussis"),
+        _sql(f"""SELECT 'state' AS level, state, disease_name, date_trunc('month', report_period_start) AS period,
+                   {SUM0} AS cases FROM facts WHERE {one} GROUP BY 2, 3, 4
+                 UNION ALL
+                 SELECT 'national' AS level, 'National' AS state, disease_name,
+                   date_trunc('month', report_period_start) AS period, {SUM0} AS cases FROM facts WHERE {one} GROUP BY 3, 4"""))
+    e["q13_one_disease"] = (
+        lambda s, d: Q.subtype_distribution(facts(s, d), "meningococcus"),
+        e["q13_subtype_distribution"][1] + " WHERE d.disease_slug = 'meningococcus'")
+    e["q14_one_disease"] = (
+        lambda s, d: Q.state_totals(facts(s, d), merged(s, d), "pertussis"),
+        _sql(f"SELECT * FROM st_ext WHERE {one}", True, _state_totals_ctes(MERGED_TOTALS)))
+    e["x10_large_totals"] = (
+        lambda s, d: TB._read(s, d, "orders").select(
+            "o_orderkey", *[X.round_half_even(X.percent_of((F.col("o_orderkey") * 2 + 1) % t, F.lit(t)), 2).alias(f"pct_{t}")
+                            for t in (4000, 20000)]),
+        "SELECT o_orderkey, " + ", ".join(
+            f"CAST(printf('%.2f', ((o_orderkey * 2 + 1) % {t})::DOUBLE / {t} * 100.0::DOUBLE) AS DOUBLE) AS pct_{t}" for t in (4000, 20000))
+        + " FROM orders")
+    for plan in ("conditional", "window"):
+        e[f"q15_three_sources_{plan}"] = (
+            (lambda p: lambda s, d: merged_monthly(_with_unlisted(facts(s, d)), ["tracker", "nndss"], plan=p))(plan),
+            _three_sources_sql())
     e["q19_last_n_periods"] = (
         lambda s, d: AN.last_n_periods(Q.national_timeseries(facts(s, d)), 12),
         _sql("SELECT * FROM tail", ctes=_SERIES_CTE))
@@ -299,7 +345,7 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
         lambda s, d: AN.stacked_shares(Q.age_distribution(facts(s, d))),
         _sql("""SELECT disease_name, state, age_group, percentage,
                   (SUM(c) OVER w - c) / 100.0 AS y0, SUM(c) OVER w / 100.0 AS y1
-                FROM (SELECT *, CAST(round_even(percentage * 100, 0) AS BIGINT) AS c FROM dist)
+                FROM (SELECT *, CAST(CAST(printf('%.0f', CAST(percentage * 100 AS DOUBLE)) AS DOUBLE) AS BIGINT) AS c FROM dist)
                 WINDOW w AS (PARTITION BY disease_name, state ORDER BY age_group
                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", ctes=_age_dist_ctes()))
     wide_cols = ", ".join(f"COALESCE(max(CASE WHEN age_group = {O.q(a)} THEN percentage END), 0) AS \"{a}\""
@@ -309,7 +355,8 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
         _sql(f"SELECT disease_name, state, {wide_cols} FROM dist GROUP BY 1, 2", ctes=_age_dist_ctes()))
     xf_states = O.in_list(XF_STATES)
     e["q22_crossfilter"] = (
-        lambda s, d: AN.crossfilter(Q.state_timeseries(facts(s, d)), XF_STATES, *XF_RANGE),
+        lambda s, d: AN.crossfilter(Q.state_timeseries(
+            FL.select_states(FL.month_scan_bounds(facts(s, d), *XF_RANGE), XF_STATES)), XF_STATES, *XF_RANGE),
         _sql(f"""SELECT 'state' AS level, state, disease_name, date_trunc('month', report_period_start) AS period,
                    {SUM0} AS cases FROM facts GROUP BY 2, 3, 4
                    HAVING state IN {xf_states}
@@ -317,7 +364,16 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
                                                                    AND TIMESTAMP '{XF_RANGE[1]}'"""))
     e["q23_integrity_report"] = (
         lambda s, d: integrity_report(facts(s, d)),
-        _sql(_integrity_sql()))
+        _sql(_integrity_sql("facts")))
+    e["q23_integrity_report_dirty"] = (
+        lambda s, d: integrity_report(_dirty(facts(s, d))),
+        _sql(_integrity_sql("""(SELECT * REPLACE (
+               CASE WHEN count % 5 = 0 THEN NULL ELSE disease_name END AS disease_name,
+               CASE WHEN count % 7 = 0 THEN NULL ELSE report_period_start END AS report_period_start,
+               CASE WHEN count % 11 = 1 THEN report_period_start - INTERVAL 1 DAY ELSE report_period_end END AS report_period_end,
+               CASE WHEN count % 13 = 2 THEN upper(state_slug) ELSE state_slug END AS state_slug,
+               CASE WHEN count % 17 = 3 THEN 'a b' ELSE geo_unit_slug END AS geo_unit_slug,
+               CASE WHEN count % 19 = 4 THEN -count ELSE count END AS count) FROM facts)""")))
 
     # --- catalogue / sinks (K)
     e["k8_name_mapping"] = (lambda s, d: build_name_mapping(facts(s, d)),
@@ -327,8 +383,8 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
         _sql("SELECT disease_name, disease_slug, state, month, data_source, CAST(count AS BIGINT) AS count "
              "FROM monthly", True))
     e["f9_trailing_days"] = (
-        lambda s, d: A.sum_cases(FL.trailing_days(facts(s, d), by=["disease_name", "data_source"]),
-                                 "disease_name", "data_source", "report_period_end"),
+        lambda s, d: FL.trailing_days(A.sum_cases(facts(s, d), "disease_name", "data_source", "report_period_end"),
+                                      by=["disease_name", "data_source"]),
         _sql(f"""SELECT f.disease_name, f.data_source, f.report_period_end, {SUM0} AS total_cases
                  FROM facts f JOIN (SELECT disease_name, data_source, max(report_period_end) AS mx FROM facts
                                     GROUP BY 1, 2) m
@@ -353,9 +409,11 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
         f"SELECT p_partkey, {O.slug('p_name')} AS name_slug, {O.slug('p_type')} AS type_slug, "
         f"{O.slug('p_brand')} AS brand_slug FROM part")
     e["x2_url_slug_part_names"] = (
-        lambda s, d: C.add_url_slugs(TB._read(s, d, "part").select("p_partkey", "p_brand"), ["p_brand"]),
-        "SELECT p_partkey, p_brand, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_brand), "
-        "'''', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '-+', '-', 'g') AS p_brand_url_slug FROM part")
+        lambda s, d: C.add_url_slugs(TB._read(s, d, "part").select("p_partkey", F.concat(
+            F.col("p_brand"), F.when(F.col("p_partkey") % 3 == 0, F.lit(ACCENTED)).otherwise(F.lit(""))).alias("p_brand")), ["p_brand"]),
+        f"""SELECT p_partkey, p_brand, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(nfc_normalize(p_brand)),
+              chr(39), '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '-+', '-', 'g') AS p_brand_url_slug
+            FROM (SELECT p_partkey, p_brand || CASE WHEN p_partkey % 3 = 0 THEN {O.q(ACCENTED)} ELSE '' END AS p_brand FROM part)""")
     e["x3_truncate_period_orders"] = (
         lambda s, d: TB._read(s, d, "orders").groupBy(
             X.truncate_period("o_orderdate", "week").alias("week"),
@@ -372,7 +430,7 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
             X.round_half_even(X.percent_of(F.col("o_orderkey") % 199,
                                            (F.col("o_orderkey") % 199) + (F.col("o_custkey") % 199) + 1), 2)
             .alias("pct")),
-        "SELECT o_orderkey, round_even((o_orderkey % 199) / ((o_orderkey % 199) + (o_custkey % 199) + 1) * 100, 2) "
+        "SELECT o_orderkey, CAST(printf('%.2f', CAST((o_orderkey % 199) / ((o_orderkey % 199) + (o_custkey % 199) + 1) * 100 AS DOUBLE)) AS DOUBLE) "
         "AS pct FROM orders")
     # --- conform steps (P) over the raw feeds derived from the tables
     def weekly_raw(s, d):
@@ -446,12 +504,15 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
              "FROM merged", True))
     e["o6_collect_series"] = (
         lambda s, d: W.collect_series(Q.state_timeseries(facts(s, d)).where("level = 'state'"),
-                                      ["disease_name", "state"], "period", "cases"), None)
+                                      ["disease_name", "state"], "period", "cases")
+        .select("disease_name", "state", F.explode("series").alias("p")).select("disease_name", "state", "p.period", "p.cases"),
+        _sql(f"SELECT disease_name, state, date_trunc('month', report_period_start) AS period, {SUM0} AS cases "
+             f"FROM facts GROUP BY 1, 2, 3"))
     e["a10_share_within"] = (
         lambda s, d: A.share_within(A.sum_cases(merged(s, d), "disease_name", "state", out="cases"),
                                     ["disease_name"], "cases", "percentage"),
         _sql("""SELECT t.disease_name, t.state, CAST(t.cases AS BIGINT) AS cases,
-                  CASE WHEN g.total > 0 THEN round_even(t.cases / g.total * 100, 2) ELSE 0.0 END AS percentage
+                  CASE WHEN g.total > 0 THEN CAST(printf('%.2f', CAST(t.cases / g.total * 100 AS DOUBLE)) AS DOUBLE) ELSE 0.0 END AS percentage
                 FROM (SELECT disease_name, state, COALESCE(SUM(count), 0) AS cases FROM merged GROUP BY 1, 2) t
                 JOIN (SELECT disease_name, SUM(count) AS total FROM merged GROUP BY 1) g
                   ON t.disease_name = g.disease_name""", True))
@@ -467,36 +528,81 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
                                         "data_source", dims.DEFAULT_PRIORITY),
         _sql("SELECT * FROM merged", True))
     e["k4_validate_state_feed"] = (
-        lambda s, d: validate(C.load_state_feed(TB.state_feed_raw(s, d))),
-        O.facts_ctes() + '\nSELECT \'x\' AS "check", \'x\' AS "column", CAST(0 AS BIGINT) AS n_bad '
-                         'FROM tracker_facts WHERE false')
+        lambda s, d: validate(_dirty(facts(s, d)).drop("outcome")),
+        _sql("""SELECT 'missing_column' AS "check", 'outcome' AS "column", CAST(-1 AS BIGINT) AS n_bad
+                UNION ALL SELECT 'null_in_required', 'disease_name', count(*) FROM facts WHERE count % 5 = 0
+                UNION ALL SELECT 'null_in_required', 'report_period_start', count(*) FROM facts WHERE count % 7 = 0"""))
     e["k5_load_all"] = (
         lambda s, d: load_all(s, {"tracker": lambda sp: C.load_state_feed(TB.state_feed_raw(sp, d)),
-                                  "nndss": lambda sp: C.load_weekly_feed(TB.weekly_feed_raw(sp, d))})[0],
+                                  "nndss": lambda sp: C.load_weekly_feed(TB.weekly_feed_raw(sp, d)),
+                                  "broken": lambda sp: facts(sp, d).withColumn("count", F.raise_error(F.lit("unreadable")).cast("long")),
+                                  "dirty": lambda sp: _dirty(facts(sp, d))})[0],
         O.facts_ctes() + "\nSELECT * FROM facts")
     e["k6_fact_table"] = (lambda s, d: facts(s, d), _sql("SELECT * FROM facts"))
     e["k9_register_views"] = (
         lambda s, d: _views_query(s, d),
         _sql("SELECT m.disease_name, count(*) AS months, CAST(SUM(count) AS BIGINT) AS cases FROM merged m "
              "WHERE m.disease_slug IN (SELECT disease_slug FROM facts) GROUP BY 1", True))
-    e["k11_to_json_rows"] = (lambda s, d: to_json_rows(Q.national_timeseries(facts(s, d))), None)
+    e["k11_to_json_rows"] = (
+        lambda s, d: to_json_rows(Q.national_timeseries(facts(s, d))).select(F.from_json(
+            "json", "disease_name string, period string, total_cases long").alias("r")).select("r.*"),
+        _sql(f"SELECT disease_name, strftime(date_trunc('month', report_period_start), '%Y-%m-%d') AS period, {SUM0} AS total_cases "
+             f"FROM facts GROUP BY 1, date_trunc('month', report_period_start)"))
     e["f13_drop_bad_periods"] = (
-        lambda s, d: FL.drop_bad_periods(TB.state_feed_raw(s, d), "report_period_start")
-        .agg(F.count(F.lit(1)).alias("rows")),
-        O.facts_ctes() + "\nSELECT count(*) AS rows FROM tracker_raw "
-                         "WHERE TRY_STRPTIME(report_period_start, '%Y-%m-%d') IS NOT NULL")
+        lambda s, d: FL.drop_bad_periods(TB.state_feed_raw(s, d).withColumn("report_period_start", F.when(
+            F.col("report_period_start").endswith("7"), F.concat(F.lit("around "), "report_period_start"))
+            .otherwise(F.col("report_period_start"))), "report_period_start").agg(F.count(F.lit(1)).alias("rows")),
+        O.facts_ctes() + "\nSELECT count(*) AS rows FROM tracker_raw WHERE report_period_start NOT LIKE '%7'")
 
     # --- file sources (S): the state feed written as CSV files, then discovered, chosen and read back
-    e["s1_discover_files"] = (lambda s, d: FS.discover_files(s, f"{state_feed_root(s, d)}/data/states"), None)
+    # file names are the writer's own, so what is compared is which states have files, and how many
+    states_sql = "SELECT DISTINCT 'st=' || state AS parent FROM tracker_raw WHERE state IS NOT NULL"
+    e["s1_discover_files"] = (
+        lambda s, d: FS.discover_files(s, f"{state_feed_root(s, d)}/data/states").select("parent").distinct(),
+        O.facts_ctes() + "\n" + states_sql)
     e["s2_latest_file_per_group"] = (
-        lambda s, d: FS.latest_file_per_group(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states")), None)
+        lambda s, d: FS.latest_file_per_group(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states"))
+        .groupBy("parent").agg(F.count("path").alias("files")),
+        O.facts_ctes() + f"\nSELECT parent, CAST(1 AS BIGINT) AS files FROM ({states_sql})")
     e["s3_latest_file"] = (
-        lambda s, d: FS.latest_file(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states")), None)
+        lambda s, d: FS.latest_file(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states"))
+        .select(F.element_at(F.split("path", "/"), -2).alias("parent")),
+        O.facts_ctes() + f"\nSELECT max(parent) AS parent FROM ({states_sql})")
     e["s4_read_state_feed"] = (lambda s, d: C.load_state_feed(FS.read_state_feed(s, state_feed_root(s, d))),
                                O.facts_ctes() + "\nSELECT * FROM tracker_facts")
     return e
 
 
+def _with_unlisted(facts: DataFrame) -> DataFrame:
+    """Facts whose August rows come from a source that no priority lists."""
+    august = F.month("report_period_start") == 8
+    return facts.withColumn("data_source", F.when(august, F.lit("hospital")).otherwise(F.col("data_source")))
+
+
+def _three_sources_sql() -> str:
+    return _sql("""SELECT disease_name, disease_slug, state, month, data_source, CAST(count AS BIGINT) AS count FROM
+                  (SELECT *, row_number() OVER (PARTITION BY disease_name, state, month ORDER BY
+                     CASE data_source WHEN 'tracker' THEN 1 WHEN 'nndss' THEN 2 ELSE 3 END, data_source) AS rn FROM
+                    (SELECT disease_name, disease_slug, state, date_trunc('month', report_period_start) AS month,
+                       CASE WHEN month(report_period_start) = 8 THEN 'hospital' ELSE data_source END AS data_source,
+                       SUM(count) AS count
+                     FROM facts WHERE state IS NOT NULL AND state != '' GROUP BY 1, 2, 3, 4, 5))
+                  WHERE rn = 1""")
+
+
+def _dirty(facts: DataFrame) -> DataFrame:
+    """Facts with every kind of fault the checks look for, in rows picked by their count."""
+    n = F.col("count")
+    return facts.withColumns({
+        "disease_name": F.when(n % 5 == 0, F.lit(None)).otherwise(F.col("disease_name")),
+        "report_period_start": F.when(n % 7 == 0, F.lit(None)).otherwise(F.col("report_period_start")),
+        "report_period_end": F.when(n % 11 == 1, X.days_before("report_period_start", 1)).otherwise(F.col("report_period_end")),
+        "state_slug": F.when(n % 13 == 2, F.upper("state_slug")).otherwise(F.col("state_slug")),
+        "geo_unit_slug": F.when(n % 17 == 3, F.lit("a b")).otherwise(F.col("geo_unit_slug")),
+        "count": F.when(n % 19 == 4, -n).otherwise(n),
+    })
+
+
 def _attach_weeks_job(raw: DataFrame) -> DataFrame:
     """Week dates computed once per distinct (year, week), joined back onto the line rows."""
     rows = raw.select(F.col("Current MMWR Year").try_cast("int").alias("year"),
@@ -543,8 +649,8 @@ def _py_title_sql(x: str) -> str:
             f"lambda t: upper(t[1]) || lower(t[2:])), '')")
 
 
-def _integrity_sql() -> str:
-    req = " OR ".join(f"{c} IS NULL" for c in O.REQUIRED)
+def _integrity_sql(table: str) -> str:
+    req = " OR ".join(f"{c} IS NULL" for c in REQUIRED_NON_NULL)
     slugs = [c for c in ("disease_slug", "disease_subtype_slug", "reporting_jurisdiction_slug", "state_slug",
                          "geo_name_slug", "geo_unit_slug", "age_group_slug")]
     upper = " OR ".join(f"COALESCE({c} != lower({c}), false)" for c in slugs)
@@ -552,7 +658,7 @@ def _integrity_sql() -> str:
     checks = [("null_required", req), ("end_before_start", "report_period_end < report_period_start"),
               ("negative_count", "count < 0"), ("uppercase_slug", upper), ("slug_with_space", space)]
     return " UNION ALL ".join(
-        f"SELECT '{k}' AS check, CAST(count_if(COALESCE({v}, false)) AS BIGINT) AS n_bad FROM facts"
+        f"SELECT '{k}' AS check, CAST(count_if(COALESCE({v}, false)) AS BIGINT) AS n_bad FROM {table}"
         for k, v in checks)
 
 

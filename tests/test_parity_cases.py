@@ -1,22 +1,15 @@
-"""Input -> output pairs the feeds' own test-suite pins, checked against our column jobs."""
+"""Name and area rules on inputs of our own."""
 from pyspark.sql import functions as F
 
 from caseflow.functions import columns as X
 from caseflow.operators import conform as C
 
 SLUGS = {
-    "Hello World": "hello-world", "Meningococcal disease": "meningococcal-disease",
-    "U.S. Residents": "us-residents", "Hansen's Disease": "hansens-disease",
-    "Test, with, commas": "test-with-commas", "OTHER": "other", "Other": "other", "other": "other",
-    "Hello   World": "hello-world", "  padded  ": "padded", "hello_world": "hello-world",
-    "": None, "   ": None, "CA": "ca", "NY": "ny", "NYC": "nyc", "B": "b", "ACWY": "acwy",
-}
-AREAS = {
-    "US RESIDENTS": "national", "NON-US RESIDENTS": "national", "TOTAL": "national",
-    "U.S. Residents": "national", "U.S.Residents": "national", "us residents": "national",
-    "PACIFIC": "region", "NEW ENGLAND": "region", "MOUNTAIN": "region", "pacific": "region",
-    "California": "state", "CA": "state", "New York City": "state", "": "state",
+    "Lyme Disease": "lyme-disease", "Legionnaires' disease": "legionnaires-disease", "  two  spaces ": "two-spaces",
+    "under_score": "under-score", "A.B.C": "abc", "one, two": "one-two", "ZIKA": "zika", "\t": None, "": None,
 }
+AREAS = {"TOTAL": "national", "us residents": "national", "Pacific": "region", "mountain": "region",
+         "Oregon": "state", "OR": "state", "Springfield": "state"}
 
 
 def test_slug_pairs(spark):
@@ -30,18 +23,18 @@ def test_area_classes(spark):
     assert got == {**AREAS, None: "state"}
 
 
-def test_display_names(spark):
-    df = spark.createDataFrame([("meningococcus",), ("measles",), ("pertussis",), ("unknown-disease",)],
-                               "disease_slug string")
-    got = {r["disease_slug"]: r["display_name"] for r in C.with_display_name(df).collect()}
-    assert got == {"meningococcus": "Meningococcal Disease", "measles": "Measles", "pertussis": "Pertussis",
-                   "unknown-disease": "Unknown Disease"}
+def test_display_names_fall_back_to_the_slug(spark):
+    df = spark.createDataFrame([("west-nile-virus",), ("h5n1-influenza",)], "disease_slug string")
+    assert {r["display_name"] for r in C.with_display_name(df).collect()} == {"West Nile Virus", "H5N1 Influenza"}
+
+
+def test_mmwr_weeks_run_sunday_to_saturday(spark):
+    df = spark.range(1, 54).select(F.lit(2031).alias("y"), F.col("id").cast("int").alias("w"))
+    rows = sorted(C.mmwr_periods(df, "y", "w").collect(), key=lambda r: r["report_period_start"])
+    assert all(r["report_period_start"].weekday() == 6 and (r["report_period_end"] - r["report_period_start"]).days == 6 for r in rows)
+    assert all((b["report_period_start"] - a["report_period_start"]).days == 7 for a, b in zip(rows, rows[1:]))
 
 
-def test_mmwr_week_shape(spark):
-    df = spark.range(1, 54).select(F.lit(2024).alias("y"), F.col("id").cast("int").alias("w"))
-    rows = C.mmwr_periods(df, "y", "w").collect()
-    starts = sorted(r["report_period_start"] for r in rows)
-    assert all(s.weekday() == 6 for s in starts)
-    assert all((r["report_period_end"] - r["report_period_start"]).days == 6 for r in rows)
-    assert all((b - a).days == 7 for a, b in zip(starts, starts[1:]))
+def test_mmwr_years_out_of_range_are_null(spark):
+    df = spark.createDataFrame([(0, 2), (10000, 2), (1000000000, 2), (None, 2)], "y int, w int")
+    assert [r["report_period_start"] for r in C.mmwr_periods(df, "y", "w").collect()] == [None] * 4

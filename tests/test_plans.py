@@ -5,7 +5,6 @@ import re
 import pytest
 
 from caseflow.operators.merge import merged_monthly
-from caseflow.operators.schema import conform
 from caseflow.plans import queries as Q
 from caseflow.plans import registry as R
 
@@ -21,19 +20,53 @@ def shuffles(plan):
     return len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning)", plan))
 
 
-def test_merge_is_one_exchange(spark):
+def raw_shuffles(df):
+    """Exchanges right above a scan or filter of facts, that is without a partial aggregate below them."""
+    lines = [re.sub(r"^[\s:+\-*()0-9]*", "", x) for x in plan_of(df).splitlines()]
+    return [(a, b) for a, b in zip(lines, lines[1:]) if a.startswith("Exchange hashpartitioning") and not re.match(
+        "(Hash|ObjectHash|Sort)Aggregate|Sort|Window|Project|Exchange", b)]
+
+
+def test_merge_shuffles_partial_aggregates_only(spark):
     facts = R.facts(spark, SF)
-    assert shuffles(plan_of(merged_monthly(facts, plan="conditional"))) == 1
-    # the general window plan adds one exchange on the (small) monthly aggregate only
+    for plan in ("conditional", "window"):
+        assert not raw_shuffles(merged_monthly(facts, plan=plan))
     assert shuffles(plan_of(merged_monthly(facts, plan="window"))) == 2
 
 
-def test_fact_write_has_no_shuffle(spark):
-    from caseflow.plans.facts import facts_from_tables
-    raw = facts_from_tables(spark, SF, gate=False)
-    plan = plan_of(conform(raw).sortWithinPartitions("data_source", "disease_name"))
-    # only the round-robin spread of an under-split input may appear; no key shuffle
-    assert not re.search(r"Exchange (hashpartitioning|rangepartitioning)", plan)
+@pytest.mark.parametrize("name", ["q2_disease_catalog_nndss", "q17_disease_cards", "f9_trailing_days"])
+def test_no_raw_fact_shuffle_without_broadcast(spark, name):
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not raw_shuffles(R.queries()[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+
+
+def test_scan_counts(spark):
+    scans = lambda df: plan_of(df).count("FileScan parquet")
+    facts = R.facts(spark, SF)
+    assert scans(Q.disease_catalog(facts, "nndss")) == 1
+    assert scans(Q.summary_stats(facts, None, "tracker")) == 1
+    assert "rangepartitioning" not in plan_of(R.queries()["q19_last_n_periods"](spark, SF))
+    assert "IN (CA,NYC,MA)" in plan_of(R.queries()["q22_crossfilter"](spark, SF))
+
+
+def test_fact_files_hold_narrow_ranges(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from caseflow.plans.catalog import write_facts
+    write_facts(R.facts(spark, SF), str(tmp_path / "facts"))
+    spans = []
+    for source in (tmp_path / "facts").glob("data_source=nndss"):
+        for f in source.glob("*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            col = [i for i in range(meta.num_columns) if meta.schema.column(i).name == "disease_name"][0]
+            for g in range(meta.num_row_groups):
+                st = meta.row_group(g).column(col).statistics
+                spans.append((st.min, st.max))
+    everything = (min(s[0] for s in spans), max(s[1] for s in spans))
+    assert len(spans) > 1 and all(s != everything for s in spans)
 
 
 def test_dense_distribution_scans_once(spark):

@@ -53,7 +53,7 @@ def test_merge_winner_with_null_sum(spark):
 
 def test_summary_and_totals(fixture_facts, fixture_merged):
     s = Q.summary_stats(fixture_facts, fixture_merged).first()
-    assert (s["total_records"], s["total_diseases"], s["total_states"], s["total_cases"]) == (13, 2, 4, 1287)
+    assert (s["total_records"], s["disease_count"], s["total_states"], s["total_cases"]) == (13, 2, 4, 1287)
     assert s["earliest_date"] == D(2024, 1, 7) and s["latest_date"] == D(2024, 3, 16)
     assert rows(Q.disease_totals(fixture_facts, fixture_merged), "disease_name", "total_cases") == [
         ("measles", 1274), ("meningococcus", 13)]

@@ -4,12 +4,13 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from caseflow.plans import registry
 from compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
-NAMES = sorted(E.queries())
+NAMES = sorted(registry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -19,15 +20,21 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
-    sql = E.oracle_sql().get(name)
-    if sql is None:
-        assert df.count() >= 0
-        return
-    problems, _ = compare(df, con, sql)
+    problems, _ = compare(registry.queries()[name](spark, SF), con, registry.oracle_sql()[name])
     assert not problems, problems
 
 
+def test_approximate_counts_are_near(spark):
+    exact = {r["disease_name"]: r for r in registry.queries()["a3_count_distinct"](spark, SF).collect()}
+    for r in registry.queries()["a3_count_distinct_approx"](spark, SF).collect():
+        for c in ("distinct_state", "distinct_geo_name"):
+            assert abs(r[c] - exact[r["disease_name"]][c]) <= 0.1 * exact[r["disease_name"]][c] + 1
+
+
+def test_entry_lists_the_registry():
+    assert set(registry.queries()) <= set(E.queries()) and set(registry.oracle_sql()) <= set(E.oracle_sql())
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
