@@ -19,9 +19,10 @@ once, with a count, and keeps the other holders aside for a skew-safe join, so a
 that a third of the corpus holds is no burden to one task.
 
 Candidates are not all pairs of a word's holders: holders are compared with one leader
-first, the links give components, and only holders whose components still differ are
-compared with another leader, until the pairs that remain in different components are
-few and are all compared. No link between components is lost. Every candidate pair is
+first, the holder with the fewest words of its own, and the links give components; this
+is done twice. Of the pairs of holders whose components still differ, those go on
+whose bit sketches (a bit a shingle, XORed in) differ in no more bits than linked sets
+may differ in shingles. No link between components is lost. Every candidate pair is
 verified on the whole sets.
 
 Defined results: null texts and texts without words have the empty set, size 0, and
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ NO_ID = -(1 << 63)              # stands for a null doc_id in packed arrays
 FLUSH = 1 << 20                 # words a task packs at once
 #: Bits of the fixed-size filter of classes whose sets are needed.
 FILTER_BITS = 1 << 22
-LEADER_ROUNDS = 6
-FEW = 4                         # all remaining pairs are compared once they are fewer than this many a holder
+LEADER_ROUNDS = 2
+SKETCH_LONGS = 8                # 512 bits
 _EMPTY = U64(1 << 63)           # marks the word of a piece without shingles
 
 
@@ -76,6 +78,12 @@ def class_key(hashes: np.ndarray) -> int:
     return int(mix(np.array([mix(hashes).sum(dtype=np.uint64) + U64(len(hashes))], np.uint64))[0].astype(np.int64))
 
 
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: every member flips one of the bits, so two sketches differ in no more bits than the sets in members."""
+    odd = np.bincount((mix(hashes ^ U64(0x5851F42D4C957F2D)) >> U64(55)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def most_differences(a: int, b: int) -> int:
     """Largest symmetric difference of linked sets of sizes a and b."""
     return (DENOMINATOR - NUMERATOR) * (a + b) // (DENOMINATOR + NUMERATOR)
@@ -180,7 +188,7 @@ def _sketches(docs: DataFrame, buckets: int) -> DataFrame:
 def _count_words(table: pa.Table) -> pa.Table:
     """One bucket: documents and set-aside holders as they are, and the words held by two classes or more."""
     def column(kind: str, name: str) -> np.ndarray:
-        rows = table.filter(pa.compute.equal(table["kind"], kind))
+        rows = table.filter(pc.equal(table["kind"], kind))
         return np.frombuffer(b"".join(rows[name].to_pylist()), np.int64)
 
     out = [(k, [column(k, c) for c in names]) for k, names in (("doc", "abcd"), ("held", "ab"))]
@@ -202,7 +210,10 @@ def _count_words(table: pa.Table) -> pa.Table:
 
 
 def _join_words(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, did, n) to be joined on sig: the rarest words of each class's sketches, as many as can differ and one."""
+    """(sig, did, n, alone) to be joined on sig: the rarest words of each class's sketches, as many as can differ and one.
+
+    ``alone`` is how many words of its sketch no other class holds.
+    """
     words = found.where("kind = 'word'").select(F.col("a").alias("sig"), F.col("b").alias("did"), F.col("c").alias("held"))
     aside = found.where("kind = 'held'").select(F.col("a").alias("sig"), F.col("b").alias("did")).join(
         words.groupBy("sig").agg(F.max("held").alias("held")), "sig")
@@ -219,7 +230,8 @@ def _join_words(found: DataFrame, classes: DataFrame) -> DataFrame:
             .withColumn("rank", F.row_number().over(per.orderBy((F.col("sig") < 0).cast("int"), "held", "sig")))
             .withColumn("shared", F.count(F.lit(1)).over(per)))
     # words that no other class holds are the rarest and use up places
-    return rows.where(F.col("rank") <= differences + 1 - (given - F.col("shared"))).select("sig", "did", "n")
+    return rows.where(F.col("rank") <= differences + 1 - (given - F.col("shared"))).select(
+        "sig", "did", "n", (given - F.col("shared")).alias("alone"))
 
 
 def _filter_of(dids: DataFrame) -> np.ndarray:
@@ -234,23 +246,25 @@ def _filter_of(dids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, dids: DataFrame) -> DataFrame:
-    """did, hashes of the classes ``dids``, from the whole texts; the filter spares the others' shuffle."""
+    """did, hashes, bits of the classes ``dids``, from the whole texts; the filter spares the others' shuffle."""
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(dids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, sets, size = [], [], 0
+            keys, sets, bits = [], [], []
             for hashes in shingle_sets(batch.column("text")):
                 did = class_key(hashes) if len(hashes) else 0
                 if len(hashes) and did not in seen and wanted.value[(did & (1 << 64) - 1) >> 42]:
                     seen.add(did)
                     keys.append(did)
                     sets.append(hashes.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["did", "hashes"])
+                    bits.append(bit_sketch(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())),
+                                              pa.array(bits, pa.list_(pa.int64()))], ["did", "hashes", "bits"])
 
-    found = docs.select("text").mapInArrow(run, "did long, hashes array<long>")
-    return found.join(dids, "did", "left_semi").groupBy("did").agg(F.first("hashes").alias("hashes"))
+    found = docs.select("text").mapInArrow(run, "did long, hashes array<long>, bits array<long>")
+    return found.join(dids, "did", "left_semi").groupBy("did").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -286,36 +300,43 @@ def _size_fits(n: Column, other: Column) -> Column:
     return F.least(n, other) * DENOMINATOR >= F.greatest(n, other) * NUMERATOR
 
 
+def _bits_fit(n: Column, other: Column, bits: str, other_bits: str) -> Column:
+    """Whether two bit sketches differ in no more bits than linked sets of these sizes may differ in shingles."""
+    apart = sum((F.bit_count(F.col(f"{bits}{i}").bitwiseXOR(F.col(f"{other_bits}{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
+    return apart * (DENOMINATOR + NUMERATOR) <= (n + other) * (DENOMINATOR - NUMERATOR)
+
+
 def links_between(words: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of classes that share one of ``words`` (sig, did, n)."""
+    """(links, components) of classes that share one of ``words`` (sig, did, n, alone)."""
     spark = words.sparkSession
     links = spark.createDataFrame([], "a long, b long, both int, either int")
     tested = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "did long, comp long")
     for turn in range(LEADER_ROUNDS + 1):
         held = words.join(comps, "did", "left").withColumn("comp", F.coalesce("comp", "did"))
-        apart = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("holders"),
-                                        F.min(F.struct(F.xxhash64("did", F.lit(turn)).alias("by"), "did", "comp", "n")).alias("leader")) \
+        rank = F.col("alone") if turn == 0 else F.xxhash64("did")
+        apart = held.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                        F.min(F.struct(rank.alias("by"), "did", "comp", "n")).alias("leader")) \
             .where("low <> high").drop("low", "high")
         held = T.written(held.join(apart, "sig"), "join-held")
-        total = held.agg(F.count(F.lit(1)).alias("rows"), F.sum("holders").alias("ordered")).first()
-        if not total["rows"]:
+        if held.isEmpty():
             break
-        last = turn == LEADER_ROUNDS or total["ordered"] <= FEW * total["rows"]
-        if last:
-            other = held.select("sig", F.col("did").alias("did2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-            pairs = held.join(other, "sig").where("did < did2 AND comp <> comp2")
-        else:
+        if turn < LEADER_ROUNDS:
             pairs = held.select("did", "comp", "n", F.col("leader.did").alias("did2"), F.col("leader.comp").alias("comp2"),
-                                F.col("leader.n").alias("n2")).where("comp <> comp2")
-        pairs = pairs.where(_size_fits(F.col("n"), F.col("n2"))).select(
-            F.least("did", "did2").alias("a"), F.greatest("did", "did2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = T.written(pairs, "join-pairs")
+                                F.col("leader.n").alias("n2")).where("comp <> comp2").where(_size_fits(F.col("n"), F.col("n2")))
+        else:
+            bits = sets.select("did", *[F.col("bits")[i].alias(f"w{i}") for i in range(SKETCH_LONGS)])
+            one = held.select("sig", "did", "comp", "n").join(bits, "did")
+            two = one.select("sig", *[F.col(c).alias(f"{c}2") for c in ("did", "comp", "n")], *[F.col(f"w{i}").alias(f"v{i}") for i in range(SKETCH_LONGS)])
+            pairs = one.join(two, (one["sig"] == two["sig"]) & (F.col("did") < F.col("did2")) & (F.col("comp") != F.col("comp2"))
+                             & _size_fits(F.col("n"), F.col("n2")) & _bits_fit(F.col("n"), F.col("n2"), "w", "v"))
+        pairs = pairs.select(F.least("did", "did2").alias("a"), F.greatest("did", "did2").alias("b")).distinct()
+        pairs = T.written(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs")
         found = T.written(verify(pairs, sets), "join-links")
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
-        comps = components(links)
-        if last:
-            break
+        tested = tested.unionByName(pairs)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = components(links)
     return links, comps
 
 
@@ -335,8 +356,8 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.col("given").bitwiseAND(F.lit((1 << 32) - 1))).alias("given1"))
     classes = T.written(classes, "join-classes")
     words = _join_words(found, classes)
-    alone = Window.partitionBy("sig")
-    words = T.written(words.join(words.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig"), "sig", "left_semi"), "join-words")
+    met = words.groupBy("sig").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("sig")
+    words = T.written(words.join(met, "sig", "left_semi"), "join-words")
     sets = T.written(sets_of(docs, words.select("did").distinct()), "join-sets")
     links, comps = links_between(words, sets)
     lowest = comps.join(classes.select("did", "first_id"), "did").groupBy("comp").agg(F.min("first_id").alias("component_id"))
