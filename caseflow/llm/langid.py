@@ -19,7 +19,7 @@ are predicted one by one; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +33,7 @@ from caseflow.llm import tables as T
 SAMPLE_DOCS = 1500
 TABLE_ROWS = 20_000
 LONGEST = 4
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _SMOOTHING = 0.5
@@ -45,10 +45,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """About ``docs_per_language`` rows of each language of ``labelled`` (doc_id, text, lang), by hash of the id."""
+    """About ``docs_per_language`` rows of each language of ``labelled`` (doc_id, text, lang), by hash of the id.
+
+    The shares are literals of the filter (a row a language), so no text is shuffled.
+    """
     slots = 1 << 40
-    share = labelled.groupBy("lang").agg((F.lit(float(docs_per_language * slots)) / F.count(F.lit(1))).alias("_share"))
-    return labelled.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < F.col("_share")).drop("_share")
+    counts = labelled.groupBy("lang").count().orderBy("lang").collect()
+    taken = F.lit(False)
+    for r in counts:
+        share = min(slots, docs_per_language * slots // r["count"] + 1)
+        taken = taken | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share))
+    return labelled.where(taken)
 
 
 @dataclass
@@ -56,47 +63,61 @@ class Model:
     """Log frequencies by language: of words, and of n-grams of padded words by their length."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]          # of length 0 (none), 1, 2, ... LONGEST
+    words: dict[str, tuple[float, ...]]
+    grams: list[dict[str, tuple[float, ...]]]          # of length 0 (none), 1, 2, ... LONGEST
     known: dict[str, int] = field(default_factory=dict)
-    scores: list[np.ndarray] = field(default_factory=list)
+    scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))      # a row for each number in ``known``
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> Sequence[float]:
         found = self.words.get(word)
         if found is not None:
             return found
-        padded = f"_{word}_"
         for n in range(LONGEST, 0, -1):
+            padded = f"_{word}_" if n > 1 else word
             table = self.grams[n]
             hits = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i:i + n])) is not None]
             if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.languages))
+                return [sum(column) / len(hits) for column in zip(*hits)]
+        return [0.0] * len(self.languages)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = [w for w in _WORD.findall((text or "").lower()) if w.isalpha()]
+        words = _WORD.findall((text or "").lower())
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.scores.clear()
-        at = np.empty(len(words), dtype=np.int64)
-        for i, w in enumerate(words):
-            k = self.known.get(w)
-            if k is None:
-                k = self.known[w] = len(self.scores)
-                self.scores.append(self.word(w))
-            at[i] = k
-        used, times = np.unique(at, return_counts=True)
-        total = times @ np.array([self.scores[k] for k in used])
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        at = [known.get(w) for w in words]
+        if None in at:
+            for i, w in enumerate(words):
+                if at[i] is None:
+                    at[i] = known.get(w)
+                    if at[i] is None:
+                        at[i] = known[w] = self._remember(w, len(known))
+        told = np.array(at)
+        told = told[told >= 0]
+        if len(told) == 0:
+            return UNKNOWN, 0.0
+        total = self.scores[told].sum(axis=0)
         best = int(np.argmax(total))
         return self.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
+    def _remember(self, word: str, row: int) -> int:
+        """Score a word in row ``row``; -1 if it holds other characters than letters."""
+        if not word.isalpha():
+            return -1
+        if row >= len(self.scores):
+            more = np.zeros((max(1024, 2 * row), len(self.languages)))
+            more[:len(self.scores)] = self.scores.reshape(-1, len(self.languages))
+            self.scores = more
+        self.scores[row] = self.word(word)
+        return row
+
 
-def _logs(rows: list, key: str, languages: list[str]) -> dict[str, np.ndarray]:
+def _logs(rows: list, key: str, languages: list[str]) -> dict[str, tuple[float, ...]]:
     counts = np.array([[r[f"_{i}"] or 0 for i in range(len(languages))] for r in rows], dtype=float).reshape(-1, len(languages))
     logs = np.log(counts + _SMOOTHING) - np.log(counts.sum(axis=0) + _SMOOTHING * max(1, len(rows)))
-    return {r[key]: v for r, v in zip(rows, logs)}
+    return {r[key]: tuple(v) for r, v in zip(rows, logs.tolist())}
 
 
 def fit(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, table_rows: int = TABLE_ROWS) -> Model:
@@ -105,16 +126,19 @@ def fit(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, table_rows: i
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     words = T.written(rows.select("lang", word).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "langid-words")
     languages = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
+    if not languages:
+        return Model([], {}, [{} for _ in range(LONGEST + 1)])
 
-    def table(counts: DataFrame, key: str) -> dict[str, np.ndarray]:
+    def table(counts: DataFrame, key: str) -> dict[str, tuple[float, ...]]:
         sums = [F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"_{i}") for i, lang in enumerate(languages)]
         top = counts.groupBy(key).agg(*sums, F.sum("n").alias("all")).orderBy(F.desc("all"), key).limit(table_rows)
         return _logs(top.collect(), key, languages)
 
-    grams: list[dict[str, np.ndarray]] = [{}]
+    grams: list[dict[str, tuple[float, ...]]] = [{}]
     for n in range(1, LONGEST + 1):
-        cut = F.expr(f"transform(sequence(1, length(word) + {3 - n}), i -> substring(concat('_', word, '_'), i, {n}))")
-        counts = words.where(F.length("word") + 2 >= n).select("lang", "n", F.explode(cut).alias("gram"))
+        edge = "_" if n > 1 else ""
+        cut = F.expr(f"transform(sequence(1, length(word) + {2 * len(edge) + 1 - n}), i -> substring(concat('{edge}', word, '{edge}'), i, {n}))")
+        counts = words.where(F.length("word") + 2 * len(edge) >= n).select("lang", "n", F.explode(cut).alias("gram"))
         grams.append(table(counts, "gram"))
     return Model(languages, table(words, "word"), grams)
 

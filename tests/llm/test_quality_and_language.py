@@ -47,7 +47,6 @@ def test_chosen_cutoffs_keep_the_guarantee():
     assert quality.choose(table((0, 2000, 5), (2, 0, 50)), grid, 0.01, 1e-4) == 0.2
     assert quality.choose(table((0, 50, 5), (2, 0, 50)), grid, 0.01, 1e-4) is None       # too few to be sure
     assert quality.choose(table((0, 2000, 5), (3, 100, 50)), grid, 0.01, 1e-4) is None   # good ones lie beyond
-    assert quality.choose(table((0, 5000, 5), (1, 0, 30), (3, 30, 20)), grid, 0.05, 1e-4) is None or True
     assert quality.choose(table(), grid, 0.01, 1e-4) is None
 
 
@@ -62,7 +61,7 @@ def test_verdicts(spark, make):
     assert all(got[i]["kept"] for i, *_ in good) and not any(got[i]["kept"] for i, *_ in bad)
     assert not got[5000]["kept"] and got[5001]["kept"]        # no labels in its stratum: base rules alone
     none = quality.judge(measured, quality.cutoffs(measured, labels.limit(0)))
-    assert none.where("kept <> NOT base_failed").count() == 0 and none.count() == docs.count()
+    assert none.where("kept = base_failed").count() == 0 and none.count() == docs.count()
     assert quality.measure(docs.limit(0).withColumn("stratum", F.lit("x"))).count() == 0
 
 
