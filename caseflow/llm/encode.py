@@ -66,6 +66,7 @@ class Encoder:
         #: beyond U+FFFF but for pictographs, which are neither letters nor numbers
         self.rare = re.compile(f"[{_class_of('Cn')}\U00010000-\U0001F2FF\U0001FB00-\U0010FFFF]")
         self.known: dict[str, bytes] = {}
+        self.most = REMEMBERED // 2 if self.words_only else REMEMBERED     # one case has fewer words
 
     def _merge(self, word: str) -> bytes:
         mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_byte_alphabet())
@@ -84,7 +85,7 @@ class Encoder:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) > REMEMBERED:
+        if len(known) > self.most:
             known.clear()
         out = []
         for w in words:

@@ -33,7 +33,7 @@ from caseflow.llm import tables as T
 SAMPLE_DOCS = 1500
 TABLE_ROWS = 20_000
 LONGEST = 4
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _SMOOTHING = 0.5
@@ -80,13 +80,18 @@ class Model:
                 return [sum(column) / len(hits) for column in zip(*hits)]
         return [0.0] * len(self.languages)
 
+    def forget(self) -> None:
+        """Drop the scores of the words met so far."""
+        self.known, self.scores = {}, np.zeros((0, 0))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall((text or "").lower())
         if not words or not self.languages:
             return UNKNOWN, 0.0
         known = self.known
         if len(known) > REMEMBERED:
-            known.clear()
+            self.forget()
+            known = self.known
         at = [known.get(w) for w in words]
         if None in at:
             for i, w in enumerate(words):
@@ -154,6 +159,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
             found = [shared.value.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()),
                                               pa.array([f[1] for f in found], pa.float64())], names)
+        shared.value.forget()       # workers live on; what a task remembered must not
 
     schema = T_.StructType([*docs.schema.fields, T_.StructField("lang_pred", T_.StringType()), T_.StructField("score", T_.DoubleType())])
     return docs.mapInArrow(run, schema)
