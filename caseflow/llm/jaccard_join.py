@@ -48,7 +48,7 @@ from caseflow.llm.words import U64, Words, mix, slices
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
 NO_ID = -(1 << 63)              # stands for a null doc_id in packed arrays
-FLUSH = 1 << 19                 # words a task packs at once
+FLUSH = 1 << 18                 # words a task packs at once
 #: Bits of the fixed-size filter of classes whose sets are needed.
 FILTER_BITS = 1 << 22
 LEADER_ROUNDS = 2

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import tables as T
+from caseflow.llm.encode import encoder
 from caseflow.llm.token_files import encode_ids
 
 CAPACITY = 2048
@@ -56,6 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                     for name, value in zip(rows, (doc_id, k, at, len(part), zlib.crc32(part.astype("<u4").tobytes()))):
                         rows[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, MEMBER.field(k).type) for k, v in rows.items()], list(rows))
+        encoder(tokenizer).known.clear()        # the worker lives on, in other stages too
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE)
 
