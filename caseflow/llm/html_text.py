@@ -5,9 +5,11 @@ Per path, text length and punctuation are summed over its blocks; both ratios
 (characters and punctuation marks a block) are smoothed with those of sibling paths,
 fused, lowered by the share of link text, and held against a threshold that follows
 the page's own spread. The deepest element that covers most of the text on the paths
-above the threshold is the article; everything in it is its text, but for parts that
-by their tag, role or class are menus, adverts, comments and the like, and for paths
-that are mostly links.
+above the threshold is the article if it lies in an <article> or <main>, which then
+says where the article begins; else the article is the element around it that holds
+all paths that are not mostly links, so titles, leads, lists, quotes and tables belong
+to it. Everything in it is its text, but for parts that by their tag, role or class are
+menus, adverts, comments and the like, and for paths that are mostly links.
 
 Defined results: null and empty pages have the empty text; broken markup is read as
 browsers would (unclosed elements end with their parent, an unended tag or comment
@@ -211,8 +213,6 @@ def main_text(page: str | None) -> str:
                 mass[b.path[:depth]] += len(b.text)
     least = SHARE_OF_TEXT * mass[()]
     article = max((p for p in mass if mass[p] >= least), key=lambda p: (len(p), mass[p]), default=())
-    if article and article[-1].partition(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "dd"):
-        article = article[:-1]              # the element that holds the paragraphs, not one kind of them
     named = [i for i, x in enumerate(article) if x.partition(".")[0] in ("article", "main")]
     if named:                               # a page that marks its article says where it begins
         article = article[:named[0] + 1]
@@ -220,8 +220,12 @@ def main_text(page: str | None) -> str:
     for b in found:
         links[b.path] += b.links
         length[b.path] += len(b.text)
-    kept = [b.text for b in found if b.path[:len(article)] == article
-            and (b.path in chosen or links[b.path] <= MOSTLY_LINKS * length[b.path])]
+    content = {p for p in length if links[p] <= MOSTLY_LINKS * length[p]}
+    if not named:                           # else the element around all that is not links
+        for p in content:
+            same = next((i for i, (x, y) in enumerate(zip(article, p)) if x != y), min(len(article), len(p)))
+            article = article[:same]
+    kept = [b.text for b in found if b.path[:len(article)] == article and (b.path in chosen or b.path in content)]
     return " ".join(kept)
 
 

@@ -40,6 +40,22 @@ def test_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "Words of a sentence, and more of them, up to its end. " * 6
+ROWS = "".join(f"<li>{LONG}</li>" for _ in range(5))
+
+
+@pytest.mark.parametrize("inside", [
+    f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><ul>{ROWS}</ul>",
+    f"<div class=lead><p>Short lead.</p></div><div class=body><p>{LONG}</p><p>{LONG}</p></div>",
+    f"<h1>Title</h1><p>Before it.</p><blockquote><p>{LONG}</p><p>{LONG}</p></blockquote><p>After it.</p>",
+    f"<h2>Title</h2><p>Before it.</p><table><tr><td>{LONG}<td>{LONG}</table><p>After it.</p>",
+    f"<section><h2>One</h2><p>Short one.</p></section><section class=b><h2>Two</h2><p>{LONG}</p></section>",
+])
+def test_article_without_a_tag_of_its_own_is_whole(inside):
+    page = f"<body><nav><a href=/>Home</a></nav><div class=content>{inside}</div><div class=m><a href=1>More</a> <a href=2>Else</a></div></body>"
+    assert html_text.main_text(page) == " ".join(re.sub("<[^>]*>", " ", inside).split())
+
+
 def test_long_and_broken_pages_end():
     assert html_text.main_text("<div>" * 3000 + "deep" + "<a '" * 50) .startswith("deep")
     assert len(html_text.main_text("<p>" + "word " * 200000)) == 999999
