@@ -120,6 +120,8 @@ def blocks(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal links
+        if any(x.excluded for x in stack):      # block or not, and before its end is seen
+            return
         parts.append(text)
         if any(x.tag == "a" for x in stack):
             links += len(text.strip())

@@ -56,6 +56,15 @@ def test_article_without_a_tag_of_its_own_is_whole(inside):
     assert html_text.main_text(page) == " ".join(re.sub("<[^>]*>", " ", inside).split())
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>A</p><button>Share</button><p>B</p></article>", "A B"), ("<p>A <span class=ad>Buy</span> B <i hidden>no</i></p>", "A B"),
+    ("<p>A <span style='display:none'>no</span>B <label>Name</label></p><select><option>x<option>y</select>", "A B"),
+    ("<div>A <noscript>no</noscript> B <object>no</object>C</div>", "A B C"), ("<button><div>no</div></button>A<p>B <a href=x class=share>no</a>", "A B"),
+])
+def test_text_of_excluded_inline_elements_is_left_out(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_long_and_broken_pages_end():
     assert html_text.main_text("<div>" * 3000 + "deep" + "<a '" * 50) .startswith("deep")
     assert len(html_text.main_text("<p>" + "word " * 200000)) == 999999
