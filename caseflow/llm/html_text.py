@@ -25,6 +25,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody
 td tfoot th thead tr ul""".split())
 BREAK = frozenset(("br", "hr"))
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())    # what a head may hold
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes template svg math".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -51,6 +53,8 @@ NEVER_WORDS = re.compile(
     r"login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|paywall|popup|promos?|promotion|"
     r"recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|"
     r"teasers?|toolbar|topbar|widgets?)(?:$|[\s_-])", re.I)
+STATES = re.compile(r"(?<![^\s_-])(?:has|no|not|with|without)[_-]\S*", re.I)      # what an element has or lacks, not what it is
+READER_WORDS = re.compile(r"(?:^|[\s_-])(?:comment\w*|disqus|replies|reply|respond)(?:$|[\s_-])", re.I)
 HEADER_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)        # but in an article, which may have one of its own
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -61,6 +65,7 @@ _PUNCTUATION = re.compile("[.,;:!?…。、，！？；：«»„“”]")
 SHARE_OF_TEXT = 0.7     # of the text on chosen paths that the article element must cover
 THRESHOLD = 0.25        # times the standard deviation of the path scores, taken from their mean
 MOSTLY_LINKS = 0.6
+MOST_OF_PAGE = 0.5      # of the text of a page: no class word excludes an element that holds so much
 
 
 @dataclass
@@ -80,16 +85,39 @@ class _Open:
     name: str           # tag with its first class word
     excluded: bool
     path: tuple[str, ...] = field(default=())
+    word: int = 0       # number of the element among those that a word of their class or id excludes
+
+
+@dataclass
+class _Part:
+    """Text without a block boundary or an element that a word excludes beginning or ending in it."""
+
+    block: int
+    path: tuple[str, ...]
+    words: tuple[int, ...]      # the elements around it that a word excludes
+    in_form: bool
+    text: list[str] = field(default_factory=list)
+    links: int = 0
+
+
+def _named(attributes: dict[str, str]) -> str:
+    return STATES.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
 
 
 def _is_never(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether the element is no article whatever it holds."""
     if tag in NEVER_TAGS or (tag == "header" and not inside_article):
         return True
     if attributes.get("role", "").lower() in NEVER_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if "style" in attributes and HIDDEN.search(attributes["style"]):
-        return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    return "style" in attributes and bool(HIDDEN.search(attributes["style"]))
+
+
+def _is_named_so(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether a word of its class or id says that the element is no article."""
+    if "class" not in attributes and "id" not in attributes:
+        return False
+    named = _named(attributes)
     if tag in ("html", "body", "main"):
         return False
     if tag == "article":
@@ -99,19 +127,16 @@ def _is_never(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
-    out: list[Block] = []
+    parts: list[_Part] = []
     stack: list[_Open] = []
-    parts: list[str] = []
-    links = at = 0
+    articles = [0]                      # <article> and <main> elements on the page, and in each element that a word excludes
+    titled: set[int] = set()            # those of them that hold an <h1>
+    readers: set[int] = set()           # those of them that readers write
+    at = block = 0
 
     def flush() -> None:
-        nonlocal links
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            top = next((x for x in reversed(stack) if x.tag in BLOCK), None)
-            out.append(Block(top.path if top else (), text, links, any(x.excluded for x in stack), any(x.tag == "form" for x in stack)))
-        links = 0
+        nonlocal block
+        block += 1
 
     def close(upto: int) -> None:
         if any(x.tag in BLOCK for x in stack[upto:]):
@@ -119,12 +144,17 @@ def blocks(page: str) -> list[Block]:
         del stack[upto:]
 
     def say(text: str) -> None:
-        nonlocal links
+        if stack and stack[-1].tag == "head" and text.strip():      # a head holds no text
+            stack.pop()
         if any(x.excluded for x in stack):      # block or not, and before its end is seen
             return
-        parts.append(text)
+        words = tuple(x.word for x in stack if x.word)
+        if not parts or parts[-1].block != block or parts[-1].words != words:
+            top = next((x for x in reversed(stack) if x.tag in BLOCK), None)
+            parts.append(_Part(block, top.path if top else (), words, any(x.tag == "form" for x in stack)))
+        parts[-1].text.append(text)
         if any(x.tag == "a" for x in stack):
-            links += len(text.strip())
+            parts[-1].links += len(text.strip())
 
     while at < len(page):
         token = _TOKEN.search(page, at)
@@ -139,15 +169,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if slash:
             if tag in BREAK or tag == "p" and not any(x.tag == "p" for x in stack):
-                parts.append(" ") if tag in BREAK else flush()
+                say(" ") if tag in BREAK else flush()
                 continue
             found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
             # an inline end tag does not end the block it stands in
             if found is not None and (tag in BLOCK or not any(x.tag in BLOCK for x in stack[found:])):
                 close(found)
             continue
+        if "head" in (x.tag for x in stack) and tag not in HEAD and not any(x.tag == "noscript" for x in stack):
+            close(next(i for i, x in enumerate(stack) if x.tag == "head"))
+        if tag == "head" and any(x.tag != "html" for x in stack):   # there is none in a body
+            continue
         if tag in BREAK:
-            parts.append(" ")
+            say(" ")
             continue
         attributes = {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(token[3])} if token[3] else {}
         if tag in RAW and not token[0].endswith("/>"):
@@ -169,8 +203,41 @@ def blocks(page: str) -> list[Block]:
         name = f"{tag}.{named[0]}" if named and tag in BLOCK else tag
         above = next((x.path for x in reversed(stack) if x.tag in BLOCK), ())
         inside = any(x.tag in ("article", "main") for x in stack)
-        stack.append(_Open(tag, name, _is_never(tag, attributes, inside), (*above, name) if tag in BLOCK else above))
-    flush()
+        opened = _Open(tag, name, _is_never(tag, attributes, inside), (*above, name) if tag in BLOCK else above)
+        if opened.excluded or not _is_named_so(tag, attributes, inside):
+            pass
+        elif tag not in BLOCK and "-" not in tag:       # part of a line, never around a page
+            opened.excluded = True
+        else:
+            opened.word = len(articles)
+            articles.append(0)
+            if READER_WORDS.search(_named(attributes)):
+                readers.add(opened.word)
+        if tag in ("article", "main") and not opened.word and not any(x.excluded for x in stack):
+            articles[0] += 1
+            for x in stack:
+                if x.word:
+                    articles[x.word] += 1
+        elif tag == "h1":
+            titled.update(x.word for x in stack if x.word)
+        stack.append(opened)
+    # an element that holds most of the page, and its article if it has one, is not left out for a word
+    mass = [0] * len(articles)
+    for p in parts:
+        n = len(" ".join("".join(p.text).split()))
+        for word in (0, *p.words):
+            mass[word] += n
+    kept = {w for w in range(1, len(articles)) if mass[w] >= MOST_OF_PAGE * mass[0] and articles[w] == articles[0]
+            and (w not in readers or articles[w] or w in titled)}
+    out = []
+    for _, run in groupby(parts, lambda p: p.block):
+        by: dict[bool, list[_Part]] = {}
+        for p in run:
+            by.setdefault(not kept.issuperset(p.words), []).append(p)
+        for excluded, some in by.items():
+            text = " ".join(html.unescape("".join(t for p in some for t in p.text)).split())
+            if text:
+                out.append(Block(some[0].path, text, sum(p.links for p in some), excluded, some[0].in_form))
     return out
 
 

@@ -65,6 +65,22 @@ def test_text_of_excluded_inline_elements_is_left_out(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<!doctype html><html><head><title>T</title><meta charset=utf-8><body><p>Text, here.</p></body></html>", "Text, here."),
+    ("<html><head><title>T</title><p>Text, here.</p>", "Text, here."), ("<head><title>T</title>Text, here.", "Text, here."),
+    ("<head><noscript><style>p{}</style><p>no</p></noscript><p>yes</p>", "yes"), ("<body><p>one</p><head><p>two</p>", "one two"),
+    ("<div class='content has-sidebar'><h1>T</h1><p>Text, here.</p></div>", "T Text, here."),
+    ("<div id=page class='no-comments'><p>Text, here.</p></div>", "Text, here."),
+    (f"<div class=social><h1>T</h1><p>{LONG}</p><div class=share-bar>Share it</div></div><div class=sidebar>Side</div>", f"T {LONG.strip()}"),
+    (f"<div class=wrap><h1>T</h1><p>Text, here.</p></div><div id=comments><p>{LONG}</p></div>", "T Text, here."),
+    (f"<article><p>Text, here.</p></article><div class=ad><p>{LONG}</p></div>", "Text, here."),
+    (f"<div class='wrap nav-open'><article><p>{LONG}</p></article></div>", LONG.strip()),
+    (f"<div class=comments-open><h1>T</h1><p>{LONG}</p></div>", f"T {LONG.strip()}"),
+])
+def test_heads_end_and_words_exclude_no_whole_page(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_long_and_broken_pages_end():
     assert html_text.main_text("<div>" * 3000 + "deep" + "<a '" * 50) .startswith("deep")
     assert len(html_text.main_text("<p>" + "word " * 200000)) == 999999
