@@ -7,6 +7,14 @@ its bigrams are compared with those of a template as multisets:
 outnumber either side, so a template can reach the threshold only for units whose
 number of bigrams lies within bounds that follow from its own; units meet templates by
 an equality join on that number, and bigrams are built only for units that meet one.
+
+Licences that begin or end within a line, or run over several paragraphs, are found as
+windows of words of the whole text. A window that begins and ends with bigrams of a
+template is never worse than one that goes beyond them, so for each such bigram the best
+window that begins there is taken. A window of a notice must hold more than half of the
+bigrams of the licence's name, as the frame alone is that of any licence. Of windows that
+overlap, those below the best are dropped: they are part of its text.
+
 Texts without any of the templates' key words, one of which every match must hold, are
 passed over at once.
 
@@ -24,7 +32,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm import tables as T
@@ -97,11 +105,20 @@ with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
 
+def _words(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+
+
 def templates() -> list[tuple[str, list[str]]]:
     """(licence, words) of every template."""
     texts = [(name, form.format(full)) for name, fulls in NOTICE_NAMES.items() for full in fulls for form in NOTICE_FORMS]
     texts += list(TEXTS.items())
-    return [(name, re.sub(r"[^a-z0-9]+", " ", text.lower()).split()) for name, text in texts]
+    return [(name, _words(text)) for name, text in texts]
+
+
+def template_names() -> list[list[str]]:
+    """Words of the licence's name in every template, none where the template is a text of its own."""
+    return [_words(full) for fulls in NOTICE_NAMES.values() for full in fulls for _ in NOTICE_FORMS] + [[] for _ in TEXTS]
 
 
 def size_bounds(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -141,29 +158,88 @@ def _template_rows(threshold: float) -> list[tuple[int, str, int, int, int, list
     return rows
 
 
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def _bigrams(words: Column) -> Column:
+    """One array of the bigrams of normalised words, in an array; bound as a lambda variable, the words are split once, not once a use."""
+    return F.transform(F.array(F.split(words, " ")), lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
+
+
 def units(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, unit, words: the whole text, its paragraphs and lines, normalised, each distinct one once."""
     body = T.text_or_empty(text)
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))      # noqa: E731
     parts = F.concat(F.array(body), F.split(body, r"\n\s*\n"), F.split(body, "\n"))
-    return docs.select("doc_id", F.posexplode(F.array_distinct(F.transform(parts, plain))).alias("unit", "words"))
+    return docs.select("doc_id", F.posexplode(F.array_distinct(F.transform(parts, _plain))).alias("unit", "words"))
+
+
+def windows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, dice of the word windows of ``docs`` (doc_id, text) that reach the threshold, the best where they overlap."""
+    spark = docs.sparkSession
+    # fixed tables: the bigrams of the templates
+    grams, own = [], []
+    for (i, name, n, low, high, counted), words in zip(_template_rows(threshold), template_names()):
+        named = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        grams += [(gram, i, times, gram in named) for gram, times in counted]
+        own.append((i, name, n, low, high, len(named)))
+    grams = spark.createDataFrame(grams, "gram string, template int, times int, named boolean")
+    own = spark.createDataFrame(own, "template int, license string, own int, low int, high int, names int")
+    known = sorted({r["gram"] for r in grams.collect()})
+    # rows with the same id and text have the same windows; the set of positions holds them once
+    text = ("doc_id", "key")
+    found = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(_bigrams(_plain(T.text_or_empty()))).alias("made")) \
+        .select(*text, F.posexplode("made").alias("pos", "gram")).where(F.col("gram").isin(known)) \
+        .groupBy(*text, "gram").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # a bigram counts in a window if fewer than the template's number of the same stand before it there:
+    # if the one so many before it stands before the window
+    hits = F.transform("at", lambda p, k: F.struct(p.alias("pos"), F.when(
+        k >= F.col("times"), F.get("at", k - F.col("times"))).otherwise(-1).alias("block"), F.col("named").alias("named")))
+    hits = found.join(F.broadcast(grams), "gram").select(*text, "template", hits.alias("hits")) \
+        .groupBy(*text, "template").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits")) \
+        .join(F.broadcast(own), "template").where(F.size("hits") >= F.col("low"))
+    starts = F.filter(F.transform("hits", lambda h, i: F.struct(
+        h["pos"].alias("start"), i.alias("i"), F.get("hits", i + F.col("low") - 1)["pos"].alias("reach"))),
+        lambda s: s["reach"] < s["start"] + F.col("high"))
+
+    def best(start: Column, counted: Column) -> Column:
+        made = F.transform(counted, lambda h, c: F.struct(
+            (2 * (c + 1) / (h["pos"] - start + 1 + F.col("own"))).alias("dice"), h["pos"].alias("end"), c.alias("c")))
+        return F.array_max(F.filter(made, lambda w: (w["dice"] >= threshold) & ((F.col("names") == 0) | (
+            2 * F.size(F.filter(F.slice(counted, 1, w["c"] + 1), lambda h: h["named"])) > F.col("names")))))
+
+    made = F.transform(starts, lambda s: F.struct(s["start"].alias("start"), F.get(F.transform(F.array(F.filter(
+        F.slice("hits", s["i"] + 1, F.col("high")), lambda h: (h["pos"] < s["start"] + F.col("high")) & (h["block"] < s["start"]))),
+        lambda counted: best(s["start"], counted)), F.lit(0)).alias("best")))
+    made = hits.select(*text, "license", F.explode(made).alias("w")).where(F.col("w.best").isNotNull()).select(
+        *text, "license", (-F.col("w.best.dice")).alias("low"), F.col("w.start").alias("start"), F.col("w.best.end").alias("end"))
+    # windows that overlap, one after the other, are a group
+    before = Window.partitionBy(*text).orderBy("start", "end", "license", "low")
+    new = (F.col("start") > F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
+    made = made.withColumn("new", new).withColumn("group", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = F.aggregate(
+        F.sort_array(F.collect_set(F.struct("low", "start", "end", "license"))),
+        F.array().cast("array<struct<low:double,start:int,end:int,license:string>>"),
+        lambda kept, w: F.when(F.exists(kept, lambda k: (k["start"] <= w["end"]) & (w["start"] <= k["end"]) & (
+            (k["low"] < w["low"]) | (k["license"] == w["license"]))), kept).otherwise(F.concat(kept, F.array(w))))
+    return made.groupBy(*text, "group").agg(kept.alias("kept")).select("doc_id", F.explode("kept").alias("w")) \
+        .select("doc_id", F.col("w.license").alias("license"), (-F.col("w.low")).alias("dice"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, unit, license, dice of every unit of ``docs`` (doc_id, text) that reaches the threshold."""
+    """doc_id, unit, license, dice of every unit of ``docs`` (doc_id, text) that reaches the threshold, and of the windows (no unit)."""
     spark = docs.sparkSession
     # a fixed table: templates times the sizes within their bounds
     table = spark.createDataFrame(_template_rows(threshold), "template int, license string, own int, low int, high int, "
                                   "grams array<struct<gram:string,times:int>>")
     sizes = table.select("template", F.explode(F.sequence("low", "high")).alias("bigrams"))
     held = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(key_words(threshold))})(?![\p{{L}}\p{{N}}])"
-    sized = units(docs.where(F.lower("text").rlike(held))).withColumn("bigrams", F.octet_length("words") - F.octet_length(F.translate("words", " ", "")))
+    docs = docs.where(F.lower("text").rlike(held))
+    sized = units(docs).withColumn("bigrams", F.octet_length("words") - F.octet_length(F.translate("words", " ", "")))
     sized = sized.join(F.broadcast(sizes.select("bigrams").distinct()), "bigrams", "left_semi")
-    # bound as a lambda variable, the words of a unit are split once, not once a use; the generator keeps
-    # Spark from making the bigrams anew for each template
-    paired = F.transform(F.array(F.split("words", " ")), lambda w: F.transform(
-        F.sequence(F.lit(0), F.col("bigrams") - 1), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
-    met = sized.select("doc_id", "unit", "bigrams", F.explode(paired).alias("made")) \
+    # the generator keeps Spark from making the bigrams anew for each template
+    met = sized.select("doc_id", "unit", "bigrams", F.explode(_bigrams(F.col("words"))).alias("made")) \
         .join(F.broadcast(sizes), "bigrams").join(F.broadcast(table), "template")
     # no more common bigrams than distinct ones on both sides and the template's repeats; most pairs end here
     most = F.size(F.array_intersect("made", F.transform("grams", lambda g: g["gram"]))) + F.col("own") - F.size("grams")
@@ -171,7 +247,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = met.where(2 * most >= threshold * both)
     common = F.aggregate("grams", F.lit(0), lambda a, g: a + F.least(
         g["times"], F.size(F.filter("made", lambda x: x == g["gram"]))))
-    return met.withColumn("dice", 2 * common / both).where(F.col("dice") >= threshold).select("doc_id", "unit", "license", "dice")
+    return met.withColumn("dice", 2 * common / both).where(F.col("dice") >= threshold).select("doc_id", "unit", "license", "dice") \
+        .unionByName(windows(docs, threshold).withColumn("unit", F.lit(None).cast("int")))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,52 @@ def test_license_texts(spark, make):
     assert found[1] == found[2] == found[3] == {"MIT"} and "BSD-2-Clause" in found[7] and not {4, 5, 6, 8} & set(found)
 
 
+def test_licenses_over_paragraphs_and_within_lines(spark, make):
+    prose = "Some words of the text in which it stands, and more of them. " * 12
+    cut = lambda name, *at: re.sub("(" + "|".join(at) + ")", r"\n\n\1", licenses.TEXTS[name])      # noqa: E731
+    mit = cut("MIT", "The above copyright", 'THE SOFTWARE IS PROVIDED')
+    bsd = "\n".join("// " + x for x in cut("BSD-3-Clause", "1. ", "2. ", "3. ", "THIS SOFTWARE IS").split("\n"))
+    apache = "\n".join("# " + x for x in cut("Apache-2.0", "You may obtain", "Unless").split("\n"))
+    docs = make([(1, f"{prose}\n\n{mit}\n\n{prose}"), (2, f"{prose}\n{bsd}\nint main() {{}}"), (3, f"#!/bin/sh\n{apache}\n\nimport os\n{prose}"),
+                 (4, f"{prose} It is released under the MIT License, see there. {prose}"), (4, f"{prose} It is released under the MIT License, see there. {prose}"),
+                 (5, f"{prose} This work is licensed under the licence of its authors. {prose}"), (6, f"{prose}\n\n{mit[:len(mit) // 3]}\n\n{prose}"),
+                 (7, f"{prose} Licensed under the GNU General Public License, version 3, and {prose}distributed under the ISC License. {prose}"),
+                 (None, f"{prose}\n\n{mit}"), (8, f"{prose} license")])
+    found = {}
+    for r in licenses.scan(docs).collect():
+        of = found.setdefault(r["doc_id"], {})
+        of[r["license"]] = max(of.get(r["license"], 0.0), r["dice"])
+    assert found.pop(1) == found.pop(4) == found.pop(None) == {"MIT": 1.0} and found.pop(2) == {"BSD-3-Clause": 1.0} and found.pop(3) == {"Apache-2.0": 1.0}
+    assert found == {7: {"GPL-3.0": 1.0, "ISC": 1.0}}
+
+
+def test_windows_are_the_best_of_all(spark, make):
+    rnd = random.Random(4)
+    forms = [t for t in licenses.templates() if len(t[1]) < 12]
+    rows = []
+    for i in range(24):
+        words = []
+        for _ in range(rnd.randint(1, 3)):
+            words += rnd.choices(["so", "the", "under", "license", "licensed"], k=rnd.randint(0, 4)) + [w for w in rnd.choice(forms)[1] if rnd.random() < 0.93]
+        rows.append((i, " ".join(words)))
+    got = {}
+    for r in licenses.windows(make(rows)).collect():
+        got[r["doc_id"]] = max(got.get(r["doc_id"], 0.0), r["dice"])
+    for i, text in rows:
+        made, best = [*zip(text.split(), text.split()[1:])], 0.0
+        for (_, words), name in zip(licenses.templates(), licenses.template_names()):
+            grams, named = [*zip(words, words[1:])], {*zip(name, name[1:])}
+            if len(grams) > 3 * len(made):
+                continue
+            for a in range(len(made)):
+                for b in range(a + 1, min(len(made), a + len(grams) * 2) + 1):
+                    common = sum(min(made[a:b].count(g), grams.count(g)) for g in set(grams))
+                    dice = 2 * common / (b - a + len(grams))
+                    if dice > best and (not named or 2 * sum(g in made[a:b] for g in named) > len(named)):
+                        best = dice
+        assert got.get(i, 0.0) == pytest.approx(best if best >= 0.8 else 0.0), text
+
+
 def test_size_bounds_hold():
     for n in range(1, 60):
         low, high = licenses.size_bounds(n)
