@@ -93,7 +93,7 @@ def mix(docs: DataFrame, size: str = "size", quality: str = "quality", seed: str
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = keyed.groupBy("source", "bin", "rest").agg(F.sum("size").alias("words")) \
         .withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    ends = bins.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))) \
+    ends = bins.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))) \
         .select("source", F.col("bin").alias("end_bin"), "before")
     ends = T.written(ends, "mix-ends")
     marked = keyed.join(ends, keyed["source"].eqNullSafe(ends["source"]), "left").drop(ends["source"])

@@ -43,6 +43,12 @@ def test_mix_of_odd_rows_and_small_bins(spark, make):
     assert [r["taken"] for r in mixing.mix(mixing.measured(make([(1, None), (2, " ")]))).collect()] == [0, 0]
 
 
+def test_rest_that_ends_with_a_bin_ends_the_draw(spark, make):
+    # one source of equal documents; with a bin for each, the first 22 keys end a bin and meet the rest exactly
+    sized = mixing.measured(make([(i, "w") for i in range(64)]))
+    assert mixing.mix(sized, docs_per_bin=1, share=22 / 64).agg({"taken": "sum"}).first()[0] == 22
+
+
 def brute_pii(t):
     found = []
     luhn = lambda d: sum((x if i % 2 == 0 else x * 2 - 9 * (x > 4)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
