@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import exact_dedup, html_text, jaccard_join, langid, licenses, mixing, packing, pii, quality, token_files
+from caseflow.llm import exact_dedup, html_text, jaccard_join, langid, licenses, merkle, mixing, packing, pii, quality, token_files
 from caseflow.session import ship_package
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -20,6 +20,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (mixing.op8, mixing.OP8_SQL),
     "op9_pii": (pii.op9, pii.OP9_SQL),
     "op10_licenses": (licenses.op10, licenses.OP10_SQL),
+    "op11_merkle": (merkle.op11, merkle.OP11_SQL),
 }
 
 
