@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseflow.llm import alignment, exact_dedup, html_text, jaccard_join, langid, licenses, merkle, mixing, packing, pii, quality, token_files
+from caseflow.llm import alignment, exact_dedup, html_text, jaccard_join, langid, licenses, merkle, mixing, packing, pii, quality, token_files, toxicity
 from caseflow.session import ship_package
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -22,6 +22,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_licenses": (licenses.op10, licenses.OP10_SQL),
     "op11_merkle": (merkle.op11, merkle.OP11_SQL),
     "op12_alignment": (alignment.op12, None),
+    "op13_toxicity": (toxicity.op13, None),
 }
 
 
