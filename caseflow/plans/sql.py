@@ -1,10 +1,16 @@
 """Guarded read-only ad-hoc SQL over the fact views (Q16).
 
-Spark's parser turns the text into a plan, which decides: it must be a query (a
-command, such as an insert or a create, is a plan of another kind), every relation in
-it, in sub-queries too, must be one of the given views or a common table
-expression of its own, and functions that reach outside the data are refused. Words in
-the text play no part, so ``REPLACE()`` and literals with semicolons are allowed.
+A query runs in a session of its own that knows the given views and nothing else of the
+caller's: no temporary views, functions or variables. Spark's parser and analyser decide
+what may pass, by lists of what is allowed:
+
+* the parsed text may consist of the plan nodes of queries only (``NODES``) and of
+  built-in functions by their plain names, so commands, ``IDENTIFIER(...)``,
+  ``EXECUTE IMMEDIATE`` and scripts end before anything is resolved;
+* in the analysed plan every leaf must lie within one of the given views or hold values
+  that the query itself states.
+
+Words in the text play no part, so ``REPLACE()`` and literals with semicolons are allowed.
 """
 
 from __future__ import annotations
@@ -14,11 +20,28 @@ from collections.abc import Iterator, Mapping
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
-#: Functions that call into the JVM or tell about the session's machine.
-REFUSED_FUNCTIONS = frozenset({"reflect", "try_reflect", "java_method", "input_file_name", "input_file_block_start",
-                               "input_file_block_length", "raise_error", "assert_true"})
+#: Nodes of queries, before and after analysis.
+NODES = frozenset({
+    "Aggregate", "CTERelationDef", "CTERelationRef", "Deduplicate", "Distinct", "Except", "Expand", "Filter", "Generate",
+    "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot",
+    "Project", "RebalancePartitions", "Repartition", "RepartitionByExpression", "ResolvedInlineTable", "Sample", "Sort",
+    "SubqueryAlias", "Union", "Unpivot", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedRelation",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedWith", "View", "Window", "WithCTE",
+    "WithWindowDefinition"})
+#: Leaves that hold values of the query's own.
+VALUES = frozenset({"CTERelationRef", "LocalRelation", "OneRowRelation", "ResolvedInlineTable"})
+#: Built-in functions that call into the JVM, read files, or tell about the session and its machine.
+REFUSED_FUNCTIONS = frozenset({
+    "assert_true", "current_catalog", "current_database", "current_schema", "current_user", "from_avro", "from_protobuf",
+    "input_file_block_length", "input_file_block_start", "input_file_name", "java_method", "raise_error", "reflect",
+    "session_user", "to_avro", "to_protobuf", "try_reflect", "user", "version"})
 #: Table functions that only unfold values of the query itself.
-ALLOWED_TABLE_FUNCTIONS = frozenset({"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"})
+TABLE_FUNCTIONS = frozenset({"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"})
+#: Expressions that name what they call only when the query is analysed, or that run other code.
+REFUSED_EXPRESSIONS = frozenset({"CallMethodViaReflection", "ExpressionWithUnresolvedIdentifier", "FunctionTableSubqueryArgumentExpression",
+                                 "NamedParameter", "PosParameter", "PythonUDAF", "PythonUDF", "ScalaAggregator", "ScalaUDAF", "ScalaUDF",
+                                 "TryReflect", "VariableReference"})
+_EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions"
 
 
 class QueryRejected(ValueError):
@@ -29,85 +52,88 @@ def _items(seq: JavaObject) -> Iterator:
     return (seq.apply(i) for i in range(seq.size()))
 
 
-def _names(seq: JavaObject) -> list[str]:
-    return [str(x) for x in _items(seq)]
-
-
-class _Inspector:
-    """Walks a parsed plan and gathers what it refers to."""
-
-    def __init__(self) -> None:
-        self.relations: set[tuple[str, ...]] = set()
-        self.expressions: set[str] = set()
-        self.functions: set[str] = set()
-        self.table_functions: set[str] = set()
-        self.commands: set[str] = set()
-
-    def plan(self, node: JavaObject) -> None:
-        kind = node.getClass().getSimpleName()
-        if kind == "UnresolvedRelation":
-            self.relations.add(tuple(n.lower() for n in _names(node.multipartIdentifier())))
-        elif kind == "UnresolvedTableValuedFunction":
-            self.table_functions.add(".".join(_names(node.name())).lower())
-        elif kind == "UnresolvedWith":
+def _kind(node: JavaObject) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+class _Guard:
+    """Walks a plan and raises where it meets what is not allowed."""
+
+    def __init__(self, spark: SparkSession, views: frozenset[str]):
+        jvm = spark._jvm
+        self.views = views
+        self.subquery = jvm.java.lang.Class.forName(f"{_EXPRESSIONS}.SubqueryExpression")
+        found = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().listFunction()
+        self.functions = {f.funcName().lower() for f in _items(found)} - REFUSED_FUNCTIONS
+
+    def plan(self, node: JavaObject, analysed: bool) -> None:
+        kind = _kind(node)
+        if kind not in NODES:
+            raise QueryRejected(f"only queries over the views may run, not {kind}")
+        if kind == "View":
+            named = node.desc().identifier()
+            if not node.isTempView() or named.database().isDefined() or named.table().lower() not in self.views:
+                raise QueryRejected(f"{named} is not one of the views {', '.join(sorted(self.views))}")
+            return          # what a given view reads is its owner's choice
+        if kind == "UnresolvedTableValuedFunction":
+            name = ".".join(_items(node.name())).lower()
+            if name not in TABLE_FUNCTIONS:
+                raise QueryRejected(f"the table function {name} may not be used")
+        if kind == "UnresolvedWith":
             for pair in _items(node.cteRelations()):
-                self.expressions.add(str(pair._1()).lower())
-                self.plan(pair._2())
-        elif "Command" in kind or "Statement" in kind or "Insert" in kind or kind.startswith(("Create", "Drop", "Set", "Show")):
-            self.commands.add(kind)
-        elif kind in ("RelationTimeTravel", "UnresolvedInlineTable"):
-            self.commands.add(kind) if kind == "RelationTimeTravel" else None
-        for child in _items(node.children()):
-            self.plan(child)
+                self.plan(pair._2(), analysed)
+        children = list(_items(node.children()))
+        if analysed and not children and kind not in VALUES:
+            raise QueryRejected(f"{kind} is not one of the views {', '.join(sorted(self.views))}")
+        for child in children:
+            self.plan(child, analysed)
         for expression in _items(node.expressions()):
-            self.expression(expression)
+            self.expression(expression, analysed)
 
-    def expression(self, node: JavaObject) -> None:
-        kind = node.getClass().getSimpleName()
+    def expression(self, node: JavaObject, analysed: bool) -> None:
+        kind = _kind(node)
+        if kind in REFUSED_EXPRESSIONS:
+            raise QueryRejected(f"{kind} may not be used")
         if kind == "UnresolvedFunction":
-            self.functions.add(_names(node.nameParts())[-1].lower())
-        elif hasattr(node, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery",
-                                                "FunctionTableSubqueryArgumentExpression"):
-            if kind != "InSubquery":
-                self.plan(node.plan())
+            name = ".".join(_items(node.nameParts())).lower()
+            if name not in self.functions:
+                raise QueryRejected(f"the function {name} may not be used")
+        if self.subquery.isInstance(node):
+            self.plan(node.plan(), analysed)
         for child in _items(node.children()):
-            self.expression(child)
+            self.expression(child, analysed)
 
 
-def check(spark: SparkSession, sql: str, allowed: frozenset[str]) -> None:
-    """Raise ``QueryRejected`` unless ``sql`` is one query over ``allowed`` views."""
-    if not sql or not sql.strip():
-        raise QueryRejected("there is no query")
-    try:
-        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Exception as exc:
-        raise QueryRejected(f"not a query Spark can parse: {exc}") from exc
-    seen = _Inspector()
-    seen.plan(parsed)
-    if seen.commands:
-        raise QueryRejected(f"only queries may run, not {', '.join(sorted(seen.commands))}")
-    for relation in sorted(seen.relations):
-        if len(relation) != 1 or relation[0] not in allowed | seen.expressions:
-            raise QueryRejected(f"{'.'.join(relation)} is not one of the views {', '.join(sorted(allowed))}")
-    hidden = sorted(n for n in seen.expressions - allowed if spark.catalog.tableExists(n))
-    if hidden:
-        # outside the expression's own scope the name would mean that table
-        raise QueryRejected(f"common table expressions may not take the names of tables: {', '.join(hidden)}")
-    refused = sorted(seen.functions & REFUSED_FUNCTIONS | seen.table_functions - ALLOWED_TABLE_FUNCTIONS)
-    if refused:
-        raise QueryRejected(f"these functions may not be used: {', '.join(refused)}")
+def _own_session(spark: SparkSession, views: Mapping[str, DataFrame]) -> SparkSession:
+    """A session with the caller's settings that knows ``views`` only."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    dataset = spark._jvm.org.apache.spark.sql.classic.Dataset
+    for name, df in views.items():
+        dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()).createOrReplaceTempView(name)
+    return own
 
 
 def query(spark: SparkSession, sql: str, views: Mapping[str, DataFrame]) -> DataFrame:
     """Q16: run ``sql`` over ``views`` only; returns a lazy DataFrame or raises ``QueryRejected``.
 
-    The views are registered under their names in the caller's own session.
+    The caller's session keeps no trace of it; the result belongs to that session.
     """
-    allowed = frozenset(name.lower() for name in views)
-    check(spark, sql, allowed)
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
+    if not sql or not sql.strip():
+        raise QueryRejected("there is no query")
+    own = _own_session(spark, views)
+    guard = _Guard(spark, frozenset(name.lower() for name in views))
+    state = own._jsparkSession.sessionState()
+    try:
+        parsed = state.sqlParser().parsePlan(sql)
+    except Exception as exc:
+        raise QueryRejected(f"not a query Spark can parse: {exc}") from exc
+    guard.plan(parsed, analysed=False)
     try:
-        return spark.sql(sql)
+        analysed = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, parsed).queryExecution().analyzed()
     except Exception as exc:
         raise QueryRejected(f"the query does not fit the views: {exc}") from exc
+    guard.plan(analysed, analysed=True)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, analysed), spark)
