@@ -180,3 +180,13 @@ def zero_if_null(c: ColumnOrName) -> Column:
 def non_blank(c: ColumnOrName) -> Column:
     """F7 predicate: not null and not the empty string."""
     return _c(c).isNotNull() & (_c(c) != "")
+
+
+def interleave_bits(a: ColumnOrName, b: ColumnOrName, bits: int) -> Column:
+    """Z-order key: the lowest ``bits`` bits of two integers in turn, ``a`` ahead of ``b``."""
+    out = F.lit(0).cast("long")
+    for i in range(bits):
+        for c, place in ((b, 2 * i), (a, 2 * i + 1)):
+            bit = F.shiftright(_c(c).cast("long"), i).bitwiseAND(F.lit(1).cast("long"))
+            out = out.bitwiseOR(F.shiftleft(bit, place))
+    return out

@@ -2,19 +2,24 @@
 
 Rows are rolled up to (disease, state, month, source); per (disease, state,
 month) the highest-priority source that has any row wins, even if its sum
-is null. Two physical plans give the same rows:
-
-* ``conditional`` — one aggregate with a (rows, sum) pair per listed source,
-  then a projection picks the winner: a single exchange, map-side partial
-  aggregation absorbs hot keys. Requires every source to be listed.
-* ``window`` — aggregate per source, then ``row_number`` over the small
-  monthly aggregate (Spark plans a WindowGroupLimit). Works for any sources;
-  unlisted sources rank after listed ones, ties broken by source name.
+is null. Sources that no priority lists rank after listed ones, by name.
+Three physical plans give the same rows, each from one scan:
+
+* ``conditional`` — the sources are known (``sources``, as a written table's
+  catalogue tells them): one aggregate with a (rows, sum) pair per source, then a
+  projection picks the winner. A single exchange, map-side partial aggregation
+  absorbs hot keys. A row of a source not named ends the query, so none is lost.
+* ``ranked`` — any sources: sums by source, then the least (rank, source) of
+  each month, partially aggregated too. The second exchange carries monthly sums.
+* ``window`` — as ``ranked``, with ``row_number`` (Spark plans a WindowGroupLimit).
+
+``merge_rolled`` is the second half of ``ranked`` over monthly sums that are
+stored already (``plans.rollup``): one small scan, one exchange.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,24 +52,42 @@ def monthly_by_source(facts: DataFrame, key: str = "disease_name") -> DataFrame:
                  .agg(F.sum("count").alias("count")))
 
 
-def merged_monthly(facts: DataFrame, priority: Sequence[str] = dims.DEFAULT_PRIORITY,
-                   plan: str = "window", key: str = "disease_name") -> DataFrame:
+def merged_monthly(facts: DataFrame, priority: Sequence[str] = dims.DEFAULT_PRIORITY, plan: str = "window",
+                   key: str = "disease_name", sources: Collection[str] | None = None) -> DataFrame:
     """Q15: one row per (disease, state, month) from the best source available.
 
     ``key`` is the disease column the merge partitions by: the feeds' rule is
     ``disease_name`` (differently cased names never dedupe); ``disease_slug``
-    merges them.
+    merges them. ``sources`` names every source of ``facts``; without it the
+    ``conditional`` plan cannot be made and ``ranked`` is.
     """
     if key not in ("disease_name", "disease_slug"):
         raise ValueError(f"merge key must be disease_name or disease_slug, got {key!r}")
     priority = list(priority)
-    if plan == "conditional":
-        return _merged_conditional(facts, priority, key)
+    if plan == "conditional" and sources is not None:
+        return _merged_conditional(facts, [*priority, *sorted(set(sources) - set(priority))], key)
+    if plan in ("conditional", "ranked"):
+        return merge_rolled(monthly_by_source(facts, key), priority, key)
     if plan != "window":
         raise ValueError(f"unknown merge plan {plan!r}")
     return _merged_window(facts, priority, key)
 
 
+def merge_rolled(monthly: DataFrame, priority: Sequence[str] = dims.DEFAULT_PRIORITY, key: str = "disease_name") -> DataFrame:
+    """Q15 over monthly sums by source (a row per disease, state, month and source, blank states left out).
+
+    The name is a grouping column, so a filter on it, on the state or on the month
+    reaches the scan of the sums.
+    """
+    if key == "disease_slug":
+        monthly = (monthly.groupBy("disease_slug", "state", "month", "data_source")
+                          .agg(F.min("disease_name").alias("disease_name"), F.sum("count").alias("count")))
+    best = F.min(F.struct(X.source_rank("data_source", list(priority)).alias("rank"), "data_source", "disease_name",
+                          "disease_slug", F.col("count").cast("long").alias("count")))
+    merged = monthly.groupBy(key, "state", "month").agg(best.alias("best"))
+    return merged.select(*[F.col(c) if c in (key, "state", "month") else F.col(f"best.{c}").alias(c) for c in MERGED_COLUMNS])
+
+
 def _merged_window(facts: DataFrame, priority: list[str], key: str) -> DataFrame:
     monthly = monthly_by_source(facts, key)
     w = Window.partitionBy(key, "state", "month").orderBy(
@@ -74,11 +97,12 @@ def _merged_window(facts: DataFrame, priority: list[str], key: str) -> DataFrame
                    .select(*MERGED_COLUMNS))
 
 
-def _merged_conditional(facts: DataFrame, priority: list[str], key: str) -> DataFrame:
+def _merged_conditional(facts: DataFrame, sources: list[str], key: str) -> DataFrame:
     # disease_slug is a function of disease_name in every loader (P5 derives it),
     # so grouping by both keeps exactly one group per (disease_name, state, month).
-    aggs = []
-    for i, src in enumerate(priority):
+    known = F.coalesce(F.col("data_source").isin(sources), F.lit(False))
+    aggs = [F.count_if(~known).alias("_others")]
+    for i, src in enumerate(sources):
         is_src = F.col("data_source") == src
         aggs += [F.count_if(is_src).alias(f"_n{i}"), F.sum(F.when(is_src, F.col("count"))).alias(f"_s{i}")]
         if key == "disease_slug":
@@ -86,25 +110,15 @@ def _merged_conditional(facts: DataFrame, priority: list[str], key: str) -> Data
     keys = ["disease_name", "disease_slug", "state", "month"] if key == "disease_name" \
         else ["disease_slug", "state", "month"]
     g = _monthly_scope(facts).groupBy(*keys).agg(*aggs)
-    src_expr = cnt_expr = name_expr = None
-    for i, src in enumerate(priority):
+    unknown = F.col("_others") > 0
+    source = F.when(unknown, F.raise_error(F.lit(f"rows of other sources than {', '.join(sources)}")).cast("string"))
+    count, name = F.when(F.lit(False), F.lit(None).cast("long")), F.when(F.lit(False), F.lit(None).cast("string"))
+    for i, src in enumerate(sources):
         has = F.col(f"_n{i}") > 0
-        name_i = F.col(f"_m{i}") if key == "disease_slug" else F.col("disease_name")
-        if src_expr is None:
-            src_expr, cnt_expr, name_expr = F.when(has, F.lit(src)), F.when(has, F.col(f"_s{i}")), F.when(has, name_i)
-        else:
-            src_expr, cnt_expr, name_expr = (src_expr.when(has, F.lit(src)), cnt_expr.when(has, F.col(f"_s{i}")),
-                                             name_expr.when(has, name_i))
+        source, count = source.when(has, F.lit(src)), count.when(has, F.col(f"_s{i}"))
+        if key == "disease_slug":
+            name = name.when(has, F.col(f"_m{i}"))
     # with key disease_name the name is the grouping column itself, so a filter on it
     # is pushed through the aggregate down to the scan
-    name_out = F.col("disease_name") if key == "disease_name" else name_expr
-    listed = g.where(src_expr.isNotNull()).select(
-        name_out.alias("disease_name"), "disease_slug", "state", "month",
-        src_expr.alias("data_source"), cnt_expr.cast("long").alias("count"))
-    # rows of other sources; a table partitioned by source reads none where all of its sources are listed
-    others = facts.where(~F.coalesce(F.col("data_source").isin(priority), F.lit(False)))
-    rest = _merged_window(others, priority, key).withColumn("count", F.col("count").cast("long"))
-    keys = (key, "state", "month")
-    taken = listed.select(*[F.col(c).alias(f"_taken_{c}") for c in keys])
-    missing = rest.join(taken, [rest[c].eqNullSafe(taken[f"_taken_{c}"]) for c in keys], "left_anti")
-    return listed.unionByName(missing)
+    name = F.col("disease_name") if key == "disease_name" else name
+    return g.select(name.alias("disease_name"), "disease_slug", "state", "month", source.alias("data_source"), count.cast("long").alias("count"))

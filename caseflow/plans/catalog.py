@@ -1,30 +1,38 @@
 """Loading, persisting and exposing the fact table.
 
-The fact table is written once and read by every query: a load job derives
-and validates the feeds, then writes Parquet partitioned by ``data_source``
-and dealt by range of (disease_name, state, report_period_start), so a query for
-one disease skips the files of the others by their footers, and within a file
-rows are sorted by the same columns. Writing into the shared checkpoint folder
-also cuts the lineage: a lost executor re-reads files, it does not recompute
-the feeds.
+The fact table is written once and read by every query: a load job stages the
+feeds, checks them, then writes Parquet partitioned by ``data_source`` and dealt by
+range of an interleaved key of disease and month, so a file covers a few diseases and
+a few months: a query for one disease skips most files by their footers, and so does
+a query for a range of months. Every load is a new version (``versions``): readers see
+the version before until the new one is whole, and a load that fails changes nothing.
+Writing also cuts the lineage: a lost executor re-reads files, it does not recompute
+the feeds. The monthly roll-up behind the merged view (``rollup``) lies beside it.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
+from caseflow.functions import columns as X
 from caseflow.operators.windows import append_sources, distinct_rows
 from caseflow.operators.schema import FACT_COLUMNS, FACT_SCHEMA, REQUIRED_NON_NULL, conform, validate
+from caseflow.plans import rollup, versions
 from caseflow.session import LOAD_CONF, scratch_path, session_conf
 
 log = logging.getLogger(__name__)
 
-CLUSTER_COLUMNS = ("disease_name", "state", "report_period_start")
+#: Bits of the clustering key that disease and month have each.
+CLUSTER_BITS = 10
+#: Where a row group has too many slugs for a dictionary, a Bloom filter tells the absent ones.
+FILE_OPTIONS = {"parquet.bloom.filter.enabled#disease_slug": "true", "parquet.bloom.filter.expected.ndv#disease_slug": "20000"}
 
 
 def load_all(spark: SparkSession, loaders: Mapping[str, Callable[[SparkSession], DataFrame]],
@@ -63,21 +71,47 @@ def load_all(spark: SparkSession, loaders: Mapping[str, Callable[[SparkSession],
     return facts, spark.createDataFrame(report, "source string, status string, detail string")
 
 
-def write_facts(df: DataFrame, path: str) -> DataFrame:
-    """K6 + K10: replace the table at ``path``; returns the table read back.
+def clustered(facts: DataFrame) -> DataFrame:
+    """Add ``_cluster``: bits of the disease's rank and of the month's place in the table's span, interleaved.
 
-    One shuffle by range of (data_source, disease_name, state,
-    report_period_start): a file holds a narrow range of them, so its footer lets a
-    query for another disease skip it, and a source filter is a partition filter.
-    The range bounds come from a sample of all four columns, so a hot disease
-    is split over as many tasks as its rows need.
+    The ranks are a row a disease, the span is one row; both come from two columns of ``facts``.
     """
-    keys = ("data_source", *CLUSTER_COLUMNS)
-    (conform(df)
-        .repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-        .sortWithinPartitions(*keys)
-        .write.mode("overwrite").partitionBy("data_source").parquet(path))
-    return read_facts(spark_of(df), path)
+    top = (1 << CLUSTER_BITS) - 1
+    span = facts.agg(F.min("report_period_start").alias("a"), F.max("report_period_start").alias("b")).first()
+    by_slug = Window.orderBy("disease_slug")        # over the distinct slugs only
+    ranks = facts.select("disease_slug").distinct().select(
+        F.col("disease_slug").alias("_slug"), (F.percent_rank().over(by_slug) * top).cast("int").alias("_rank"))
+
+    def months(c: Column) -> Column:
+        return F.year(c) * 12 + F.month(c)
+
+    first, last = (F.lit(v).cast("timestamp_ntz") for v in span)
+    place = (months(F.col("report_period_start")) - months(first)) * top / F.greatest(months(last) - months(first), F.lit(1))
+    key = X.interleave_bits(F.coalesce("_rank", F.lit(0)), F.coalesce(place.cast("int"), F.lit(0)), CLUSTER_BITS)
+    return (facts.join(ranks, F.col("disease_slug").eqNullSafe(F.col("_slug")), "left")
+                 .withColumn("_cluster", key).drop("_slug", "_rank"))
+
+
+def write_facts(df: DataFrame, path: str, partitions: int | None = None, keep_versions: int = 2) -> DataFrame:
+    """K6 + K10: replace the table at ``path`` by a new version; returns the table read back.
+
+    One shuffle by range of (data_source, interleaved disease and month, state, period
+    start). The range bounds come from a sample of all of them, so a hot disease or month
+    is split over as many tasks as its rows need. ``df`` is read more than once: hand
+    over staged rows, not a lazy feed. The log names the new version when all of it is
+    written, in one rename; versions beyond ``keep_versions`` go.
+    """
+    spark = spark_of(df)
+    before = versions.current(spark, path)
+    folder = versions.fresh(path)
+    keys = ("data_source", "_cluster", "state", "report_period_start")
+    (clustered(conform(df))
+        .repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+        .sortWithinPartitions(*keys).drop("_cluster")
+        .write.options(**FILE_OPTIONS).partitionBy("data_source").parquet(f"{path.rstrip('/')}/{folder}"))
+    versions.publish(spark, path, {"folders": [folder]}, before and before["number"])
+    versions.sweep(spark, path, [folder], keep_versions)
+    return read_facts(spark, path)
 
 
 def spark_of(df: DataFrame) -> SparkSession:
@@ -91,20 +125,28 @@ def valid_sources(facts: DataFrame) -> dict[str, int]:
             for r in facts.groupBy("data_source").agg(bad.alias("n_bad")).collect()}
 
 
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Read a written fact table back in schema order (partition column restored to its place)."""
-    return spark.read.schema(FACT_SCHEMA).parquet(path).select(*FACT_COLUMNS)
+def read_facts(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """Read a written fact table (its current version, or version ``number``) in schema order."""
+    entry = versions.current(spark, path) if number is None else versions.record(spark, path, number)
+    if entry is None:
+        raise FileNotFoundError(f"no fact table was published at {path}")
+    [folder] = entry["folders"]
+    return spark.read.schema(FACT_SCHEMA).parquet(f"{path.rstrip('/')}/{folder}").select(*FACT_COLUMNS)
 
 
 def open_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """K7: reuse the table at ``path`` if it and its merged view have rows, else build and write it."""
+    """K7: reuse the table at ``path`` if it and its merged view have rows, else build and write it.
+
+    A table of which files are missing or damaged is built anew, like one that was never
+    published.
+    """
     from caseflow.operators.merge import merged_monthly
     try:
         existing = read_facts(spark, path)
         if not merged_monthly(existing.limit(1)).isEmpty():
             return existing
-    except AnalysisException:
-        pass
+    except (FileNotFoundError, PySparkException, Py4JJavaError) as exc:
+        log.warning("rebuilding %s: %s", path, exc)
     return write_facts(build(), path)
 
 
@@ -139,49 +181,107 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         t = f.dataType.typeName()
         if t in ("date", "timestamp", "timestamp_ntz"):
-            cols.append(F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name))
+            cols.append(X.iso_date(f.name).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def to_arrow(df: DataFrame) -> DataFrame:
+    """The result as Arrow IPC streams, (batch, columns, row_count, arrow) a row.
+
+    Distributed: each task turns its Arrow batches into streams of their own (schema and
+    one batch), which any Arrow reader opens; nothing is gathered on the driver. A result
+    without rows has no streams; ``result_shape`` tells its columns.
+    """
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_pydict({"batch": [i], "columns": [names], "row_count": [len(batch)], "arrow": [sink.getvalue().to_pybytes()]},
+                                             pa.schema([("batch", pa.int32()), ("columns", pa.list_(pa.string())), ("row_count", pa.int64()), ("arrow", pa.binary())]))
+
+    return df.mapInArrow(run, "batch int, columns array<string>, row_count long, arrow binary")
+
+
+def from_arrow(streams: DataFrame, schema) -> DataFrame:
+    """The rows of ``to_arrow`` streams, read back on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("arrow").to_pylist():
+                with pa.ipc.open_stream(raw) as stream:
+                    yield from stream
+
+    return streams.select("arrow").mapInArrow(run, schema)
+
+
 # ------------------------------------------------------------------ registry fact table
 _BUILT: dict[tuple[str, str], tuple[str, list[str]]] = {}
-_FRAMES: dict[tuple[str, str], DataFrame] = {}
+_FRAMES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+    """(folder, valid sources) of the tables derived from ``sf_dir``, written once per session."""
+    from caseflow.plans.facts import facts_from_tables
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _BUILT:
+        root, staged = scratch_path(spark, "facts"), scratch_path(spark, "stage-facts")
+        with session_conf(spark, LOAD_CONF):
+            facts_from_tables(spark, sf_dir).write.partitionBy("data_source").parquet(staged)
+            rows = spark.read.schema(FACT_SCHEMA).parquet(staged)
+            report = valid_sources(rows)
+            for src, n_bad in sorted(report.items()):
+                if n_bad:
+                    log.error("source %s rejected: %d rows with nulls in required columns", src, n_bad)
+            keep = sorted(s for s, n in report.items() if n == 0)
+            written = write_facts(rows.where(F.col("data_source").isin(keep)), f"{root}/facts")
+            rollup.refresh(written, f"{root}/rollup")
+        _BUILT[key] = (root, keep)
+    return _BUILT[key]
 
 
 def facts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table derived from the benchmark tables at ``sf_dir``, written once per session.
 
-    The first call derives both feeds in one plan and writes them to the
-    shared checkpoint folder (the conform work runs exactly once), then
-    checks every source from the written columns and keeps only sources with
-    no null in a required column (all-or-nothing per source, like a load).
+    The first call derives both feeds in one plan and stages them in the shared
+    checkpoint folder (the conform work runs exactly once), checks every source from the
+    staged columns, keeps only sources with no null in a required column (all-or-nothing
+    per source, like a load), and writes the table and its roll-up from the staged rows.
     Later calls in the same application reuse the written table.
     """
-    from caseflow.plans.facts import facts_from_tables
+    root, _ = _built(spark, sf_dir)
+    if (*_key(spark, sf_dir), "facts") not in _FRAMES:  # a DataFrame is an immutable plan: list the files once, reuse it
+        _FRAMES[(*_key(spark, sf_dir), "facts")] = read_facts(spark, f"{root}/facts")
+    return _FRAMES[(*_key(spark, sf_dir), "facts")]
 
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _BUILT:
-        path = scratch_path(spark, "facts")
-        with session_conf(spark, LOAD_CONF):
-            written = write_facts(facts_from_tables(spark, sf_dir), path)
-        report = valid_sources(written)
-        for src, n_bad in sorted(report.items()):
-            if n_bad:
-                log.error("source %s rejected: %d rows with nulls in required columns", src, n_bad)
-        _BUILT[key] = (path, sorted(s for s, n in report.items() if n == 0))
-    path, keep = _BUILT[key]
-    if key not in _FRAMES:  # a DataFrame is an immutable plan: list the files once, reuse it
-        _FRAMES[key] = read_facts(spark, path).where(F.col("data_source").isin(keep))
-    return _FRAMES[key]
+
+def rollup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored monthly roll-up of ``facts_table``."""
+    root, _ = _built(spark, sf_dir)
+    if (*_key(spark, sf_dir), "rollup") not in _FRAMES:
+        _FRAMES[(*_key(spark, sf_dir), "rollup")] = rollup.read(spark, f"{root}/rollup")
+    return _FRAMES[(*_key(spark, sf_dir), "rollup")]
+
+
+def table_sources(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The sources of ``facts_table``, known since it was loaded."""
+    return _built(spark, sf_dir)[1]
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/")
 
 
 # ------------------------------------------------------------------ production load
 def build_fact_table(spark: SparkSession, path: str, state_feed_root: str | None = None,
                      weekly_feed_root: str | None = None, strict: bool = False,
                      priority: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Load the CSV feeds, write the fact table at ``path`` and register the views.
+    """Load the CSV feeds, write the fact table and its roll-up under ``path`` and register the views.
 
     The batch counterpart of the feeds' startup load: each given feed root is
     read (newest uploads), conformed and validated (an invalid source is
@@ -192,7 +292,6 @@ def build_fact_table(spark: SparkSession, path: str, state_feed_root: str | None
     """
     from caseflow.functions import dims
     from caseflow.operators.conform import load_state_feed, load_weekly_feed
-    from caseflow.operators.merge import merged_monthly
     from caseflow.sources.files import read_state_feed, read_weekly_feed
 
     def need(df: DataFrame | None, what: str) -> DataFrame:
@@ -207,8 +306,8 @@ def build_fact_table(spark: SparkSession, path: str, state_feed_root: str | None
         loaders["nndss"] = lambda s: load_weekly_feed(need(read_weekly_feed(s, weekly_feed_root), "weekly feed"))
     facts, report = load_all(spark, loaders, strict=strict)
     with session_conf(spark, LOAD_CONF):
-        written = write_facts(facts, path)
-    order = priority or dims.DEFAULT_PRIORITY
-    merged = merged_monthly(written, order, plan="conditional")
+        written = write_facts(facts, f"{path.rstrip('/')}/facts")
+        rollup.refresh(written, f"{path.rstrip('/')}/rollup")
+    merged = rollup.merged(rollup.read(spark, f"{path.rstrip('/')}/rollup"), priority or dims.DEFAULT_PRIORITY)
     register_views(written, merged)
     return written, merged, report

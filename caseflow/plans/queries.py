@@ -10,7 +10,7 @@ aggregates, one exchange per aggregate and joins between small aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.functions import columns as X
@@ -59,15 +59,20 @@ def states(facts: DataFrame, source: str | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ totals
-def summary_stats(facts: DataFrame, merged: DataFrame, source: str | None = None) -> DataFrame:
+def summary_stats(facts: DataFrame, merged: DataFrame, source: str | None = None,
+                  rollup: DataFrame | None = None) -> DataFrame:
     """Q6: one row of totals. ``total_cases`` comes from the merged rows when no source is
-    given (no double counting), else from that source's raw rows."""
-    raw = FL.from_source(facts, source)
-    # one pass over the rows; all six numbers come from its result, one row a disease and state
-    rolled = raw.groupBy("disease_name", "state").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("count").alias("_s"),
-        F.min("report_period_start").alias("_from"), F.max("report_period_end").alias("_to"))
-    stats = rolled.agg(
+    given (no double counting), else from that source's raw rows. With ``rollup``, the
+    stored monthly roll-up, the facts are not read."""
+    if rollup is not None:
+        parts = FL.from_source(rollup, source).groupBy("disease_name", "state").agg(
+            F.sum("records").alias("_n"), F.sum("count").alias("_s"), F.min("first_start").alias("_from"), F.max("last_end").alias("_to"))
+    else:
+        # one pass over the rows; all six numbers come from its result, one row a disease and state
+        parts = FL.from_source(facts, source).groupBy("disease_name", "state").agg(
+            F.count(F.lit(1)).alias("_n"), F.sum("count").alias("_s"),
+            F.min("report_period_start").alias("_from"), F.max("report_period_end").alias("_to"))
+    stats = parts.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("total_records"),
         F.count_distinct("disease_name").alias("disease_count"),
         F.count_distinct("state").alias("total_states"),
@@ -94,13 +99,21 @@ def disease_totals(facts: DataFrame, merged: DataFrame, source: str | None = Non
 
 # ------------------------------------------------------------------ time series
 def national_timeseries(facts: DataFrame, disease: str | None = None, granularity: str = "month",
-                        source: str | None = None, strict: bool = False) -> DataFrame:
+                        source: str | None = None, strict: bool = False, dedupe: bool = False,
+                        merged: DataFrame | None = None) -> DataFrame:
     """Q9: (disease_name, period, total_cases) summed over all states of the raw rows.
 
-    Like the feeds' API this reads raw rows even without a source, so
-    overlapping feeds add up (use ``merged_monthly`` for de-duplicated months).
+    Like the feeds' API this reads raw rows even without a source, so overlapping
+    feeds add up. ``dedupe=True`` reads the ``merged`` rows instead, whose months
+    take each state's best source: months only, and no single source.
     """
-    return A.sum_by_period(_scope(facts, disease, source), X.check_granularity(granularity, strict), "disease_name")
+    g = X.check_granularity(granularity, strict)
+    if not dedupe:
+        return A.sum_by_period(_scope(facts, disease, source), g, "disease_name")
+    if merged is None or g != "month" or source:
+        raise ValueError("de-duplicated series are the merged rows' months, over all sources")
+    return (FL.for_disease(merged, name=disease).groupBy("disease_name", F.col("month").alias("period"))
+              .agg(X.zero_if_null(F.sum("count")).alias("total_cases")))
 
 
 def state_timeseries(facts: DataFrame, disease: str | None = None, granularity: str = "month",
@@ -115,25 +128,39 @@ def state_timeseries(facts: DataFrame, disease: str | None = None, granularity:
 
 # ------------------------------------------------------------------ disease stats
 def disease_stats(facts: DataFrame, merged: DataFrame, disease: str | None = None,
-                  source: str | None = None, days: int = 14) -> DataFrame:
+                  source: str | None = None, days: int = 14, rollup: DataFrame | None = None,
+                  approx_counties: bool = False) -> DataFrame:
     """Q10: (disease_name, total_cases, affected_states, affected_counties, two_week_cases).
 
     Without a source, cases and states come from the merged rows; counties
     and the trailing-window sum always come from raw rows. The trailing
     window ends at the latest period end of the disease (inclusive, 15 days).
+    The raw rows are read once, rolled up to (disease, period end, county).
+    ``approx_counties`` takes the counties from the sketches of ``rollup`` (a relative
+    standard error of 1.6 %): the rows are then combined by period end alone, however
+    many counties there are.
     """
     raw = _scope(facts, disease, source)
-    per_end = raw.groupBy("disease_name", "report_period_end").agg(F.sum("count").alias("_s"))
-    two_week = (FL.trailing_days(per_end, days=days, by=["disease_name"])
-                  .groupBy("disease_name").agg(X.zero_if_null(F.sum("_s")).alias("two_week_cases")))
-    counties = (FL.non_blank(raw, "geo_name").groupBy("disease_name")
-                  .agg(F.count_distinct("geo_name").alias("affected_counties")))
+    if approx_counties:
+        from caseflow.plans.rollup import county_counts
+        if rollup is None:
+            raise ValueError("approximate counties come from a stored roll-up")
+        ends = raw.groupBy("disease_name", "report_period_end").agg(F.sum("count").alias("_s"))
+    else:
+        county = F.when(X.non_blank("geo_name"), F.col("geo_name")).alias("_county")
+        ends = raw.groupBy("disease_name", "report_period_end", county).agg(F.sum("count").alias("_s"))
+    latest = F.max("report_period_end").over(Window.partitionBy("disease_name"))
+    recent = F.col("report_period_end") >= X.days_before(F.col("_latest"), days)
+    counties = [] if approx_counties else [F.count_distinct("_county").alias("affected_counties")]
+    out = (ends.withColumn("_latest", latest).groupBy("disease_name")
+               .agg(F.sum(F.when(recent, F.col("_s"))).alias("two_week_cases"), *counties))
+    if approx_counties:
+        out = out.join(county_counts(_scope(rollup, disease, source), "disease_name"), "disease_name", "left")
     base = FL.for_disease(merged, name=disease) if not source else raw
     totals = base.groupBy("disease_name").agg(X.zero_if_null(F.sum("count")).alias("total_cases"),
                                               F.count_distinct("state").alias("affected_states"))
-    # every disease in scope has its latest-end row, so two_week lists them all
-    out = two_week.join(totals, "disease_name", "left").join(counties, "disease_name", "left")
-    return out.select(
+    # every disease in scope has its latest-end row, so the left side lists them all
+    return out.join(totals, "disease_name", "left").select(
         "disease_name",
         X.zero_if_null("total_cases").alias("total_cases"),
         X.zero_if_null("affected_states").alias("affected_states"),

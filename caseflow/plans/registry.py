@@ -24,7 +24,9 @@ from caseflow.operators.schema import REQUIRED_NON_NULL, integrity_report, valid
 from caseflow.plans import analytics as AN
 from caseflow.plans import oracle as O
 from caseflow.plans import queries as Q
-from caseflow.plans.catalog import build_name_mapping, facts_table, load_all, register_views, to_json_rows
+from caseflow.plans import rollup as RU
+from caseflow.plans.catalog import (build_name_mapping, facts_table, from_arrow, load_all, open_or_build, register_views, rollup_table,
+                                    table_sources, to_arrow, to_json_rows, write_facts)
 from caseflow.plans.sql import query as guarded_query
 from caseflow.session import scratch_path
 from caseflow.sources import files as FS
@@ -37,14 +39,17 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts_table(spark, sf)
 
 
-_MERGED: dict[tuple[str, str, str], DataFrame] = {}
+def rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return rollup_table(spark, sf)
 
 
-def merged(spark: SparkSession, sf: str, plan: str = "conditional") -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"), plan)
-    if key not in _MERGED:
-        _MERGED[key] = merged_monthly(facts(spark, sf), dims.DEFAULT_PRIORITY, plan=plan)
-    return _MERGED[key]
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged view as the queries read it: from the stored monthly roll-up."""
+    return RU.merged(rollup(spark, sf), dims.DEFAULT_PRIORITY)
+
+
+def merged_from_facts(spark: SparkSession, sf: str, plan: str) -> DataFrame:
+    return merged_monthly(facts(spark, sf), dims.DEFAULT_PRIORITY, plan=plan, sources=table_sources(spark, sf))
 
 
 # ------------------------------------------------------------------ parameters
@@ -134,11 +139,11 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
                     "count(DISTINCT state) AS total_states, min(report_period_start) AS earliest_date, "
                     "max(report_period_end) AS latest_date")
     e["q6_summary_stats"] = (
-        lambda s, d: Q.summary_stats(facts(s, d), merged(s, d)),
+        lambda s, d: Q.summary_stats(facts(s, d), merged(s, d), rollup=rollup(s, d)),
         _sql(f"SELECT {summary_cols}, (SELECT CAST(SUM(count) AS BIGINT) FROM merged) AS total_cases FROM facts",
              merged_cte=True))
     e["q6_summary_stats_tracker"] = (
-        lambda s, d: Q.summary_stats(facts(s, d), merged(s, d), "tracker"),
+        lambda s, d: Q.summary_stats(facts(s, d), merged(s, d), "tracker", rollup(s, d)),
         _sql(f"SELECT {summary_cols}, CAST(SUM(count) AS BIGINT) AS total_cases FROM facts "
              f"WHERE data_source = 'tracker'"))
     e["q7_source_breakdown"] = (
@@ -237,8 +242,7 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
     e["q14_state_totals"] = (lambda s, d: Q.state_totals(facts(s, d), merged(s, d)),
                              _sql("SELECT * FROM st_ext", True, _state_totals_ctes(MERGED_TOTALS)))
     e["q14_state_totals_range"] = (
-        lambda s, d: Q.state_totals_merged_pruned(
-            facts(s, d), lambda f: merged_monthly(f, dims.DEFAULT_PRIORITY, plan="conditional"), None, *RANGE),
+        lambda s, d: Q.state_totals(facts(s, d), merged(s, d), None, None, *RANGE),
         _sql("SELECT * FROM st_ext", True, _state_totals_ctes(
             f"SELECT disease_name, state, COALESCE(SUM(count), 0) AS cases FROM merged "
             f"WHERE month >= TIMESTAMP '{RANGE[0]}' AND month <= TIMESTAMP '{RANGE[1]}' GROUP BY 1, 2")))
@@ -249,8 +253,18 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
             f"WHERE data_source = 'tracker' AND report_period_start >= TIMESTAMP '{RANGE[0]}' "
             f"AND report_period_end <= TIMESTAMP '{RANGE[1]}' AND state IS NOT NULL AND state != '' "
             f"GROUP BY 1, 2")))
-    e["q15_merged_monthly"] = (lambda s, d: merged(s, d), _sql("SELECT * FROM merged", True))
-    e["q15_merged_monthly_window"] = (lambda s, d: merged(s, d, "window"), _sql("SELECT * FROM merged", True))
+    e["q15_merged_monthly"] = (lambda s, d: merged_from_facts(s, d, "conditional"), _sql("SELECT * FROM merged", True))
+    e["q15_merged_monthly_window"] = (lambda s, d: merged_from_facts(s, d, "window"), _sql("SELECT * FROM merged", True))
+    e["q15_merged_monthly_rollup"] = (lambda s, d: merged(s, d), _sql("SELECT * FROM merged", True))
+    e["q14_state_totals_range_facts"] = (
+        lambda s, d: Q.state_totals_merged_pruned(
+            facts(s, d), lambda f: merged_monthly(f, dims.DEFAULT_PRIORITY, "conditional", sources=table_sources(s, d)), None, *RANGE),
+        e["q14_state_totals_range"][1])
+    e["q9_national_timeseries_dedupe"] = (
+        lambda s, d: Q.national_timeseries(facts(s, d), dedupe=True, merged=merged(s, d)),
+        _sql(f"SELECT disease_name, month AS period, {SUM0} AS total_cases FROM merged GROUP BY 1, 2", True))
+    e["q10_disease_stats_sketches"] = (
+        lambda s, d: Q.disease_stats(facts(s, d), merged(s, d), rollup=rollup(s, d), approx_counties=True), None)
     e["q16_sql_query"] = (
         lambda s, d: guarded_query(s, "SELECT data_source, disease_name, COUNT(*) AS records, "
                                       "SUM(count) AS cases FROM disease_data GROUP BY data_source, disease_name",
@@ -316,9 +330,10 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
         "SELECT o_orderkey, " + ", ".join(
             f"CAST(printf('%.2f', ((o_orderkey * 2 + 1) % {t})::DOUBLE / {t} * 100.0::DOUBLE) AS DOUBLE) AS pct_{t}" for t in (4000, 20000))
         + " FROM orders")
-    for plan in ("conditional", "window"):
+    for plan in ("conditional", "window", "ranked"):
         e[f"q15_three_sources_{plan}"] = (
-            (lambda p: lambda s, d: merged_monthly(_with_unlisted(facts(s, d)), ["tracker", "nndss"], plan=p))(plan),
+            (lambda p: lambda s, d: merged_monthly(_with_unlisted(facts(s, d)), ["tracker", "nndss"], plan=p,
+                                                   sources=["hospital", *table_sources(s, d)]))(plan),
             _three_sources_sql())
     e["q19_last_n_periods"] = (
         lambda s, d: AN.last_n_periods(Q.national_timeseries(facts(s, d)), 12),
@@ -543,6 +558,17 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
         lambda s, d: _views_query(s, d),
         _sql("SELECT m.disease_name, count(*) AS months, CAST(SUM(count) AS BIGINT) AS cases FROM merged m "
              "WHERE m.disease_slug IN (SELECT disease_slug FROM facts) GROUP BY 1", True))
+    e["k6_replaced_table"] = (lambda s, d: _replaced_table(s, d), _sql("SELECT * FROM facts"))
+    e["k7_open_or_build"] = (lambda s, d: _reopened_table(s, d), _sql("SELECT * FROM facts"))
+    rolled_sql = """SELECT data_source, date_trunc('month', report_period_start) AS month, disease_name, disease_slug, state,
+                 CAST(SUM(count) AS BIGINT) AS count, count(*) AS records, min(report_period_start) AS first_start,
+                 max(report_period_end) AS last_end FROM facts GROUP BY 1, 2, 3, 4, 5"""
+    e["k9_monthly_rollup"] = (lambda s, d: rollup(s, d).drop("counties"), _sql(rolled_sql))
+    e["k9_refreshed_rollup"] = (lambda s, d: _refreshed_rollup(s, d).drop("counties"), _sql(rolled_sql))
+    e["a3_counties_from_sketches"] = (lambda s, d: RU.county_counts(rollup(s, d), "disease_name"), None)
+    e["k11_to_arrow"] = (
+        lambda s, d: _arrow_round_trip(Q.national_timeseries(facts(s, d))),
+        _sql(f"SELECT disease_name, date_trunc('month', report_period_start) AS period, {SUM0} AS total_cases FROM facts GROUP BY 1, 2"))
     e["k11_to_json_rows"] = (
         lambda s, d: to_json_rows(Q.national_timeseries(facts(s, d))).select(F.from_json(
             "json", "disease_name string, period string, total_cases long").alias("r")).select("r.*"),
@@ -573,6 +599,39 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
     return e
 
 
+def _replaced_table(spark: SparkSession, sf: str) -> DataFrame:
+    """K6: a table written with faulty rows first, then replaced."""
+    path = scratch_path(spark, "replaced")
+    write_facts(_dirty(facts(spark, sf)).na.fill("none", ["disease_slug"]), path)
+    return write_facts(facts(spark, sf), path)
+
+
+def _reopened_table(spark: SparkSession, sf: str) -> DataFrame:
+    """K7: built by the first call, reused by the second."""
+    path = scratch_path(spark, "reopened")
+    open_or_build(spark, path, lambda: facts(spark, sf))
+
+    def refuse() -> DataFrame:
+        raise RuntimeError("the table was built twice")
+
+    return open_or_build(spark, path, refuse)
+
+
+def _refreshed_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """K9: a roll-up of other rows (no summers, one source's winters doubled), brought up to date."""
+    root = scratch_path(spark, "refreshed")
+    now = facts(spark, sf)
+    month = F.month("report_period_start")
+    winters = now.where((month == 1) & (F.col("data_source") == "tracker"))
+    RU.refresh(now.where(month != 7).unionByName(winters), root)
+    RU.refresh(now, root)
+    return RU.read(spark, root)
+
+
+def _arrow_round_trip(df: DataFrame) -> DataFrame:
+    return from_arrow(to_arrow(df), df.schema)
+
+
 def _with_unlisted(facts: DataFrame) -> DataFrame:
     """Facts whose August rows come from a source that no priority lists."""
     august = F.month("report_period_start") == 8

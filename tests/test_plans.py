@@ -28,10 +28,24 @@ def raw_shuffles(df):
 
 
 def test_merge_shuffles_partial_aggregates_only(spark):
+    facts, sources = R.facts(spark, SF), ["tracker", "nndss", "hospital"]
+    for plan, exchanges in (("conditional", 1), ("ranked", 2), ("window", 2)):
+        for rows in (facts, R._with_unlisted(facts)):
+            merged = merged_monthly(rows, ["tracker", "nndss"], plan=plan, sources=sources)
+            assert not raw_shuffles(merged)
+            assert shuffles(plan_of(merged)) == exchanges and plan_of(merged).count("FileScan parquet") == 1, plan
+
+
+def test_merged_view_reads_the_rollup_once(spark):
+    merged = R.merged(spark, SF)
+    plan = plan_of(merged)
+    assert shuffles(plan) == 1 and plan.count("FileScan parquet") == 1 and "geo_name" not in plan
+    assert "EqualTo(disease_name,measles)" in plan_of(merged.where("disease_name = 'measles'"))
+    assert "GreaterThanOrEqual(month," in plan_of(merged.where("month >= timestamp_ntz'1997-01-01'"))
     facts = R.facts(spark, SF)
-    for plan in ("conditional", "window"):
-        assert not raw_shuffles(merged_monthly(facts, plan=plan))
-    assert shuffles(plan_of(merged_monthly(facts, plan="window"))) == 2
+    for query, scans in ((Q.summary_stats(facts, merged, rollup=R.rollup(spark, SF)), 2), (Q.disease_totals(facts, merged), 1),
+                         (Q.state_totals(facts, merged), 1), (Q.state_selector(facts, merged), 1), (Q.disease_stats(facts, merged), 2)):
+        assert plan_of(query).count("FileScan parquet") <= scans
 
 
 @pytest.mark.parametrize("name", ["q2_disease_catalog_nndss", "q17_disease_cards", "f9_trailing_days"])
@@ -53,22 +67,6 @@ def test_scan_counts(spark):
     assert "IN (CA,NYC,MA)" in plan_of(R.queries()["q22_crossfilter"](spark, SF))
 
 
-def test_fact_files_hold_narrow_ranges(spark, tmp_path):
-    import pyarrow.parquet as pq
-    from caseflow.plans.catalog import write_facts
-    write_facts(R.facts(spark, SF), str(tmp_path / "facts"))
-    spans = []
-    for source in (tmp_path / "facts").glob("data_source=nndss"):
-        for f in source.glob("*.parquet"):
-            meta = pq.ParquetFile(f).metadata
-            col = [i for i in range(meta.num_columns) if meta.schema.column(i).name == "disease_name"][0]
-            for g in range(meta.num_row_groups):
-                st = meta.row_group(g).column(col).statistics
-                spans.append((st.min, st.max))
-    everything = (min(s[0] for s in spans), max(s[1] for s in spans))
-    assert len(spans) > 1 and all(s != everything for s in spans)
-
-
 def test_dense_distribution_scans_once(spark):
     plan = plan_of(Q.age_distribution(R.facts(spark, SF)))
     assert plan.count("FileScan parquet") == 1
