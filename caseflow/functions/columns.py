@@ -42,19 +42,22 @@ def slug(c: ColumnOrName) -> Column:
     return F.nullif(s, F.lit(""))
 
 
+NOT_ASCII = "[^\\x00-\\x7F]"
+
+
 def url_slug(c: ColumnOrName, normalize: bool = True) -> Column:
     """X2 URL slug: NFC, lower, drop apostrophes, runs of [^a-z0-9] -> '-', trim '-'.
 
     Spark SQL has no Unicode normaliser, so NFC runs in an Arrow-batched,
     vectorised pandas UDF (``Series.str.normalize``); every other step is a
-    native expression. ASCII values are already NFC and keep the original
-    value; note that Spark still ships every row of the batch to the UDF, so
-    pass ``normalize=False`` for columns known to be composed.
+    native expression. Spark ships every row of a batch to the UDF, so pass
+    ``normalize=False`` for values known to be composed, as ASCII ones are
+    (``conform.add_url_slugs`` parts the rows of a table by that).
     """
     col = _c(c)
     if normalize:
         from caseflow.functions._nfc import nfc
-        col = F.when(col.rlike("[^\\x00-\\x7F]"), nfc(col)).otherwise(col)
+        col = F.when(col.rlike(NOT_ASCII), nfc(col)).otherwise(col)
     s = F.regexp_replace(F.lower(col), "'", "")
     s = F.regexp_replace(s, "[^a-z0-9]+", "-")
     s = F.regexp_replace(s, "^-+|-+$", "")

@@ -75,8 +75,16 @@ def add_slug_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 
 def add_url_slugs(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """X2 as a table step: add ``<c>_url_slug`` columns."""
-    return df.withColumns({f"{c}_url_slug": X.url_slug(F.col(c)) for c in cols})
+    """X2 as a table step: add ``<c>_url_slug`` columns.
+
+    Rows whose values are all ASCII are composed as they are and stay in the JVM; only the
+    others go through the Python normaliser. The input is read by both branches, so stage it
+    if it is costly.
+    """
+    cols = list(cols)
+    other = F.coalesce(F.greatest(F.lit(False), *[F.col(c).rlike(X.NOT_ASCII) for c in cols]), F.lit(False))
+    plain = df.where(~other).withColumns({f"{c}_url_slug": X.url_slug(F.col(c), normalize=False) for c in cols})
+    return plain.unionByName(df.where(other).withColumns({f"{c}_url_slug": X.url_slug(F.col(c)) for c in cols}))
 
 
 # ------------------------------------------------------------------ P3: state feed

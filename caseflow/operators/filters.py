@@ -111,13 +111,31 @@ def mappable_positive(df: DataFrame, fips: str = "fips", cases: str = "cases") -
     return df.where(F.col(fips).isNotNull() & (F.col(cases) > 0))
 
 
-def select_states(df: DataFrame, states: Iterable[str] | None, col: str = "state",
+#: A longer list of literals is handed over as a table.
+LONGEST_LIST = 100
+
+
+def select_states(df: DataFrame, states: Iterable[str] | DataFrame | None, col: str = "state",
                   national: str = "National") -> DataFrame:
-    """state multi-select; an empty selection, or one containing ``National``, keeps all."""
-    chosen = [s for s in (states or [])]
-    if not chosen or national in chosen:
+    """state multi-select; an empty selection, or one containing ``National``, keeps all.
+
+    A selection of any length may be a frame with a column ``col``, and a list beyond
+    ``LONGEST_LIST`` becomes one: rows are then kept by a semi join to its distinct values,
+    which AQE broadcasts if it measures them small, and whose values Spark turns into a
+    run-time filter of the larger side if not. Whether the frame is empty or holds
+    ``National`` is asked once, when the query is built (one row).
+    """
+    if not isinstance(states, DataFrame):
+        chosen = [s for s in (states or [])]
+        if not chosen or national in chosen:
+            return df
+        if len(chosen) <= LONGEST_LIST:
+            return df.where(F.col(col).isin(chosen))
+        states = df.sparkSession.createDataFrame([(s,) for s in chosen], f"`{col}` string")
+    told = states.agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col(col) == national).alias("all")).first()
+    if not told["n"] or told["all"]:
         return df
-    return df.where(F.col(col).isin(chosen))
+    return df.join(states.select(col).distinct(), col, "left_semi").select(*df.columns)
 
 
 def period_between(df: DataFrame, start=None, end=None, col: str = "period") -> DataFrame:

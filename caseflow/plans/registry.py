@@ -574,6 +574,14 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
             "json", "disease_name string, period string, total_cases long").alias("r")).select("r.*"),
         _sql(f"SELECT disease_name, strftime(date_trunc('month', report_period_start), '%Y-%m-%d') AS period, {SUM0} AS total_cases "
              f"FROM facts GROUP BY 1, date_trunc('month', report_period_start)"))
+    e["f11_select_counties"] = (        # a county list of its own size, handed over as a table
+        lambda s, d: A.sum_cases(FL.select_states(facts(s, d), _some_customers(s, d), col="geo_name"), "disease_name", "geo_name"),
+        _sql(f"SELECT disease_name, geo_name, {SUM0} AS total_cases FROM facts WHERE geo_name IN "
+             "(SELECT 'county-' || (c_custkey % 50) FROM customer WHERE c_custkey % 50 < 30) GROUP BY 1, 2"))
+    e["f11_select_national"] = (
+        lambda s, d: A.sum_cases(FL.select_states(facts(s, d), _some_customers(s, d).unionByName(
+            s.createDataFrame([("National",)], "geo_name string")), col="geo_name"), "disease_name"),
+        _sql(f"SELECT disease_name, {SUM0} AS total_cases FROM facts GROUP BY 1"))
     e["f13_drop_bad_periods"] = (
         lambda s, d: FL.drop_bad_periods(TB.state_feed_raw(s, d).withColumn("report_period_start", F.when(
             F.col("report_period_start").endswith("7"), F.concat(F.lit("around "), "report_period_start"))
@@ -581,19 +589,43 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
         O.facts_ctes() + "\nSELECT count(*) AS rows FROM tracker_raw WHERE report_period_start NOT LIKE '%7'")
 
     # --- file sources (S): the state feed written as CSV files, then discovered, chosen and read back
-    # file names are the writer's own, so what is compared is which states have files, and how many
-    states_sql = "SELECT DISTINCT 'st=' || state AS parent FROM tracker_raw WHERE state IS NOT NULL"
+    states_sql = "SELECT DISTINCT state FROM tracker_raw WHERE state IS NOT NULL"
+    newest = "'20240301-120000_' || state || '_team.csv'"
+    def last_part():
+        return F.element_at(F.split("path", "/"), -1)
+
     e["s1_discover_files"] = (
-        lambda s, d: FS.discover_files(s, f"{state_feed_root(s, d)}/data/states").select("parent").distinct(),
-        O.facts_ctes() + "\n" + states_sql)
+        lambda s, d: FS.discover_files(s, f"{state_feed_root(s, d)}/data/states").drop("path"),
+        O.facts_ctes() + f"""\nSELECT state AS parent, {newest} AS file_name FROM ({states_sql})
+                 UNION ALL SELECT state, '20240101-000000_' || state || '_old.csv' FROM ({states_sql})""")
     e["s2_latest_file_per_group"] = (
         lambda s, d: FS.latest_file_per_group(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states"))
-        .groupBy("parent").agg(F.count("path").alias("files")),
-        O.facts_ctes() + f"\nSELECT parent, CAST(1 AS BIGINT) AS files FROM ({states_sql})")
+        .select("parent", "file_name", last_part().alias("path_name")),
+        O.facts_ctes() + f"\nSELECT state AS parent, {newest} AS file_name, {newest} AS path_name FROM ({states_sql})")
     e["s3_latest_file"] = (
         lambda s, d: FS.latest_file(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states"))
-        .select(F.element_at(F.split("path", "/"), -2).alias("parent")),
-        O.facts_ctes() + f"\nSELECT max(parent) AS parent FROM ({states_sql})")
+        .select(F.element_at(F.split("path", "/"), -2).alias("parent"), last_part().alias("file_name")),
+        O.facts_ctes() + f"\nSELECT state AS parent, {newest} AS file_name FROM ({states_sql}) ORDER BY 2 DESC LIMIT 1")
+    e["s5_read_weekly_feed"] = (lambda s, d: C.load_weekly_feed(FS.read_weekly_feed(s, weekly_feed_root(s, d))),
+                                O.facts_ctes() + "\nSELECT * FROM weekly_facts")
+    e["s7_faulty_uploads"] = (
+        lambda s, d: _faulty_feed(s, d, "skip").report.select(F.element_at(F.split("path", "/"), -2).alias("parent"), "status",
+                                                              "rows", "short_rows", "bad_rows"),
+        O.facts_ctes() + """
+SELECT state AS parent, CASE WHEN state IN ('CA', 'GA', 'MA') THEN 'skipped' ELSE 'read' END AS status,
+  CAST(CASE WHEN state = 'MA' THEN 0 ELSE count(*) + CASE WHEN state IN ('CA', 'FL') THEN 1 ELSE 0 END END AS BIGINT) AS rows,
+  CAST(CASE WHEN state = 'FL' THEN 1 ELSE 0 END AS BIGINT) AS short_rows,
+  CAST(CASE WHEN state = 'CA' THEN 1 WHEN state = 'GA' THEN count(*) ELSE 0 END AS BIGINT) AS bad_rows
+FROM tracker_raw GROUP BY state""")
+    e["s7_quarantined_rows"] = (
+        lambda s, d: _faulty_feed(s, d, "quarantine").rows.groupBy("reporting_jurisdiction").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(F.col("count").try_cast("long")).alias("cases")),
+        O.facts_ctes() + """
+SELECT state AS reporting_jurisdiction, CAST(count(*) + CASE WHEN state = 'FL' THEN 1 ELSE 0 END AS BIGINT) AS rows,
+  CAST(sum(TRY_CAST(count AS BIGINT)) AS BIGINT) AS cases FROM tracker_raw WHERE state NOT IN ('GA', 'MA') GROUP BY 1""")
+    e["x4_iso_date_orders"] = (
+        lambda s, d: TB._read(s, d, "orders").select("o_orderkey", X.iso_date("o_orderdate").alias("day")),
+        "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
     e["s4_read_state_feed"] = (lambda s, d: C.load_state_feed(FS.read_state_feed(s, state_feed_root(s, d))),
                                O.facts_ctes() + "\nSELECT * FROM tracker_facts")
     return e
@@ -628,6 +660,12 @@ def _refreshed_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return RU.read(spark, root)
 
 
+def _some_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """A selection as long as the customer table, most of it repeated."""
+    key = F.col("c_custkey") % 50
+    return TB._read(spark, sf, "customer").where(key < 30).select(F.concat(F.lit("county-"), key.cast("string")).alias("geo_name"))
+
+
 def _arrow_round_trip(df: DataFrame) -> DataFrame:
     return from_arrow(to_arrow(df), df.schema)
 
@@ -690,17 +728,68 @@ def _views_query(spark: SparkSession, sf: str) -> DataFrame:
                      "WHERE m.disease_slug IN (SELECT disease_slug FROM disease_name_mapping) GROUP BY 1")
 
 
-_FEED_ROOTS: dict[tuple[str, str], str] = {}
+_FEED_ROOTS: dict[tuple[str, str, str], str] = {}
 
 
-def state_feed_root(spark: SparkSession, sf: str) -> str:
-    """The per-state feed derived from the tables, written once per session as CSV uploads."""
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+def _feed_root(spark: SparkSession, sf: str, kind: str, write: Callable[[str], object]) -> str:
+    """The folder of uploads that ``write`` makes, once per session."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), kind)
     if key not in _FEED_ROOTS:
-        _FEED_ROOTS[key] = FS.write_state_feed(TB.state_feed_raw(spark, sf), scratch_path(spark, "feeds"))
+        root = scratch_path(spark, f"feeds-{kind}")
+        write(root)
+        _FEED_ROOTS[key] = root
     return _FEED_ROOTS[key]
 
 
+def state_feed_root(spark: SparkSession, sf: str) -> str:
+    """The per-state feed derived from the tables as CSV uploads: the newest of each state, and an
+    older one with other counts that was delivered later."""
+    raw = TB.state_feed_raw(spark, sf)
+
+    def write(root: str) -> None:
+        FS.write_state_feed(raw, root, "20240301-120000", "team")
+        FS.write_state_feed(raw.withColumn("count", F.lit("999")), root, "20240101-000000", "old")
+
+    return _feed_root(spark, sf, "state", write)
+
+
+def weekly_feed_root(spark: SparkSession, sf: str) -> str:
+    """The weekly feed derived from the tables as one CSV upload, and an older one delivered later."""
+    raw = TB.weekly_feed_raw(spark, sf)
+
+    def write(root: str) -> None:
+        FS.write_weekly_feed(raw, root, "20240320")
+        FS.write_weekly_feed(raw.where(F.col("MMWR WEEK") == "1").withColumn("Current week", F.lit("7")), root, "20240101")
+
+    return _feed_root(spark, sf, "weekly", write)
+
+
+def _faulty_feed(spark: SparkSession, sf: str, on_error: str) -> FS.Feed:
+    """The state feed with a row of many fields in California's upload, one of few in Florida's, no
+    header in that of Massachusetts and another encoding in that of Georgia."""
+    raw = TB.state_feed_raw(spark, sf).withColumnRenamed("state", "reporting_jurisdiction")
+    columns = [c for c in raw.columns]
+    state = F.col("reporting_jurisdiction")
+
+    def write(root: str) -> None:
+        rows = raw.withColumn("st", state)
+        lines = rows.where("st NOT IN ('MA', 'GA')").select("st", F.lit(1).alias("at"), F.to_csv(F.struct(*columns)).alias("value"))
+        states = rows.select("st").distinct().where("st <> 'GA'")
+        heads = states.select("st", F.lit(0).alias("at"), F.when(F.col("st") == "MA", "").otherwise(",".join(columns)).alias("value"))
+        extra = {"CA": ["CA"] * (len(columns) + 2), "FL": ["FL" if c == "reporting_jurisdiction" else "x" for c in columns][:-2]}
+        faults = spark.createDataFrame([(st, 2, ",".join(fields)) for st, fields in extra.items()], "st string, at int, value string")
+        draft = scratch_path(spark, "upload")
+        (lines.unionByName(heads).unionByName(faults).repartition("st").sortWithinPartitions("st", "at").drop("at")
+         .write.partitionBy("st").text(draft))
+        (rows.where("st = 'GA'").withColumn("geo_name", F.lit("Stra\u00dfe")).repartition("st")
+         .write.mode("append").options(header=True, encoding="ISO-8859-1").partitionBy("st").csv(draft))
+        for path in [r["path"] for r in FS.discover_files(spark, draft, "part-*").select("path").collect()]:      # a file a state
+            st = path.split("/st=")[-1].split("/")[0]
+            FS._move(spark, path, f"{root}/data/states/{st}/20240301-120000_{st}_team.csv")
+
+    return FS.read_feed(spark, FS.state_feed_paths(spark, _feed_root(spark, sf, "faulty", write)), on_error)
+
+
 def _py_title_sql(x: str) -> str:
     """Title-casing of letter runs in DuckDB (oracle of X6): upper first letter of each letter run."""
     spaced = f"replace({x}, '-', ' ')"

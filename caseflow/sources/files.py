@@ -9,21 +9,32 @@ Layouts (as the feeds deliver them):
 Listing uses Spark's ``binaryFile`` source with only the path selected, so
 file contents are never read for discovery. Rows are read by Spark's CSV
 reader, every column as text; typing happens in the conform step.
+
+Faulty uploads (S7): a row with more fields than its header, or with bytes that
+are not UTF-8, makes its whole file unreadable to the feeds' own loader; here the
+file is left out, or ends the load, or only such rows are put aside, as ``on_error``
+says. Rows with fewer fields are kept, their last columns null. All of them are
+told, with their file and raw text, in ``Feed.quarantine``, and counted in
+``Feed.report``.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 import logging
 import re
+from dataclasses import dataclass
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from caseflow.operators.windows import union_files
+from caseflow.session import scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -65,82 +76,192 @@ def _paths(df: DataFrame) -> list[str]:
     return [r["path"] for r in df.select("path").collect()]
 
 
+#: A header longer than this is none.
+HEADER_BYTES = 1 << 20
+ON_ERROR = ("skip", "raise", "quarantine")
+LONG, SHORT, BYTES, HEADER, UNREADABLE = "more fields than the header", "fewer fields than the header", "not UTF-8", "no header", "unreadable"
+_PATH, _RECORD, _FAULT = "_feed_path", "_feed_record", "_feed_fault"
+
+
+@dataclass
+class Feed:
+    """What a set of uploads holds: its rows, what is wrong with them, and a row a file."""
+
+    rows: DataFrame | None       # all columns as text
+    quarantine: DataFrame        # path, reason, record
+    report: DataFrame            # path, status (read, skipped), rows, short_rows, bad_rows
+
+
 def _plain(path: str) -> str:
     """One spelling of a file's URI, whichever reader gave it."""
     return re.sub(":/+", ":/", unquote(path))
 
 
-def _headers(spark: SparkSession, paths: list[str], on_error: str) -> dict[tuple[str, ...], list[str]]:
-    """Paths by their header, in the order given: one distributed read of all files' lines, the first of each kept."""
-    lines = spark.read.option("ignoreCorruptFiles", on_error == "skip").text(paths).select(
-        F.col("_metadata.file_path").alias("path"), "value",
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
-    first = lines.where(F.trim("value") != "").groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    found = {_plain(r["path"]): r["header"] for r in first.collect()}       # one row a file
+def _header(spark: SparkSession, path: str) -> list[str] | None:
+    """Fields of a file's first line that is not blank, from the head of the file alone."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        head = bytearray()
+        while len(head) < HEADER_BYTES and b"\n" not in head.lstrip(b"\xef\xbb\xbf \t\r\n"):
+            more = bytes(stream.readNBytes(1 << 16))
+            if not more:
+                break
+            head += more
+    finally:
+        stream.close()
+    text = head.decode("utf-8", "replace").lstrip("\ufeff")
+    lines = [line for line in csv.reader(io.StringIO(text)) if any(f.strip() for f in line)]
+    return lines[0] if lines else None
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> tuple[dict[tuple[str, ...], list[str]], dict[str, str]]:
+    """Paths by header, and the faults of those without one. One chosen upload a state: their heads are read by the driver."""
     out: dict[tuple[str, ...], list[str]] = {}
+    faults: dict[str, str] = {}
     for path in paths:
-        header = found.get(_plain(path))
-        if header is None:
-            if on_error != "skip":
-                raise ValueError(f"{path} has no header")
-            log.error("skipping %s: it has no readable header", path)
+        try:
+            fields = _header(spark, path)
+        except Py4JJavaError as exc:
+            log.error("%s cannot be opened: %s", path, exc.java_exception)
+            faults[path] = UNREADABLE
             continue
-        out.setdefault(tuple(next(csv.reader([header.lstrip("\ufeff")]))), []).append(path)
-    return out
-
-
-def read_csv_text(spark: SparkSession, paths: list[str], on_error: str = "skip") -> DataFrame | None:
-    """Read CSV files as all-text columns, union by name across differing headers.
-
-    Files are grouped by their header line; each group is one Spark read with an
-    explicit all-string schema. Quotes inside quoted text are doubled, and quoted
-    text may hold line breaks; a file is therefore read by one task, as no one can
-    tell from its middle whether a line break is quoted. ``on_error='skip'`` drops
-    a file that cannot be read (S7); ``'raise'`` propagates.
+        if fields is None:
+            faults[path] = HEADER
+        else:
+            out.setdefault(tuple(fields), []).append(path)
+    return out, faults
+
+
+def _marked(spark: SparkSession, header: tuple[str, ...], paths: list[str], on_error: str, multi_line: bool) -> DataFrame:
+    """Rows of files of one header, with their path, and the fault and raw text of those that do not fit it."""
+    text = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
+    options = {"quote": '"', "escape": '"'}
+    rows = (spark.read.schema(T.StructType([*text.fields, T.StructField(_RECORD, T.StringType(), True)]))
+            .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_RECORD, columnPruning=False, multiLine=multi_line,
+                     ignoreCorruptFiles=on_error != "raise", **options)
+            .csv(paths).select("*", F.col("_metadata.file_path").alias(_PATH)))
+    more = ", ".join(f"c{i} string" for i in range(len(header) + 1))
+    longer = F.from_csv(_RECORD, more, {**options, "multiLine": "true"})[f"c{len(header)}"].isNotNull()
+    garbled = F.concat_ws("", *[F.col(f"`{c}`") for c in dict.fromkeys(header)]).contains("\ufffd")
+    fault = F.when(F.col(_RECORD).isNotNull() & longer, LONG).when(garbled, BYTES).when(F.col(_RECORD).isNotNull(), SHORT)
+    return rows.withColumn(_FAULT, fault)
+
+
+def read_feed(spark: SparkSession, paths: list[str], on_error: str = "skip", multi_line: bool = True) -> Feed:
+    """Read CSV files as all-text columns, union by name across differing headers (D4), faults told.
+
+    ``on_error``: ``skip`` leaves out files with a faulty row or without a header, ``raise``
+    ends the load at them, ``quarantine`` keeps such a file's other rows. Rows of few
+    fields are kept in any case. The files are parsed once, into a staging table in the
+    shared folder that the frames of the result read.
+
+    Quotes inside quoted text are doubled, and quoted text may hold line breaks; a file
+    is therefore read by one task, as no one can tell from its middle whether a line break
+    is quoted. ``multi_line=False`` is for feeds without such line breaks: large files
+    are then split among tasks.
     """
-    frames = []
-    for header, group_paths in _headers(spark, paths, on_error).items():
-        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-        reader = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-                  .option("quote", '"').option("escape", '"').option("multiLine", True)
-                  .option("ignoreCorruptFiles", on_error == "skip"))
-        frames.append(reader.csv(group_paths))
-    return union_files(frames) if frames else None
+    if on_error not in ON_ERROR:
+        raise ValueError(f"on_error must be one of {', '.join(ON_ERROR)}, got {on_error!r}")
+    headers, lost = _by_header(spark, paths)
+    if lost and on_error == "raise":
+        raise ValueError("; ".join(f"{p}: {why}" for p, why in lost.items()))
+    told = spark.createDataFrame([(p, why, None) for p, why in lost.items()], "path string, reason string, record string")
+    report = [(p, "skipped", 0, 0, 0) for p in lost]
+    rows = None
+    if headers:
+        columns = list(dict.fromkeys(c for h in headers for c in h))
+        staged = scratch_path(spark, "feed")
+        union_files([_marked(spark, h, p, on_error, multi_line) for h, p in headers.items()]).write.parquet(staged)
+        every = spark.read.parquet(staged)
+        bad = F.col(_FAULT).isin(LONG, BYTES)
+        counts = every.groupBy(_PATH).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(_FAULT) == SHORT).alias("short"),
+                                          F.count_if(bad).alias("bad")).collect()       # a row a file
+        found = {_plain(r[_PATH]): r for r in counts}
+        faulty = [r for r in counts if r["bad"]]
+        if faulty and on_error == "raise":
+            raise ValueError("; ".join(f"{r[_PATH]}: {r['bad']} rows that do not fit its header" for r in faulty))
+        for r in faulty:
+            log.error("%s: %d rows do not fit its header; %s", r[_PATH], r["bad"],
+                      "they are put aside" if on_error == "quarantine" else "the file is skipped")
+        told = told.unionByName(every.where(F.col(_FAULT).isNotNull()).select(
+            F.col(_PATH).alias("path"), F.col(_FAULT).alias("reason"), F.coalesce(_RECORD, F.concat_ws(",", *[F.col(f"`{c}`") for c in columns])).alias("record")))
+        good = every.where(F.coalesce(~bad, F.lit(True)))
+        if on_error != "quarantine" and faulty:
+            good = good.where(~F.col(_PATH).isin([r[_PATH] for r in faulty]))
+        for path in (p for group in headers.values() for p in group):
+            r = found.get(_plain(path))
+            skipped = bool(r and r["bad"] and on_error != "quarantine")
+            report.append((path, "skipped" if skipped else "read", r["n"] if r else 0, r["short"] if r else 0, r["bad"] if r else 0))
+        rows = good.select(*[F.col(f"`{c}`") for c in columns])
+    return Feed(rows, told, spark.createDataFrame(report, "path string, status string, rows long, short_rows long, bad_rows long"))
+
+
+def read_csv_text(spark: SparkSession, paths: list[str], on_error: str = "skip", multi_line: bool = True) -> DataFrame | None:
+    """Rows of ``read_feed``; None if no file has a header."""
+    return read_feed(spark, paths, on_error, multi_line).rows
+
+
+def state_feed_paths(spark: SparkSession, root: str) -> list[str]:
+    """The newest upload of every state directory under ``<root>/data/states``."""
+    files = discover_files(spark, f"{root.rstrip('/')}/data/states", "*.csv", True)
+    return sorted(_paths(latest_file_per_group(files)))
 
 
-def read_state_feed(spark: SparkSession, root: str, on_error: str = "skip") -> DataFrame | None:
+def read_state_feed(spark: SparkSession, root: str, on_error: str = "skip", multi_line: bool = True) -> DataFrame | None:
     """Newest file of every state directory under ``<root>/data/states``, unioned by name.
 
     Returns None when there is no directory or no file (the feed is then absent).
     """
-    files = discover_files(spark, f"{root.rstrip('/')}/data/states", "*.csv", True)
-    chosen = _paths(latest_file_per_group(files))
+    chosen = state_feed_paths(spark, root)
     if not chosen:
         log.warning("no state feed files under %s", root)
         return None
-    return read_csv_text(spark, sorted(chosen), on_error)
+    return read_csv_text(spark, chosen, on_error, multi_line)
 
 
-def read_weekly_feed(spark: SparkSession, root: str, on_error: str = "skip") -> DataFrame | None:
+def read_weekly_feed(spark: SparkSession, root: str, on_error: str = "skip", multi_line: bool = True) -> DataFrame | None:
     """The newest ``NNDSS_Weekly_Data_*.csv`` directly under ``root`` (all columns as text)."""
     chosen = _paths(latest_file(discover_files(spark, root, WEEKLY_GLOB, recursive=False)))
     if not chosen:
         log.warning("no weekly feed file under %s", root)
         return None
-    return read_csv_text(spark, chosen, on_error)
+    return read_csv_text(spark, chosen, on_error, multi_line)
 
 
-def write_state_feed(raw: DataFrame, root: str, state_col: str = "state") -> str:
-    """Write a per-state feed as one CSV file per state directory under ``<root>/data/states``.
+def write_state_feed(raw: DataFrame, root: str, stamp: str = "20240101-000000", who: str = "caseflow", state_col: str = "state") -> str:
+    """Write uploads of a per-state feed: ``<root>/data/states/<STATE>/<stamp>_<STATE>_<who>.csv``.
 
-    The feed's layout is one file per state upload, so each state's rows are
-    routed to one writer (``repartition`` on the state). The directory is
-    named ``st=<STATE>``; the rows carry the state as
-    ``reporting_jurisdiction`` (the reader mirrors it back to ``state``).
-    Returns ``root``.
+    The layout is one file per state upload, so each state's rows are routed to one
+    writer, and its file is then moved into the state's directory: a reader sees an upload
+    whole or not at all. Rows without a state belong to no upload. The rows carry the state
+    as ``reporting_jurisdiction`` (the reader mirrors it back to ``state``). Returns ``root``.
     """
-    out = (raw.withColumnRenamed(state_col, "reporting_jurisdiction")
-              .withColumn("st", F.col("reporting_jurisdiction")))
-    (out.repartition("st").write.mode("overwrite").option("header", True)
-        .partitionBy("st").csv(f"{root.rstrip('/')}/data/states"))
+    spark = raw.sparkSession
+    draft = scratch_path(spark, "upload")
+    out = raw.where(F.col(state_col).isNotNull()).withColumnRenamed(state_col, "reporting_jurisdiction").withColumn("st", F.col("reporting_jurisdiction"))
+    out.repartition("st").write.option("header", True).partitionBy("st").csv(draft)
+    for path in _paths(discover_files(spark, draft, "*.csv").select("path")):
+        state = unquote(path.split("/st=")[-1].split("/")[0])
+        _move(spark, path, f"{root.rstrip('/')}/data/states/{state}/{stamp}_{state}_{who}.csv")
+    return root
+
+
+def write_weekly_feed(raw: DataFrame, root: str, date: str) -> str:
+    """Write an upload of the weekly feed, ``<root>/NNDSS_Weekly_Data_<date>.csv``: one file, as the layout asks."""
+    spark = raw.sparkSession
+    draft = scratch_path(spark, "upload")
+    raw.coalesce(1).write.option("header", True).csv(draft)
+    [path] = _paths(discover_files(spark, draft, "*.csv").select("path"))
+    _move(spark, path, f"{root.rstrip('/')}/NNDSS_Weekly_Data_{date}.csv")
     return root
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    jvm = spark._jvm
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"{source} could not be moved to {target}")

@@ -140,3 +140,51 @@ def test_last_n(fixture_facts):
 def test_disease_cards(fixture_facts, fixture_merged):
     got = rows(Q.disease_cards(fixture_facts, fixture_merged), "disease_name", "sources", "total_cases")
     assert got == [("measles", "nndss,tracker", 1274), ("meningococcus", "nndss,tracker", 13)]
+
+
+def test_results_come_in_their_order(fixture_facts, fixture_merged):
+    """O1: rows as Spark hands them over, not sorted by the test."""
+    def in_order(df, *keys):
+        got = [tuple(r[k] for k in keys) for r in df.collect()]
+        assert len(got) > 1 and got == sorted(got), got
+
+    in_order(Q.disease_names(fixture_facts), "disease_name")
+    in_order(Q.disease_catalog(fixture_facts), "disease_name", "disease_slug")
+    in_order(Q.states(fixture_facts), "state")
+    in_order(Q.disease_totals(fixture_facts, fixture_merged), "disease_name")
+    from caseflow.plans.catalog import build_name_mapping
+    in_order(build_name_mapping(fixture_facts), "disease_slug", "data_source")
+
+
+def test_deduplicated_series(fixture_facts, fixture_merged):
+    import pytest
+    raw = {(r.disease_name, str(r.period)): r.total_cases for r in Q.national_timeseries(fixture_facts).collect()}
+    once = {(r.disease_name, str(r.period)): r.total_cases for r in Q.national_timeseries(fixture_facts, dedupe=True, merged=fixture_merged).collect()}
+    assert raw.keys() == once.keys() and raw != once and all(once[k] <= raw[k] for k in raw)
+    assert sum(once.values()) == sum(r.total_cases for r in Q.disease_totals(fixture_facts, fixture_merged).collect())
+    with pytest.raises(ValueError):
+        Q.national_timeseries(fixture_facts, granularity="week", dedupe=True, merged=fixture_merged)
+
+
+def test_long_selection_is_a_semi_join(spark, fixture_facts):
+    from caseflow.operators import filters as FL
+    chosen = ["CA", *[f"X{i}" for i in range(500)]]
+    plan = FL.select_states(fixture_facts, chosen)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    frame = spark.createDataFrame([(c,) for c in chosen] * 2, "state string")
+    want = sorted(map(str, fixture_facts.where("state = 'CA'").collect()))
+    for selection in (chosen, frame, ["CA"]):
+        assert sorted(map(str, FL.select_states(fixture_facts, selection).collect())) == want
+    everything = fixture_facts.count()
+    for selection in (None, [], ["CA", "National"], frame.limit(0), frame.unionByName(spark.createDataFrame([("National",)], "state string"))):
+        assert FL.select_states(fixture_facts, selection).count() == everything
+
+
+def test_ascii_rows_stay_out_of_python(spark):
+    from caseflow.operators.conform import add_url_slugs
+    rows = [("Plain", "a b"), ("Cafe\u0301", "x"), (None, "y"), (None, None), ("z", "\u00e9t\u00e9")]
+    out = add_url_slugs(spark.createDataFrame(rows, "a string, b string"), ["a", "b"])
+    got = {(r.a, r.b): (r.a_url_slug, r.b_url_slug) for r in out.collect()}
+    assert got == {rows[0]: ("plain", "a-b"), rows[1]: ("caf", "x"), rows[2]: (None, "y"), rows[3]: (None, None), rows[4]: ("z", "t")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Union") < plan.index("ArrowEvalPython")

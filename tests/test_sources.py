@@ -82,3 +82,60 @@ def test_build_fact_table_end_to_end(spark, feed_root, tmp_path):
     got = spark.sql("SELECT disease_name, SUM(count) AS c FROM disease_data_merged GROUP BY 1 ORDER BY 1").collect()
     assert [(r["disease_name"], r["c"]) for r in got] == [("measles", 1274), ("meningococcus", 13)]
     assert spark.sql("SELECT count(*) AS n FROM disease_name_mapping").first()["n"] == 4
+
+
+GOOD = "report_period_start,state,disease_name,count\n2024-01-07,CA,measles,10\n2024-01-14,CA,measles,5\n"
+
+
+def uploads(tmp_path, **files):
+    for state, text in files.items():
+        folder = tmp_path / "data" / "states" / state
+        folder.mkdir(parents=True)
+        (folder / f"20240301-120000_{state}_team.csv").write_bytes(text if isinstance(text, bytes) else text.encode())
+    return str(tmp_path)
+
+
+FAULTY = {
+    "CA": GOOD, "TX": GOOD + "2024-01-21,TX,measles,1,2\n", "NY": GOOD + "2024-01-21,NY\n",
+    "GA": GOOD.encode() + "2024-01-21,GA,Mühle,1\n".encode("latin-1"), "MA": "\n\n",
+    "AL": '﻿\n"report_period_start","state","disease_name","count"\n2024-01-07,AL,"a ""quoted"",\nbroken line",3\n',
+}
+
+
+def test_faulty_uploads_are_told_and_counted(spark, tmp_path):
+    root = uploads(tmp_path, **FAULTY)
+    told = FS.read_feed(spark, FS.state_feed_paths(spark, root))
+    by_state = {r["path"].split("/")[-2]: tuple(r)[1:] for r in told.report.collect()}
+    assert by_state == {"CA": ("read", 2, 0, 0), "TX": ("skipped", 3, 0, 1), "NY": ("read", 3, 1, 0), "GA": ("skipped", 3, 0, 1),
+                        "MA": ("skipped", 0, 0, 0), "AL": ("read", 1, 0, 0)}
+    assert sorted((r["path"].split("/")[-2], r["reason"], r["record"]) for r in told.quarantine.collect() if r["record"]) == [
+        ("GA", FS.BYTES, "2024-01-21,GA,M�hle,1"), ("NY", FS.SHORT, "2024-01-21,NY"), ("TX", FS.LONG, "2024-01-21,TX,measles,1,2")]
+    assert told.quarantine.where("record IS NULL").count() == 1
+    got = sorted(((r["state"], r["disease_name"], r["count"]) for r in told.rows.collect()), key=str)
+    assert got == sorted([("CA", "measles", "10"), ("CA", "measles", "5")] * 2 + [("NY", None, None), ("AL", 'a "quoted",\nbroken line', "3")], key=str)
+
+
+def test_quarantine_keeps_the_other_rows_and_raise_ends_the_load(spark, tmp_path):
+    import pytest
+    root = uploads(tmp_path, **{k: FAULTY[k] for k in ("CA", "TX", "NY", "GA")})
+    rows = FS.read_state_feed(spark, root, "quarantine")
+    assert rows.count() == 9 and rows.where("state IN ('TX', 'GA')").count() == 0
+    with pytest.raises(ValueError, match="do not fit its header"):
+        FS.read_state_feed(spark, root, "raise")
+    with pytest.raises(ValueError, match="on_error"):
+        FS.read_state_feed(spark, root, "ignore")
+    lines = FS.read_state_feed(spark, root, "quarantine", multi_line=False)         # the mode that splits files
+    assert sorted(map(str, lines.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_uploads_written_are_the_layout_read(spark, tmp_path):
+    raw = spark.createDataFrame([("CA", "1"), ("CA", "2"), ("N Y", "3"), (None, "4")], "state string, count string")
+    FS.write_state_feed(raw, str(tmp_path), "20240301-000000", "a")
+    FS.write_state_feed(raw.limit(1), str(tmp_path), "20240201-000000", "b")           # delivered later, dated earlier
+    assert sorted((r["parent"], r["file_name"]) for r in FS.discover_files(spark, f"{tmp_path}/data/states").collect()) == [
+        ("CA", "20240201-000000_CA_b.csv"), ("CA", "20240301-000000_CA_a.csv"), ("N Y", "20240301-000000_N Y_a.csv")]
+    assert sorted((r["reporting_jurisdiction"], r["count"]) for r in FS.read_state_feed(spark, str(tmp_path)).collect()) == [
+        ("CA", "1"), ("CA", "2"), ("N Y", "3")]
+    FS.write_weekly_feed(raw, str(tmp_path), "20240310")
+    FS.write_weekly_feed(raw.limit(1), str(tmp_path), "20240309")
+    assert FS.read_weekly_feed(spark, str(tmp_path)).count() == 4
