@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -78,10 +78,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or named
 
 
+#: Scratch folders named since the process began, in order.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/caseflow-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(f"{base}/caseflow-scratch/{name}-{uuid.uuid4().hex[:12]}")
+    return _SCRATCH[-1]
+
+
+def scratch_made(since: int = 0) -> list[str]:
+    """Scratch folders named after the first ``since`` ones."""
+    return _SCRATCH[since:]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -100,14 +110,16 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every table this session wrote with ``scratch_path``.
+def drop_scratch(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Delete the tables at ``paths``, or every table this session wrote with ``scratch_path``.
 
     Call it once the results that read those tables have been used.
     """
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/caseflow-scratch")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    everything = [f"{ensure_checkpoint_dir(spark).rstrip('/')}/caseflow-scratch"]
+    for path in everything if paths is None else paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 # SQL confs the heavy load job wants even in a session someone else configured.
