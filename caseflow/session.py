@@ -89,6 +89,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1]
 
 
+#: Rows and bytes of an Arrow batch for Python functions over whole texts, and Spark's defaults.
+TEXT_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000"),
+                "spark.sql.execution.arrow.maxBytesPerBatch": ("8388608", "67108864b")}
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in small batches, where the session still has the defaults.
+
+    Those are made for short rows: ten thousand documents at a time, held in the JVM's direct
+    memory on their way to and from the worker, and in the worker.
+    """
+    for key, (value, default) in TEXT_BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 def scratch_made(since: int = 0) -> list[str]:
     """Scratch folders named after the first ``since`` ones."""
     return _SCRATCH[since:]
