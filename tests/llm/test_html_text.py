@@ -81,6 +81,42 @@ def test_heads_end_and_words_exclude_no_whole_page(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("inside", [
+    "<h1><a href=/t>The title</a></h1><p>Text, here, and more of it.</p>", "<h3><a href=/s>A linked heading</a></h3><p>Text, here, and more.</p>",
+    "<p>Text, here.</p><h2>References</h2><ol><li><a href=1>One, a book.</a></li><li><a href=2>Two, a paper.</a></li></ol>",
+    "<h2 id=related-work>Related work</h2><p>Text, here.</p>", "<h2 id=Search_algorithms>Search algorithms</h2><p>Text, here.</p>",
+    "<section id=social-impact><h2>Social impact</h2><p>Text, here.</p></section><p>More, here.</p>",
+    "<div class=share-price>Price of a share, 12.</div><p>Text, here.</p>", "<p class=teaser>The teaser, first.</p><p>Text, here.</p>",
+    "<p>So, <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p>Text, here.</p>", "<div class=alert-fatigue><p>Text, here.</p></div><p>More.</p>",
+])
+def test_nothing_of_a_marked_article_is_dropped(inside):
+    want = " ".join(re.sub("</?(?:a|mi|mo|mn|math)[^>]*>", "", re.sub("<(?!/?(?:a|mi|mo|mn|math)[ >])[^>]*>", " ", inside)).split())
+    page = f"<nav><a href=/>Home</a></nav><article>{inside}</article><div class=related-posts><a href=9>Else</a></div><footer>Foot</footer>"
+    assert html_text.main_text(page) == want
+    plain = inside.replace("References</h2><ol><li><a href=1>One, a book.</a></li><li><a href=2>Two, a paper.</a></li></ol>", "References</h2>")
+    page = f"<nav><a href=/>Home</a></nav><div class=content>{plain}</div><div class=related-posts><a href=9>Else</a></div><footer>Foot</footer>"
+    assert html_text.main_text(page) == want.replace(" One, a book. Two, a paper.", "" if plain != inside else " One, a book. Two, a paper.")
+
+
+@pytest.mark.parametrize("named", ["class=share-bar", "class='social-links'", "id=cookie-notice", "class=related-posts", "class='x ad-box'", "id=comments",
+                                   "class=newsletter_signup", "class=main-nav", "class='widget widget_search'", "class=comment-list", "id=sidebar-2"])
+def test_named_parts_of_an_article_are_left_out(named):
+    assert html_text.main_text(f"<article><p>Text, here, and more.</p><div {named}>No, not this.</div><p>End, here.</p></article>") == "Text, here, and more. End, here."
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    import time
+    import tracemalloc
+    for page in ("<div>" * 100_000 + "deep", "<div>x, y. " * 50_000, "<div class=ad>x " * 50_000, "<ul>" + "<li><div>x " * 50_000, "<a>x" * 100_000):
+        began = time.process_time()
+        assert html_text.main_text(page) is not None
+        assert time.process_time() - began < 6
+    tracemalloc.start()
+    html_text.main_text("<div>" * 100_000 + "deep")
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_long_and_broken_pages_end():
     assert html_text.main_text("<div>" * 3000 + "deep" + "<a '" * 50) .startswith("deep")
     assert len(html_text.main_text("<p>" + "word " * 200000)) == 999999
