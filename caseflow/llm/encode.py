@@ -2,8 +2,9 @@
 
 A text is cut into pre-tokens by the tokenizer's own pattern, and each distinct
 pre-token is merged once by the ``tokenizers`` library; the ids of a text are the
-joined ids of its pre-tokens. Tests hold the ids against ``Tokenizer.encode``.
-Special-token strings in a text are ordinary text.
+joined ids of its pre-tokens. Tests hold the ids against ``Tokenizer.encode`` of the
+whole text, without special tokens added around it; the strings of the file's own added
+tokens in a text are those tokens, as the library takes them.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
+        self.added = [t["content"] for t in spec["added_tokens"]]
         self.words_only = spec["normalizer"] is not None      # lower case, white space dropped
         letter, number, space = _class_of("L"), _class_of("N"), _WHITE_SPACE
         endings = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -74,7 +75,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """All ids of the whole text."""
-        if not text.isascii() and self.rare.search(text):
+        if not text.isascii() and self.rare.search(text) or any(t in text for t in self.added):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.words_only:
             if not unicodedata.is_normalized("NFC", text):

@@ -16,9 +16,10 @@ Spark sorts the documents by range of ``doc_id``; each task writes shards under
 names of its own and returns a manifest row for each. Only the manifest rows that
 Spark commits count, so a task that is run again leaves at most an unread file.
 
-Defined results: null text is empty and holds the end id alone; documents with the
-same ``doc_id`` follow one another in the order of their text's hash; null ids come
-first; an empty table gives an empty manifest and no rows; other columns are not read.
+Defined results: null text is empty and holds the end id alone; whole texts are encoded,
+however long; documents with the same ``doc_id`` follow one another in the order of their
+text's hash; null ids come first; ids that do not fit the width end the job; an empty
+table gives an empty manifest and no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class ShardWriter:
         self.offsets = [self.at]
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        frame = self.zstd.compress(ids.astype(f"<u{self.width}").tobytes())
+        frame = self.zstd.compress(_narrow(ids, self.width).tobytes())
         self.out.write(frame)
         self.at += len(frame)
         self.doc_ids.append(doc_id)
@@ -133,6 +134,13 @@ class ShardReader:
         self.file.close()
 
 
+def _narrow(ids: np.ndarray, width: int) -> np.ndarray:
+    """``ids`` in ``width`` bytes each; an id that does not fit is an error."""
+    if len(ids) and int(ids.max()) >> (8 * width):
+        raise ValueError(f"token id {ids.max()} does not fit into {width} bytes")
+    return ids.astype(f"<u{width}")
+
+
 def encode_ids(path: str, text: str | None, end_id: int) -> np.ndarray:
     return np.append(np.frombuffer(encoder(path)(text or ""), "<u4"), np.uint32(end_id))
 
@@ -149,7 +157,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> byt
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [encode_ids(path, t, end_id).astype(f"<u{width}").tobytes()[:SAMPLE_BYTES]
+            raw = [_narrow(encode_ids(path, t, end_id), width).tobytes()[:SAMPLE_BYTES]
                    for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "ids"])
 

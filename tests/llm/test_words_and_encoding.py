@@ -33,7 +33,6 @@ def test_words_are_those_of_the_pattern(texts):
 def test_encoding_is_the_librarys(name):
     path = public_tokenizers.path(name)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
 
     @settings(max_examples=400, deadline=None)
     @given(st.one_of(ODD, st.text(max_size=30)))
@@ -41,5 +40,5 @@ def test_encoding_is_the_librarys(name):
         assert np.frombuffer(encoder(path)(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
     check()
-    for text in ("", "<|endoftext|> a", "x" * 5000, "it's  we'll\n\n so"):
+    for text in ("", "<|endoftext|> a", "hello <|endoftext|> you", "a<|startoftext|>b <|ENDOFTEXT|>", "x" * 5000, "it's  we'll\n\n so"):
         assert np.frombuffer(encoder(path)(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
