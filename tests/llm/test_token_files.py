@@ -14,7 +14,6 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 
 def ids_of(path, text, end):
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     return np.array([*library.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -60,6 +59,24 @@ def test_short_access_and_foreign_dictionary(spark, make):
         token_files.ShardReader(fs, f"{root}/{row['shard']}", b"another")
 
 
+def test_ids_that_do_not_fit_are_refused(tmp_path):
+    fs, root = token_files.open_folder(str(tmp_path))
+    shard = token_files.ShardWriter(fs, f"{root}/s", b"", 2)
+    shard.add(1, np.array([65_535, 0], "<u4"))
+    with pytest.raises(ValueError):
+        shard.add(2, np.array([65_536], "<u4"))
+
+
+def test_clashing_columns_and_special_tokens_in_texts(spark, make):
+    from pyspark.sql import functions as F
+    rows = [(1, "a <|endoftext|> b"), (2, None), (3, "plain")]
+    docs = make(rows).withColumns({c: F.lit("clash") for c in ("ids", "start", "n_tokens", "shard", "piece", "length", "members", "task")})
+    folder, manifest = write(docs)
+    got = {r.doc_id: bytes(r.ids) for r in token_files.read(folder, manifest).collect()}
+    assert got == {i: ids_of(BYTE, t, 2).tobytes() for i, t in rows} and len(got[1]) == 4 * 5
+    check_packing(packing.pack_documents(docs).collect(), pieces_of(rows))
+
+
 def test_empty_table(spark, make):
     folder, manifest = write(make([]))
     assert token_files.read(folder, manifest).count() == 0
@@ -107,6 +124,18 @@ def test_packing_odd_rows_and_rounds(spark, make):
     assert packing.pack_documents(make([])).count() == 0
 
 
+def test_handing_on_more_gains_nothing(spark):
+    """Sequences that are mostly more than half full, a small one in many tasks, hosts of all rooms."""
+    import random
+    for seed in range(3):
+        rng = random.Random(seed)
+        sizes = [rng.choice([rng.randint(1030, 2030), rng.randint(1030, 1400), rng.randint(5, 900)]) if k % 7 else rng.randint(1100, 1900)
+                 for k in range(900)]
+        items = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECE).repartition(27)
+        counts = [packing.pack(items, fan_in=3, hand_on=n).select("sequence_id").distinct().count() for n in (None, 10_000)]
+        assert counts[0] <= counts[1]
+
+
 def test_items_that_fit_nowhere(spark):
     items = spark.range(50).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1500L AS length", "0L AS ids_crc32").repartition(9)
     assert packing.pack(items, fan_in=2).select("sequence_id").distinct().count() == 50
