@@ -20,10 +20,12 @@ passed over at once.
 
 All DataFrame expressions, no Python on the executors.
 
+Licences differ from their kin by a word or two, so of a unit only the best one is told.
+
 Defined results: null and empty texts and units of fewer than two words match nothing;
-of equal scores the licence whose name sorts first is reported, then the earliest
-unit; rows sharing a ``doc_id`` are reported together as one document; other columns
-are ignored.
+whole texts are scanned, however long; of equal scores the licence whose name sorts first
+is reported, then the earliest unit; rows sharing a ``doc_id`` are reported together as one
+document, null ids as one too; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,6 +102,23 @@ as published by the Free Software Foundation, either version 3 of the License, o
 distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
 FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public
 License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public
+License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA
+02110-1301 USA.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This
+library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the
+GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth
+Floor, Boston, MA 02110-1301 USA""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the
+GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
 with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
@@ -239,7 +258,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sized = units(docs).withColumn("bigrams", F.octet_length("words") - F.octet_length(F.translate("words", " ", "")))
     sized = sized.join(F.broadcast(sizes.select("bigrams").distinct()), "bigrams", "left_semi")
     # the generator keeps Spark from making the bigrams anew for each template
-    met = sized.select("doc_id", "unit", "bigrams", F.explode(_bigrams(F.col("words"))).alias("made")) \
+    met = sized.select("doc_id", "unit", "words", "bigrams", F.explode(_bigrams(F.col("words"))).alias("made")) \
         .join(F.broadcast(sizes), "bigrams").join(F.broadcast(table), "template")
     # no more common bigrams than distinct ones on both sides and the template's repeats; most pairs end here
     most = F.size(F.array_intersect("made", F.transform("grams", lambda g: g["gram"]))) + F.col("own") - F.size("grams")
@@ -247,7 +266,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = met.where(2 * most >= threshold * both)
     common = F.aggregate("grams", F.lit(0), lambda a, g: a + F.least(
         g["times"], F.size(F.filter("made", lambda x: x == g["gram"]))))
-    return met.withColumn("dice", 2 * common / both).where(F.col("dice") >= threshold).select("doc_id", "unit", "license", "dice") \
+    met = met.withColumn("dice", 2 * common / both).where(F.col("dice") >= threshold)
+    # licences share most of their words: of a unit only the best is told
+    best = met.groupBy("doc_id", "unit", "words").agg(F.min(F.struct((-F.col("dice")).alias("low"), "license", "dice")).alias("best"))
+    return best.select("doc_id", "unit", "best.license", "best.dice") \
         .unionByName(windows(docs, threshold).withColumn("unit", F.lit(None).cast("int")))
 
 
@@ -269,17 +291,18 @@ def _sql() -> str:
                        for i, (name, words) in enumerate(templates()))
     return rf"""
 WITH t(template, license, grams) AS (VALUES {values}),
-u AS (SELECT doc_id, unnest(list_distinct(list_transform(
+u AS (SELECT DISTINCT doc_id, unnest(list_distinct(list_transform(
         [coalesce(text, '')] || regexp_split_to_array(coalesce(text, ''), '\n\s*\n') || string_split(coalesce(text, ''), chr(10)),
         lambda p: trim(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))))) AS p FROM documents),
-w AS (SELECT doc_id, string_split(p, ' ') AS w, len(string_split(p, ' ')) - 1 AS n FROM u),
-g AS (SELECT w.doc_id, t.license, w.n, len(t.grams) AS own, t.grams,
+w AS (SELECT doc_id, p, string_split(p, ' ') AS w, len(string_split(p, ' ')) - 1 AS n FROM u),
+g AS (SELECT w.doc_id, w.p, t.license, w.n, len(t.grams) AS own, t.grams,
         list_transform(range(1, w.n + 1), lambda i: w.w[i] || ' ' || w.w[i + 1]) AS made
       FROM w JOIN t ON w.n BETWEEN ceil(len(t.grams) * {THRESHOLD} / {2 - THRESHOLD:.1f} - 1e-9) AND floor(len(t.grams) * {2 - THRESHOLD:.1f} / {THRESHOLD} + 1e-9) AND w.n > 0),
-s AS (SELECT doc_id, license, 2 * list_sum(list_transform(list_distinct(grams),
+s AS (SELECT doc_id, p, license, 2 * list_sum(list_transform(list_distinct(grams),
         lambda x: least(len(list_filter(grams, lambda y: y = x)), len(list_filter(made, lambda y: y = x)))))::DOUBLE / (n + own) AS dice FROM g),
+x AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice FROM s WHERE dice >= {THRESHOLD} GROUP BY doc_id, p),
 b AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
-      FROM s WHERE dice >= {THRESHOLD} GROUP BY doc_id)
+      FROM x GROUP BY doc_id)
 SELECT d.doc_id, b.license, coalesce(b.dice, 0.0)::DOUBLE AS dice, coalesce(b.licenses, '') AS licenses
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN b ON d.doc_id IS NOT DISTINCT FROM b.doc_id"""
 

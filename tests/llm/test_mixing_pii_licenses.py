@@ -5,7 +5,8 @@ import pytest
 from compare import compare, duck
 from conftest import ODD_ROWS, SF
 
-from caseflow.llm import licenses, mixing, pii, queries
+from caseflow.llm import licenses, mixing, pii, queries, tables
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -87,6 +88,69 @@ def test_added_spans_scores_and_redaction(spark, make):
     assert len(long) == 3
 
 
+@pytest.mark.parametrize("text,kinds", [
+    ('token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6" of', [("secret", 0.85)]), ("0b96a8c8d79c4a5085c919698889f59b72ab7bb6", []),
+    ("my password: Tr0ub4dor-3x-and-more-of-it", [("secret", 0.85)]), ("api_key=" + "a1b2c3" * 40, []), ("secret internationalisation-and-such", []),
+    ("card 4111 1111 1111 1111 or 4111111111111111", [("card", 0.8), ("card", 0.8)]), ("9.9.9.9, host 1.2.3.4", [("ip", 0.7), ("ip", 0.7)]),
+])
+def test_secrets_and_context(spark, make, text, kinds):
+    got = pii.detect(make([(1, text)])).first()["pii_spans"]
+    assert [(s["kind"], round(s["score"], 3)) for s in got] == kinds
+    assert all(text[s["start"]:s["end"]] == s["match"] for s in got)
+
+
+def test_contexts_are_those_of_the_text_around(spark, make):
+    rnd = random.Random(5)
+    bits = ["mail ", "call ", "1.2.3.4", " a@b.cc ", "x" * 37, "é😀 ", "+1 555 123 4567", "\n", "host", "12 ", "tel "]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60)))) for i in range(400)]
+    for r in pii.detect(make(rows)).collect():
+        for s in r["pii_spans"]:
+            [kind] = [k for k in pii.KINDS if k.name == s["kind"]]
+            around = (r["text"][max(0, s["start"] - 40):s["start"]] + " " + r["text"][s["end"]:s["end"] + 40]).lower()
+            assert round(s["score"] - kind.base_score, 3) == (0.1 if re.search("|".join(kind.context), around) else 0.0)
+
+
+def test_texts_full_of_matches_take_little_more_than_linear_time(spark, make):
+    import time
+    times = []
+    for size in (500_000, 5_000_000):
+        rows = tables.written(make([(1, "12, " * (size // 4)), (2, "10.0.0.1 " * (size // 50))]), "test-long")
+        began = time.time()
+        got = {r.doc_id: r.n for r in pii.detect(rows).selectExpr("doc_id", "size(pii_spans) AS n").collect()}
+        times.append(time.time() - began)
+        assert got == {1: 0, 2: size // 50}
+    assert times[1] < 40
+
+
+def test_pii_replaces_a_column_of_its_name_and_keeps_others(spark, make):
+    docs = make([(1, "a@b.cc"), (None, None)]).withColumn("pii_spans", F.lit("clash")).withColumn("score", F.lit("mine"))
+    got = {r.doc_id: (len(r.pii_spans), r.score) for r in pii.detect(docs).collect()}
+    assert got == {1: (1, "mine"), None: (0, "mine")}
+
+
+@pytest.mark.parametrize("text,license", [
+    ("Licensed under the GNU General Public License, version 3", "GPL-3.0"), ("Licensed under the GNU General Public License, version 2", "GPL-2.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("Released under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    *[(licenses.TEXTS[name], name) for name in licenses.TEXTS],
+    *[("prose\n\n" + "\n".join("# " + x for x in licenses.TEXTS[name].split("\n")) + "\n\nimport os", name)
+      for name in ("LGPL-2.1", "GPL-2.0", "AGPL-3.0", "GPL-3.0")],
+])
+def test_one_licence_a_notice(spark, make, text, license):
+    assert {r["license"] for r in licenses.scan(make([(1, text)])).collect()} == {license}
+
+
+def test_licences_of_odd_tables(spark, stored, make, tmp_path):
+    notice = "Released under the MIT License"
+    rows = [(1, notice), (1, "prose"), (1, notice), (None, "licensed under the ISC License"), (None, None), (2, None), (2, "")]
+    got = sorted(((r.doc_id, r.license, r.licenses) for r in licenses.op10(spark, stored(rows)).collect()), key=str)
+    assert got == sorted([(1, "MIT", "MIT"), (None, "ISC", "ISC"), (2, None, "")], key=str)
+    make([]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert licenses.op10(spark, str(tmp_path / "none")).collect() == [] and pii.op9(spark, str(tmp_path / "none")).collect() == []
+    clash = make(rows).withColumns({c: F.lit("clash") for c in ("unit", "words", "license", "dice", "bigrams", "made", "key", "grams")})
+    assert sorted(map(str, licenses.scan(clash).collect())) == sorted(map(str, licenses.scan(make(rows)).collect()))
+
+
 def test_license_texts(spark, make):
     mit = licenses.TEXTS["MIT"]
     docs = make([(1, mit), (2, f"# header\n\n{mit.upper()}\n\ncode"), (3, "Released under the MIT license!\nprose"), (4, mit[:len(mit) // 3]),
