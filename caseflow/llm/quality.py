@@ -1,19 +1,26 @@
 """Quality rules with risk-controlled cutoffs (operator 4).
 
-Each rule turns a document into a number, larger being worse. A labelled holdout
-decides where a rule may cut: for every stratum, rule and cutoff of a fixed grid,
-the good documents beyond the cutoff are counted, and an exact binomial test rejects
-"the false rejection rate is above the rule's share of the risk" or does not. The
-risk is shared among the rules, and the error level among all strata, rules and
-cutoffs tested (Bonferroni), so with confidence 1 - ``delta`` every stratum loses at
-most ``risk`` of its good documents, whichever tested cutoff is taken. Of those that
-pass, the cutoff that tells bad from good best is taken; if none passes or none
-rejects a bad document, the rule rejects nothing in that stratum.
+Each rule turns a document into a number, larger being worse. Labelled documents decide
+where the rules may cut, for every stratum on its own:
+
+1. One half of them, by a hash of the id, proposes: starting from no cutoff, the rule and
+   cutoff of a fixed grid that tell most bad documents from good ones are added, again and
+   again. Each step of this path rejects all that the one before rejects.
+2. The other half, the holdout, certifies: along the path, an exact binomial test rejects
+   "the combined rules lose more than ``risk`` of the good documents", or does not. The
+   path goes on only from step to step that pass, so all of them are tested at one level
+   (fixed-sequence testing), and the level is shared among the strata (Bonferroni).
+
+With confidence 1 - ``delta`` no stratum loses more than ``risk`` of its good documents.
+Where the holdout has too few of them to pass the first step, or no step tells bad
+documents from good, only the base rules reject.
 
 Defined results: null and empty texts have no words and fail the base rules; a null
 stratum is a stratum of its own; labels without a document, null labels and
 documents without labels take no part in the choice; without labels only the base
-rules reject; repeated rows are judged one by one; other columns are ignored.
+rules reject; of equal gains the first rule and its laxest cutoff are taken; a score equal
+to a cutoff is kept; repeated rows are judged one by one, and whole texts, however long;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,23 +129,44 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose(counts: pd.DataFrame, grid: tuple[float, ...], risk: float, delta: float) -> float | None:
-    """The cutoff of one stratum and rule from ``counts`` (step, good, bad): documents with ``step`` cutoffs below their score."""
-    good, bad = np.zeros(len(grid) + 1), np.zeros(len(grid) + 1)
-    for step, g, b in zip(counts["step"], counts["good"], counts["bad"]):
-        good[int(step)] += g
-        bad[int(step)] += b
-    n, m = int(good.sum()), int(bad.sum())
-    best, cutoff = 0.0, None
-    # beyond cutoff i lie the documents with i + 1 cutoffs or more below their score; laxest first
-    for i in reversed(range(len(grid))):
-        k, hits = int(good[i + 1:].sum()), int(bad[i + 1:].sum())
-        if n == 0 or k > risk * n:
+#: A cutoff that rejects nothing.
+NONE = 1 << 20
+
+
+def rejected(steps: np.ndarray, config: np.ndarray) -> np.ndarray:
+    """Which rows of ``steps`` (a column a rule: cutoffs below the score) have one beyond the cutoffs at ``config``."""
+    return (steps > config).any(axis=1)
+
+
+def propose(steps: np.ndarray, good: np.ndarray, bad: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Path of ever stricter cutoffs: numbers of ``good`` and ``bad`` documents per row of ``steps``, grid sizes by rule."""
+    config, path = np.full(len(sizes), NONE), []
+    n, m = max(1, good.sum()), max(1, bad.sum())
+    while True:
+        left = ~rejected(steps, config)
+        best, chosen = 0.0, None
+        for rule, size in enumerate(sizes):
+            for i in reversed(range(min(size, config[rule]))):        # laxest first
+                more = left & (steps[:, rule] > i)
+                gain = bad[more].sum() / m - GOOD_COST * good[more].sum() / n
+                if gain > best:
+                    best, chosen = gain, (rule, i)
+        if chosen is None:
+            return path
+        config = config.copy()
+        config[chosen[0]] = chosen[1]
+        path.append(config)
+
+
+def certify(steps: np.ndarray, good: np.ndarray, path: list[np.ndarray], risk: float, delta: float) -> np.ndarray | None:
+    """The last of the configurations that the holdout's ``good`` documents let pass, one after the other."""
+    n, passed = int(good.sum()), None
+    for config in path:
+        k = int(good[rejected(steps, config)].sum())
+        if n == 0 or k > risk * n or binomial_cdf(k, n, risk) > delta:
             break
-        gain = hits / max(m, 1) - GOOD_COST * k / n
-        if gain > best and binomial_cdf(k, n, risk) <= delta:
-            best, cutoff = gain, grid[i]
-    return cutoff
+        passed = config
+    return passed
 
 
 def steps_below(grid: tuple[float, ...], score: Column) -> Column:
@@ -150,21 +178,25 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     """stratum and a cutoff column for each rule, null where the rule rejects nothing."""
     judged = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
     held = measured.where("NOT base_failed").join(judged, F.col("doc_id") == F.col("_id"))
-    steps = [F.struct(F.lit(name).alias("rule"), steps_below(GRID[name], F.expr(score)).alias("step"))
-             for name, score in RULES.items()]
-    counts = held.select("stratum", "quality", F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.step").agg(
-        F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
+    names = list(RULES)
+    steps = [steps_below(GRID[name], F.expr(RULES[name])).alias(name) for name in names]
+    # labelled documents of equal steps are one row: no more than there are combinations of steps
+    counts = held.select("stratum", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("proposes"), "quality", *steps) \
+        .groupBy("stratum", "proposes", *names).agg(
+            F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") == 0).cast("long")).alias("bad"))
     strata = max(1, measured.select("stratum").distinct().count())
-    tests = strata * sum(len(g) for g in GRID.values())
+    sizes = [len(GRID[name]) for name in names]
 
     def pick(key, frame: pd.DataFrame) -> pd.DataFrame:
-        cut = choose(frame, GRID[key[1]], risk / len(RULES), delta / tests)
-        return pd.DataFrame({"stratum": [key[0]], "rule": [key[1]], "cutoff": [np.nan if cut is None else cut]})
-
-    # one group a stratum and rule, with a row for each step of the grid
-    picked = counts.groupBy("stratum", "rule").applyInPandas(pick, "stratum string, rule string, cutoff double")
-    picked = picked.withColumn("cutoff", F.nullif(F.col("cutoff"), F.lit(float("nan"))))
-    return picked.groupBy("stratum").pivot("rule", list(RULES)).agg(F.max("cutoff"))
+        frame = frame.sort_values(["proposes", *names])
+        first, second = frame[frame["proposes"]], frame[~frame["proposes"]]
+        path = propose(first[names].to_numpy(), first["good"].to_numpy(), first["bad"].to_numpy(), sizes)
+        config = certify(second[names].to_numpy(), second["good"].to_numpy(), path, risk, delta / strata)
+        cuts = [np.nan if config is None or config[r] == NONE else GRID[name][config[r]] for r, name in enumerate(names)]
+        return pd.DataFrame({"stratum": [key[0]], **{name: [cut] for name, cut in zip(names, cuts)}})
+
+    picked = counts.groupBy("stratum").applyInPandas(pick, "stratum string, " + ", ".join(f"{name} double" for name in names))
+    return picked.select("stratum", *[F.nullif(F.col(name), F.lit(float("nan"))).alias(name) for name in names])
 
 
 def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
