@@ -1,42 +1,50 @@
 """Language identification by words first, then ever shorter character n-grams (operator 5).
 
-A known word scores its log frequency in each language. An unseen word falls back to
-the longest character n-grams of it that are known, scoring their mean log frequency,
-and if not even one of its characters is known it tells nothing. A text's scores are
-the sums over all its words; the score reported is the share of the best language
-after normalising, so it lies between 0 and 1.
+A word that the model knows scores its log frequency in each language. An unseen word
+falls back to the longest character n-grams of it that are known, scoring their mean log
+frequency, and if not even one of its characters is known it tells nothing. A text's
+scores are the sums over all its words; the score reported is the share of the best
+language after normalising, so it lies between 0 and 1.
+
+Frequencies are drawn towards those of all languages together, by PRIOR tokens: what a
+language has not seen has a floor that is the same for all, and a language learnt from a
+few words (a stray label) scores other words no better than their average language.
 
 The model is fitted on a sample of labelled rows (``SAMPLE_DOCS`` a language, picked by a
-hash of the id) and keeps ``TABLE_ROWS`` words and as many n-grams of each length, so
-its size has a bound and it is broadcast.
+hash of the id) of the ``MAX_LANGUAGES`` commonest labels, and keeps the ``TABLE_ROWS``
+commonest words of each language and as many n-grams of each length, so its size has a
+bound and it is broadcast.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so
 is everything if no row can be learnt from; equal scores go to the language that sorts
 first; a text of unknown characters only scores alike for all languages; repeated rows
-are predicted one by one; other columns are ignored.
+are predicted one by one; whole texts count, however long; an empty table gives no rows;
+other columns are kept, but for lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from caseflow.llm import tables as T
 
 SAMPLE_DOCS = 1500
-TABLE_ROWS = 20_000
+MAX_LANGUAGES = 200
+TABLE_ROWS = 10_000
 LONGEST = 4
-REMEMBERED = 200_000
+#: Tokens of the common frequencies that each language's own are mixed with.
+PRIOR = 2000.0
+REMEMBERED = 100_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_SMOOTHING = 0.5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,7 +58,7 @@ def sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFra
     The shares are literals of the filter (a row a language), so no text is shuffled.
     """
     slots = 1 << 40
-    counts = labelled.groupBy("lang").count().orderBy("lang").collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     taken = F.lit(False)
     for r in counts:
         share = min(slots, docs_per_language * slots // r["count"] + 1)
@@ -60,25 +68,25 @@ def sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFra
 
 @dataclass
 class Model:
-    """Log frequencies by language: of words, and of n-grams of padded words by their length."""
+    """Log frequencies by language: of words (table 0) and of n-grams of padded words by their length."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: list[dict[str, tuple[float, ...]]]          # of length 0 (none), 1, 2, ... LONGEST
+    tables: list[dict[str, int]]                        # row in ``logs`` of each word or n-gram
+    logs: np.ndarray
     known: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))      # a row for each number in ``known``
 
-    def word(self, word: str) -> Sequence[float]:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+    def word(self, word: str) -> np.ndarray:
+        row = self.tables[0].get(word)
+        if row is not None:
+            return self.logs[row]
         for n in range(LONGEST, 0, -1):
             padded = f"_{word}_" if n > 1 else word
-            table = self.grams[n]
+            table = self.tables[n]
             hits = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i:i + n])) is not None]
             if hits:
-                return [sum(column) / len(hits) for column in zip(*hits)]
-        return [0.0] * len(self.languages)
+                return self.logs[hits].mean(axis=0)
+        return np.zeros(len(self.languages))
 
     def forget(self) -> None:
         """Drop the scores of the words met so far."""
@@ -119,33 +127,48 @@ class Model:
         return row
 
 
-def _logs(rows: list, key: str, languages: list[str]) -> dict[str, tuple[float, ...]]:
-    counts = np.array([[r[f"_{i}"] or 0 for i in range(len(languages))] for r in rows], dtype=float).reshape(-1, len(languages))
-    logs = np.log(counts + _SMOOTHING) - np.log(counts.sum(axis=0) + _SMOOTHING * max(1, len(rows)))
-    return {r[key]: tuple(v) for r, v in zip(rows, logs.tolist())}
-
-
 def fit(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, table_rows: int = TABLE_ROWS) -> Model:
     """Fit on ``labelled`` (doc_id, text, lang), null languages and texts left out."""
     rows = sample(labelled.where("lang IS NOT NULL AND text IS NOT NULL"), docs_per_language)
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     words = T.written(rows.select("lang", word).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "langid-words")
     languages = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
+    tables: list[dict[str, int]] = []
+    logs: list[np.ndarray] = [np.zeros((0, len(languages)))]
+    for n in range(LONGEST + 1):
+        counts = words if n == 0 else words.select("lang", "n", F.explode(_grams("word", n)).alias("word"))
+        if n:
+            counts = T.written(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), f"langid-grams-{n}")
+        table, of = _frequencies(counts, languages, table_rows)
+        first = sum(map(len, logs))
+        tables.append({key: first + i for i, key in enumerate(table)})
+        logs.append(of)
+    return Model(languages, tables, np.concatenate(logs).astype(np.float32))
+
+
+def _grams(word: str, n: int) -> Column:
+    """n-grams of a word with an edge mark on both sides, of single characters without."""
+    edge = "_" if n > 1 else ""
+    padded = f"concat('{edge}', {word}, '{edge}')"
+    return F.expr(f"CASE WHEN length({padded}) >= {n} THEN transform(sequence(1, length({padded}) + 1 - {n}), i -> substring({padded}, i, {n})) END")
+
+
+def _frequencies(counts: DataFrame, languages: list[str], table_rows: int) -> tuple[list[str], np.ndarray]:
+    """The commonest keys of each language of ``counts`` (lang, word, n), and their log frequencies in all of them.
+
+    At most table_rows keys a language are collected.
+    """
     if not languages:
-        return Model([], {}, [{} for _ in range(LONGEST + 1)])
-
-    def table(counts: DataFrame, key: str) -> dict[str, tuple[float, ...]]:
-        sums = [F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"_{i}") for i, lang in enumerate(languages)]
-        top = counts.groupBy(key).agg(*sums, F.sum("n").alias("all")).orderBy(F.desc("all"), key).limit(table_rows)
-        return _logs(top.collect(), key, languages)
-
-    grams: list[dict[str, tuple[float, ...]]] = [{}]
-    for n in range(1, LONGEST + 1):
-        edge = "_" if n > 1 else ""
-        cut = F.expr(f"transform(sequence(1, length(word) + {2 * len(edge) + 1 - n}), i -> substring(concat('{edge}', word, '{edge}'), i, {n}))")
-        counts = words.where(F.length("word") + 2 * len(edge) >= n).select("lang", "n", F.explode(cut).alias("gram"))
-        grams.append(table(counts, "gram"))
-    return Model(languages, table(words, "word"), grams)
+        return [], np.zeros((0, 0))
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    commonest = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    kept = counts.withColumn("_place", F.row_number().over(commonest)).where(F.col("_place") <= table_rows).select("word").distinct()
+    sums = [F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"_{i}") for i, lang in enumerate(languages)]
+    rows = counts.join(kept, "word", "left_semi").groupBy("word").agg(*sums).orderBy("word").collect()
+    own = np.array([[r[f"_{i}"] or 0 for i in range(len(languages))] for r in rows], dtype=float).reshape(-1, len(languages))
+    size = np.array([totals.get(lang, 0) for lang in languages], dtype=float)
+    common = own.sum(axis=1, keepdims=True) / max(1.0, size.sum())
+    return [r.word for r in rows], np.log((own + PRIOR * common) / (size + PRIOR))
 
 
 def label(docs: DataFrame, model: Model) -> DataFrame:

@@ -3,12 +3,12 @@ import re
 from fractions import Fraction
 from math import comb
 
-import pandas as pd
+import numpy as np
 import pytest
 from conftest import ODD_ROWS, SF
 from pyspark.sql import functions as F
 
-from caseflow.llm import langid, quality, tables
+from caseflow.llm import langid, licenses, quality, tables
 
 
 def brute(text):
@@ -41,13 +41,41 @@ def test_binomial_tail_is_exact():
             assert quality.binomial_cdf(k, n, float(p)) == pytest.approx(float(want), rel=1e-9)
 
 
-def test_chosen_cutoffs_keep_the_guarantee():
-    grid = (0.1, 0.2, 0.3)
-    table = lambda *rows: pd.DataFrame(rows, columns=["step", "good", "bad"])       # noqa: E731
-    assert quality.choose(table((0, 2000, 5), (2, 0, 50)), grid, 0.01, 1e-4) == 0.2
-    assert quality.choose(table((0, 50, 5), (2, 0, 50)), grid, 0.01, 1e-4) is None       # too few to be sure
-    assert quality.choose(table((0, 2000, 5), (3, 100, 50)), grid, 0.01, 1e-4) is None   # good ones lie beyond
-    assert quality.choose(table(), grid, 0.01, 1e-4) is None
+def test_path_and_certificate():
+    # rule 0 tells the bad from the good at its middle cutoff, rule 1 tells nothing; columns: steps, good, bad
+    rows = np.array([(0, 0, 500, 10), (2, 0, 0, 60), (1, 0, 40, 40), (0, 3, 400, 5), (3, 1, 1, 30)])
+    steps, good, bad = rows[:, :2], rows[:, 2], rows[:, 3]
+    path = quality.propose(steps, good, bad, [3, 3])
+    assert path[0].tolist() == [1, quality.NONE]            # beyond cutoff 1: 90 of 145 bad, 1 of 941 good
+    for a, b in zip(path, path[1:]):
+        assert (b <= a).all() and (quality.rejected(steps, b) >= quality.rejected(steps, a)).all()
+    # every prefix of the path is tested as it stands; the first failure ends it
+    for risk, delta in ((0.01, 0.05), (0.06, 0.05), (0.2, 1e-3), (1e-4, 0.05)):
+        want = None
+        for config in path:
+            k, n = good[quality.rejected(steps, config)].sum(), good.sum()
+            tail = sum(comb(int(n), i) * Fraction(risk)**i * (1 - Fraction(risk))**(int(n) - i) for i in range(int(k) + 1)) if k <= risk * n else 1
+            if tail > delta:
+                break
+            want = config
+        got = quality.certify(steps, good, path, risk, delta)
+        assert (got is None and want is None) or (got == want).all()
+    assert quality.certify(steps, good // 50, path, 0.05, 0.0125) is None         # too few to be sure
+    assert quality.propose(steps[:0], good[:0], bad[:0], [3, 3]) == []
+
+
+def test_false_rejections_stay_within_the_risk():
+    """Many holdouts from one population: the share lost exceeds the risk in no more than delta of them."""
+    rng = np.random.default_rng(1)
+    losses = np.array([0.0, 0.03, 0.07, 0.2])           # true share of good documents that each step of a path loses
+    steps = np.array([(3,), (2,), (1,), (0,)])
+    path = [np.array([c]) for c in (2, 1, 0)]
+    failed = 0
+    for _ in range(400):
+        counts = rng.multinomial(300, [0.03, 0.04, 0.13, 0.8])
+        got = quality.certify(steps, counts, path, 0.05, 0.05)
+        failed += got is not None and losses[3 - got[0]] > 0.05
+    assert failed <= 0.05 * 400 + 10
 
 
 def test_verdicts(spark, make):
@@ -65,6 +93,25 @@ def test_verdicts(spark, make):
     assert quality.measure(docs.limit(0).withColumn("stratum", F.lit("x"))).count() == 0
 
 
+def test_registered_defaults_certify_cutoffs_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = tables.read(spark, sf, "labels")
+    measured = tables.written(quality.measure(tables.read(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("stratum"))), "test-quality")
+    cuts = quality.cutoffs(measured, labels).collect()
+    assert {r.stratum for r in cuts if any(r[name] is not None for name in quality.RULES)} >= {"de", "en", "es", "fr"}
+    told = quality.op4(spark, sf).join(labels, "doc_id").join(measured.select("doc_id", "stratum"), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        good = [r for r in told if r.stratum == lang and r.quality == 1 and not r.base_failed]
+        assert sum(not r.kept for r in good) <= quality.RISK * len(good)
+    # the verdicts are those of the certified cutoffs, computed without Spark
+    scores = measured.selectExpr("doc_id", "stratum", "base_failed", *[f"{e} AS {n}" for n, e in quality.RULES.items()]).collect()
+    of = {r.stratum: r for r in cuts}
+    want = {r.doc_id: not r.base_failed and not any(of[r.stratum][n] is not None and r[n] > of[r.stratum][n] for n in quality.RULES) for r in scores}
+    assert {r.doc_id: r.kept for r in quality.op4(spark, sf).collect()} == want
+    bad = [r for r in told if r.quality == 0]
+    assert sum(not r.kept for r in bad) >= 0.8 * len(bad)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = tables.read(spark, sf, "documents").select("doc_id", "lang")
@@ -89,3 +136,38 @@ def test_language_of_odd_rows(spark, make):
     empty = langid.fit(train.limit(0))
     assert {r["lang_pred"] for r in langid.label(docs, empty).collect()} == {"und"}
     assert langid.label(docs.limit(0), model).count() == 0
+
+
+def test_a_stray_label_takes_no_other_texts(spark, make):
+    rows = tables.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    stray = make([(10_000, "zyx wvu tsr", "xx")]).select("doc_id", "text", "lang")
+    english = [" ".join(r["text"].split()[:k]) for k, r in enumerate(rows.where("lang = 'en' AND text IS NOT NULL").limit(60).collect()) if k > 2]
+    model = langid.fit(rows.unionByName(stray))
+    assert "xx" in model.languages and model.predict("zyx wvu")[0] == "xx"
+    told = [model.predict(t)[0] for t in english]
+    assert told.count("en") >= 0.97 * len(told) and "xx" not in told
+    prose = [*licenses.TEXTS.values(), *(m.__doc__ for m in (langid, quality, licenses, tables))]
+    plain = langid.fit(make([*[(i, t, "en") for i, t in enumerate(prose)], (99, "uno dos tres", "xx")]))
+    assert plain.predict("zebra quokka fjords")[0] == "en" and plain.predict("Kubernetes cluster autoscaler")[0] == "en"
+
+
+def test_frequencies_against_brute_force(spark, make):
+    import math
+    data = {"aa": ["ab ab c", "ab d"], "bb": ["c c c é", "Ab"]}
+    model = langid.fit(make([(i, t, lang) for i, (lang, t) in enumerate((k, t) for k, v in data.items() for t in v)]))
+    words = {lang: collections.Counter(" ".join(t).lower().split()) for lang, t in data.items()}
+    grams = {lang: collections.Counter() for lang in data}
+    for lang, c in words.items():
+        for w, k in c.items():
+            for i in range(len(w)):
+                grams[lang][f"_{w}_"[i:i + 3]] += k
+
+    def log(counts, key, lang):
+        pooled = sum(c[key] for c in counts.values()) / sum(sum(c.values()) for c in counts.values())
+        return math.log((counts[lang][key] + langid.PRIOR * pooled) / (sum(counts[lang].values()) + langid.PRIOR))
+
+    assert model.word("ab").tolist() == pytest.approx([log(words, "ab", x) for x in ("aa", "bb")], rel=1e-5)
+    # an unseen word without known n-grams of 4 letters: of its 3-grams only ab_ is known
+    assert model.word("xab").tolist() == pytest.approx([log(grams, "ab_", x) for x in ("aa", "bb")], rel=1e-5)
+    few = langid.fit(make([(1, "a b c d a a b", "aa"), (2, "x y z x", "bb")]), table_rows=2)
+    assert set(few.tables[0]) == {"a", "b", "x", "y"}           # the commonest of each language
