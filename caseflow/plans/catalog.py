@@ -2,7 +2,7 @@
 
 The fact table is written once and read by every query: a load job stages the
 feeds, checks them, then writes Parquet partitioned by ``data_source`` and dealt by
-range of an interleaved key of disease and month, so a file covers a few diseases and
+range of an interleaved key of disease and month, so a file covers a few disease names and
 a few months: a query for one disease skips most files by their footers, and so does
 a query for a range of months. Every load is a new version (``versions``): readers see
 the version before until the new one is whole, and a load that fails changes nothing.
@@ -25,7 +25,7 @@ from caseflow.functions import columns as X
 from caseflow.operators.windows import append_sources, distinct_rows
 from caseflow.operators.schema import FACT_COLUMNS, FACT_SCHEMA, REQUIRED_NON_NULL, conform, validate
 from caseflow.plans import rollup, versions
-from caseflow.session import LOAD_CONF, scratch_path, session_conf
+from caseflow.session import LOAD_CONF, drop_scratch, scratch_path, session_conf
 
 log = logging.getLogger(__name__)
 
@@ -241,6 +241,7 @@ def _built(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
             keep = sorted(s for s, n in report.items() if n == 0)
             written = write_facts(rows.where(F.col("data_source").isin(keep)), f"{root}/facts")
             rollup.refresh(written, f"{root}/rollup")
+            drop_scratch(spark, [staged])
         _BUILT[key] = (root, keep)
     return _BUILT[key]
 

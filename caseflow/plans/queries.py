@@ -32,7 +32,7 @@ def disease_names(facts: DataFrame, source: str | None = None) -> DataFrame:
 
 
 def disease_catalog(facts: DataFrame, source: str | None = None) -> DataFrame:
-    """Q2: (disease_name, disease_slug, sources). With ``source``: only diseases that have
+    """Q2: (disease_name, disease_slug, sources). With ``source``: only disease names that have
     a row from it, but listing all of their sources."""
     return _catalog(facts, source).orderBy("disease_name", "disease_slug")
 

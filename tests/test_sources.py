@@ -139,3 +139,20 @@ def test_uploads_written_are_the_layout_read(spark, tmp_path):
     FS.write_weekly_feed(raw, str(tmp_path), "20240310")
     FS.write_weekly_feed(raw.limit(1), str(tmp_path), "20240309")
     assert FS.read_weekly_feed(spark, str(tmp_path)).count() == 4
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    import pytest
+
+    from caseflow.session import ensure_checkpoint_dir
+
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session)
