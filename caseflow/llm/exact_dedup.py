@@ -19,7 +19,9 @@ input other than ``doc_id`` and ``text`` play no part and cannot clash.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,17 +58,23 @@ def _first(row: str) -> Column:
 
 
 def keep_state(spark: SparkSession, source: str, bytes_per_batch: int = 64 << 30,
-               digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None, row: str = "doc_id") -> DataFrame:
+               digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None, row: str = "doc_id",
+               files: DataFrame | None = None) -> DataFrame:
     """Run the stream over all files of ``source`` not seen by ``checkpoint`` yet; return the state as a table.
 
     One row per digest: keep_id, keep_row, locator (file of the row that stays), chars,
-    group_size. ``row`` is a column that tells rows of one doc_id apart, if they must be. Calling it again with the same ``checkpoint`` takes in new files only.
+    group_size. ``row`` is a column that tells rows of one doc_id apart, if they must be;
+    with ``files`` (``tables.file_numbers``) it is the number that ``tables.number_rows``
+    gives. Calling it again with the same ``checkpoint`` takes in new files only.
     """
     checkpoint = checkpoint or scratch_path(spark, "dedup-state")
-    schema = spark.read.parquet(source).select(*dict.fromkeys(("doc_id", "text", row))).schema
+    schema = spark.read.parquet(source).select(*dict.fromkeys(("doc_id", "text", "doc_id" if files is not None else row))).schema
     pattern = f"{source[:-1]}[{source[-1]}]"     # a glob, since a stream takes a single file only as the match of one
-    stream = (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(pattern)
-              .select("*", F.col("_metadata.file_path").alias("locator")))
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(pattern)
+    if files is None:
+        stream = stream.select("*", F.col("_metadata.file_path").alias("locator"))
+    else:
+        stream = T.number_rows(stream, files, row).withColumnRenamed("_file", "locator")
     state = (stream.select(digest(normalised(F.col("text"))).alias("digest"),
                            F.struct(_first(row).alias("first"), "locator").alias("row"))
              .groupBy("digest").agg(F.max("row").alias("row"), F.count(F.lit(1)).alias("group_size")))
@@ -83,22 +91,45 @@ def keep_state(spark: SparkSession, source: str, bytes_per_batch: int = 64 << 30
             F.col(f"value.{value[1]}").alias("group_size")), "dedup-kept")
 
 
-def clashes(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Digests under which two different normalised texts stand, by comparing full bytes.
+def clashes(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Those of the digests ``hits`` under which two different normalised texts stand, by comparing full bytes.
 
-    Texts are grouped by their bytes: equal ones collapse within each task before
-    the shuffle, so a group of any size sends one row per task.
+    Only texts that may have such a digest are shuffled. They are grouped by their
+    bytes: equal ones collapse within each task before the shuffle, so a group of any
+    size sends one row per task.
     """
     norm = normalised(F.col("text"))
-    texts = docs.groupBy(digest(norm).alias("digest"), norm.alias("norm")).agg(F.count(F.lit(1)).alias("rows"))
+    texts = T.maybe_in(docs.select(digest(norm).alias("digest"), norm.alias("norm")), hits, "digest").where("_maybe")
+    texts = texts.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("rows"))
     return texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest")
 
 
+def _plain(path: str) -> str:
+    """One spelling of a file's URI, whichever reader gave it."""
+    return re.sub(":/+", ":/", unquote(path))
+
+
+def earlier_texts(docs: DataFrame, state: DataFrame) -> DataFrame | None:
+    """Rows of the files in which the state's hits lie and that are not among those of ``docs``.
+
+    After a run that went on from a checkpoint, the row that stays may lie in a file read
+    before; its locator says where its bytes are.
+    """
+    here = {_plain(f) for f in docs.inputFiles()}
+    if not here:
+        return None
+    held = state.where("group_size > 1").select("locator").distinct().collect()      # a row a file
+    away = [r.locator for r in held if _plain(r.locator) not in here]
+    return docs.sparkSession.read.schema("doc_id long, text string").parquet(*away) if away else None
+
+
 def classify(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column] = sha256, row: str = "doc_id") -> DataFrame:
     """doc_id, row, keep_id, group_size, kept, text_sha256 of each row, once the full bytes of all hits were compared."""
     norm = normalised(F.col("text"))
     rows = docs.select("doc_id", F.col(row).alias("row"), digest(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256"))
-    apart = T.written(clashes(docs, digest), "dedup-clashes")
+    before = earlier_texts(docs, state)
+    texts = docs.select("text") if before is None else docs.select("text").unionByName(before.select("text"))
+    apart = T.written(clashes(texts, state.where("group_size > 1").select("digest"), digest), "dedup-clashes")
     out = rows.join(state.select("digest", "keep_id", "keep_row", "group_size"), "digest")
     if not apart.isEmpty():
         # under these digests the groups are the full texts themselves

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caseflow.llm import alignment, exact_dedup, html_text, jaccard_join, langid, licenses, merkle, mixing, packing, pii, quality, token_files, toxicity
-from caseflow.session import ship_package
+from caseflow.session import ship_package, text_batches
 
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_html_text": (html_text.op1, None),
@@ -29,6 +29,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        text_batches(spark)
         return query(spark, sf_dir)
 
     return run

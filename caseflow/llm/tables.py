@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseflow.session import scratch_path
@@ -38,3 +39,54 @@ def n_words(col: str = "text") -> Column:
     tight = F.trim(F.regexp_replace(blank, " {2,}", " "))
     gaps = F.octet_length(tight) - F.octet_length(F.translate(tight, " ", ""))
     return F.when(tight == "", F.lit(0)).otherwise(gaps + 1).cast("long")
+
+
+#: Rows of a file that a row number has room for.
+FILE_ROWS = 1 << 40
+
+
+def file_numbers(docs: DataFrame) -> DataFrame | None:
+    """_file, _k: a number for each file that ``docs`` is read from, written; None if it is not read from files."""
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    except AnalysisException:
+        return None
+    by_name = Window.orderBy("_file")       # a row a file
+    return written(files.select("_file", F.row_number().over(by_name).cast("long").alias("_k")), "files")
+
+
+def number_rows(docs: DataFrame, files: DataFrame, row: str) -> DataFrame:
+    """Add ``row``, a number from a row's file and its place in it, and ``_file``. ``files`` has a row a file."""
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return placed.join(F.broadcast(files), "_file").withColumn(row, F.col("_k") * FILE_ROWS + F.col("_at")).drop("_k", "_at")
+
+
+#: Least and most bits of the filter of keys: at most 2^20 rows of two numbers, 16 MB, are broadcast.
+KEY_BITS = (1 << 16, 1 << 26)
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_maybe``: false where their ``key`` is surely none of ``keys``.
+
+    The keys set bits of a filter of bounded size, which is joined by the place of a row's
+    bit; so most rows of another key need no shuffle to tell.
+    """
+    bits = min(KEY_BITS[1], max(KEY_BITS[0], 1 << (16 * max(1, keys.count())).bit_length()))
+    words = keys.select(F.expr(f"pmod(xxhash64(`{key}`), {bits})").alias("_at")).groupBy(F.expr("_at div 64").alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 as int))")).alias("_bits"))
+    words = written(words, "key-bits")
+    met = F.col("_bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {bits}) % 64 as int))")) != 0
+    out = rows.join(F.broadcast(words), F.expr(f"pmod(xxhash64(`{key}`), {bits}) div 64") == F.col("_word"), "left")
+    return out.withColumn("_maybe", F.coalesce(met, F.lit(False))).drop("_word", "_bits")
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is one of ``keys``; rows that surely are not are never shuffled."""
+    return maybe_in(rows, keys, key).where("_maybe").drop("_maybe").join(keys.select(key), key, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is none of ``keys``; only those are shuffled that may be."""
+    told = maybe_in(rows, keys, key)
+    doubtful = told.where("_maybe").drop("_maybe").join(keys.select(key), key, "left_anti")
+    return told.where("NOT _maybe").drop("_maybe").unionByName(doubtful)

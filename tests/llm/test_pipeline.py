@@ -62,6 +62,13 @@ def test_odd_rows(spark, make):
     check(spark, docs, SF)
 
 
+def test_empty_table(spark, make):
+    docs = tables.written(make([]), "test-empty")
+    for name, stage in C.STAGES:
+        docs = tables.written(stage(spark, docs, SF), f"test-{name}")
+        assert docs.count() == 0
+
+
 def test_run(spark):
     out = C.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0

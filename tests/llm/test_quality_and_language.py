@@ -99,7 +99,8 @@ def test_registered_defaults_certify_cutoffs_in_every_language(spark):
     measured = tables.written(quality.measure(tables.read(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("stratum"))), "test-quality")
     cuts = quality.cutoffs(measured, labels).collect()
     assert {r.stratum for r in cuts if any(r[name] is not None for name in quality.RULES)} >= {"de", "en", "es", "fr"}
-    told = quality.op4(spark, sf).join(labels, "doc_id").join(measured.select("doc_id", "stratum"), "doc_id").collect()
+    verdicts = tables.written(quality.op4(spark, sf), "test-verdicts")
+    told = verdicts.join(labels, "doc_id").join(measured.select("doc_id", "stratum"), "doc_id").collect()
     for lang in ("de", "en", "es", "fr"):
         good = [r for r in told if r.stratum == lang and r.quality == 1 and not r.base_failed]
         assert sum(not r.kept for r in good) <= quality.RISK * len(good)
@@ -107,7 +108,7 @@ def test_registered_defaults_certify_cutoffs_in_every_language(spark):
     scores = measured.selectExpr("doc_id", "stratum", "base_failed", *[f"{e} AS {n}" for n, e in quality.RULES.items()]).collect()
     of = {r.stratum: r for r in cuts}
     want = {r.doc_id: not r.base_failed and not any(of[r.stratum][n] is not None and r[n] > of[r.stratum][n] for n in quality.RULES) for r in scores}
-    assert {r.doc_id: r.kept for r in quality.op4(spark, sf).collect()} == want
+    assert {r.doc_id: r.kept for r in verdicts.collect()} == want
     bad = [r for r in told if r.quality == 0]
     assert sum(not r.kept for r in bad) >= 0.8 * len(bad)
 
