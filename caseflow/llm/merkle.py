@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from caseflow.llm import tables as T
 
 ARITY = 3
+#: Nodes of a level, of 100 bytes each, up to which its siblings are broadcast instead of shuffled.
+FEW_NODES = 20_000
 PROOF = "array<struct<left:string,right:string>>"
 #: Names that ``manifest`` gives; columns of these names are replaced.
 ADDED = ("place", "nodes", "tree", "slot", "left", "right", "proof", "subroot", "height", "_at", "_part", "_n", "_first", "_before", "_group")
@@ -80,13 +82,17 @@ def ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: st
         *[c for c in rows.columns if c != "_at"], (F.col("_at") - F.col("_first") + F.col("_before")).alias("place"), "nodes")
 
 
-def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """Add slot, and left and right: the digests of a node's siblings on either side, joined at their computed places."""
+def with_siblings(nodes: DataFrame, arity: int, few: bool = False) -> DataFrame:
+    """Add slot, and left and right: the digests of a node's siblings on either side, joined at their computed places.
+
+    ``few`` says that there are no more than FEW_NODES.
+    """
     slot, place = F.col("slot"), F.col("place")
     out = nodes.withColumn("slot", place % arity)
     left, right = [F.lit("")], [F.lit("")]
     for shift in range(1, arity):
         others = nodes.select(F.col("tree").alias(f"_tree{shift}"), F.col("place").alias(f"_place{shift}"), F.col("hash").alias(f"_hash{shift}"))
+        others = F.broadcast(others) if few else others
         sibling = place.bitwiseXOR(F.lit(1)) if arity == 2 else place - slot + (slot + shift) % arity
         out = out.join(others, (F.col("tree") == F.col(f"_tree{shift}")) & (sibling == F.col(f"_place{shift}")), "left")
         found, wraps = F.coalesce(f"_hash{shift}", F.lit("")), slot + shift >= arity
@@ -102,18 +108,19 @@ def climb(leaves: DataFrame, arity: int, name: str) -> tuple[list[DataFrame], Da
     round a level: the logarithm of the largest tree.
     """
     levels, nodes = [], leaves
-    widest = leaves.agg(F.max("nodes").alias("n")).first()["n"] or 0
+    size = leaves.agg(F.max("nodes").alias("widest"), F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("place") == 0).alias("trees")).first()
+    widest, most = size["widest"] or 0, size["nodes"]        # most: nodes of the level, at the most
     roots = []
     while True:
         roots.append(nodes.where("nodes = 1").select("tree", F.lit(len(levels)).alias("height"), F.col("hash").alias("root")))
         if widest <= 1:
             break
-        level = T.written(with_siblings(nodes.where("nodes > 1"), arity), f"{name}-{len(levels)}")
+        level = T.written(with_siblings(nodes.where("nodes > 1"), arity, most <= FEW_NODES), f"{name}-{len(levels)}")
         levels.append(level)
         nodes = level.where("slot = 0").select(
             "tree", F.expr(f"place div {arity}").alias("place"), F.expr(f"(nodes + {arity - 1}) div {arity}").alias("nodes"),
             digest(F.col("hash"), F.col("right")).alias("hash"))
-        widest = -(-widest // arity)
+        widest, most = -(-widest // arity), most // arity + size["trees"]
     all_roots = roots[0]
     for r in roots[1:]:
         all_roots = all_roots.unionByName(r)
