@@ -25,12 +25,14 @@ from caseflow.functions import columns as X
 from caseflow.operators.windows import append_sources, distinct_rows
 from caseflow.operators.schema import FACT_COLUMNS, FACT_SCHEMA, REQUIRED_NON_NULL, conform, validate
 from caseflow.plans import rollup, versions
-from caseflow.session import LOAD_CONF, drop_scratch, scratch_path, session_conf
+from caseflow.session import LOAD_CONF, drop_scratch, scratch_made, scratch_path, session_conf
 
 log = logging.getLogger(__name__)
 
 #: Bits of the clustering key that disease and month have each.
 CLUSTER_BITS = 10
+#: Ranks of up to so many slugs (some 10 MB) are broadcast.
+BROADCAST_SLUGS = 100_000
 #: Where a row group has too many slugs for a dictionary, a Bloom filter tells the absent ones.
 FILE_OPTIONS = {"parquet.bloom.filter.enabled#disease_slug": "true", "parquet.bloom.filter.expected.ndv#disease_slug": "20000"}
 
@@ -75,12 +77,20 @@ def clustered(facts: DataFrame) -> DataFrame:
     """Add ``_cluster``: bits of the disease's rank and of the month's place in the table's span, interleaved.
 
     The ranks are a row a disease, the span is one row; both come from two columns of ``facts``.
+    The ranks are written first: planned from the size of ``facts``, the join would deal all
+    rows by slug, and those of a common disease to one task.
     """
+    spark = spark_of(facts)
     top = (1 << CLUSTER_BITS) - 1
     span = facts.agg(F.min("report_period_start").alias("a"), F.max("report_period_start").alias("b")).first()
     by_slug = Window.orderBy("disease_slug")        # over the distinct slugs only
     ranks = facts.select("disease_slug").distinct().select(
         F.col("disease_slug").alias("_slug"), (F.percent_rank().over(by_slug) * top).cast("int").alias("_rank"))
+    told = scratch_path(spark, "slug-ranks")
+    ranks.write.parquet(told)
+    ranks = spark.read.schema(ranks.schema).parquet(told)
+    if ranks.count() <= BROADCAST_SLUGS:
+        ranks = F.broadcast(ranks)
 
     def months(c: Column) -> Column:
         return F.year(c) * 12 + F.month(c)
@@ -105,10 +115,12 @@ def write_facts(df: DataFrame, path: str, partitions: int | None = None, keep_ve
     before = versions.current(spark, path)
     folder = versions.fresh(path)
     keys = ("data_source", "_cluster", "state", "report_period_start")
+    made = len(scratch_made())
     (clustered(conform(df))
         .repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
         .sortWithinPartitions(*keys).drop("_cluster")
         .write.options(**FILE_OPTIONS).partitionBy("data_source").parquet(f"{path.rstrip('/')}/{folder}"))
+    drop_scratch(spark, scratch_made(made))
     versions.publish(spark, path, {"folders": [folder]}, before and before["number"])
     versions.sweep(spark, path, [folder], keep_versions)
     return read_facts(spark, path)

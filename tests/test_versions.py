@@ -163,3 +163,16 @@ def test_a_slug_and_a_month_range_each_skip_most_files(spark, tmp_path):
         assert sum(lo <= slug <= hi for lo, hi in slugs) <= len(slugs) / 3
     for first in (dt.datetime(2022, 2, 1), dt.datetime(2023, 6, 1)):
         assert sum(lo <= first + dt.timedelta(31) and first <= hi for lo, hi in starts) <= len(starts) / 3
+
+
+def test_rows_of_a_common_disease_do_not_meet_in_one_task(spark):
+    rows = table(spark, some_rows())
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # as where the facts are large
+    try:
+        placed = catalog.clustered(rows)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert placed.where("_cluster IS NULL").isEmpty() and placed.count() == rows.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
