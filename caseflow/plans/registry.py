@@ -28,7 +28,7 @@ from caseflow.plans import rollup as RU
 from caseflow.plans.catalog import (build_name_mapping, facts_table, from_arrow, load_all, open_or_build, register_views, rollup_table,
                                     table_sources, to_arrow, to_json_rows, write_facts)
 from caseflow.plans.sql import query as guarded_query
-from caseflow.session import scratch_path
+from caseflow.session import LOAD_CONF, scratch_path, session_conf
 from caseflow.sources import files as FS
 from caseflow.sources import tables as TB
 
@@ -606,7 +606,7 @@ def _entries() -> dict[str, tuple[Fn, str | None]]:
         lambda s, d: FS.latest_file(FS.discover_files(s, f"{state_feed_root(s, d)}/data/states"))
         .select(F.element_at(F.split("path", "/"), -2).alias("parent"), last_part().alias("file_name")),
         O.facts_ctes() + f"\nSELECT state AS parent, {newest} AS file_name FROM ({states_sql}) ORDER BY 2 DESC LIMIT 1")
-    e["s5_read_weekly_feed"] = (lambda s, d: C.load_weekly_feed(FS.read_weekly_feed(s, weekly_feed_root(s, d))),
+    e["s5_read_weekly_feed"] = (lambda s, d: _loaded(C.load_weekly_feed(FS.read_weekly_feed(s, weekly_feed_root(s, d)))),
                                 O.facts_ctes() + "\nSELECT * FROM weekly_facts")
     e["s7_faulty_uploads"] = (
         lambda s, d: _faulty_feed(s, d, "skip").report.select(F.element_at(F.split("path", "/"), -2).alias("parent"), "status",
@@ -631,6 +631,14 @@ SELECT state AS reporting_jurisdiction, CAST(count(*) + CASE WHEN state = 'FL' T
     return e
 
 
+def _loaded(rows: DataFrame) -> DataFrame:
+    """Conformed rows staged in the shared folder, as a load does: planned with the load's settings, whatever the session has."""
+    spark, staged = rows.sparkSession, scratch_path(rows.sparkSession, "loaded")
+    with session_conf(spark, LOAD_CONF):
+        rows.write.parquet(staged)
+    return spark.read.schema(rows.schema).parquet(staged)
+
+
 def _replaced_table(spark: SparkSession, sf: str) -> DataFrame:
     """K6: a table written with faulty rows first, then replaced."""
     path = scratch_path(spark, "replaced")

@@ -4,7 +4,8 @@ Layouts (as the feeds deliver them):
 
 * per-state feed: ``<root>/data/states/<STATE>/<YYYYMMDD-HHMMSS>_<STATE>_<who>.csv``;
   the newest file of each state directory (by file name) is the state's data;
-* weekly feed: ``<root>/NNDSS_Weekly_Data_<date>*.csv``; the newest file is read.
+* weekly feed: ``<root>/NNDSS_Weekly_Data_<date>*.csv``; the newest upload is read, a
+  file or a folder of part files, each with the header.
 
 Listing uses Spark's ``binaryFile`` source with only the path selected, so
 file contents are never read for discovery. Rows are read by Spark's CSV
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from caseflow.operators.windows import union_files
-from caseflow.session import scratch_path
+from caseflow.session import drop_scratch, scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -71,8 +72,17 @@ def latest_file(files: DataFrame) -> DataFrame:
     return files.agg(F.max("path").alias("path")).where(F.col("path").isNotNull())
 
 
+def weekly_uploads(spark: SparkSession, root: str) -> DataFrame:
+    """(path, upload) of the weekly feed's files under ``root``: a file is an upload of its own, a part one of its folder's."""
+    root = root.rstrip("/")
+    whole = discover_files(spark, root, WEEKLY_GLOB, recursive=False).withColumn("upload", F.col("path"))
+    parts = discover_files(spark, f"{root}/{WEEKLY_GLOB}/part-*", "*.csv", recursive=False)
+    parts = parts.withColumn("upload", F.regexp_replace("path", "/[^/]*$", ""))
+    return whole.unionByName(parts).select("path", "upload")
+
+
 def _paths(df: DataFrame) -> list[str]:
-    # one row per chosen upload (one per state): file names only, never data
+    # one row per chosen upload (one per state) or part of one: file names only, never data
     return [r["path"] for r in df.select("path").collect()]
 
 
@@ -134,6 +144,37 @@ def _by_header(spark: SparkSession, paths: list[str]) -> tuple[dict[tuple[str, .
     return out, faults
 
 
+#: A file of more bytes is read by several tasks where no line break is quoted.
+LARGE_FILE = 64 << 20
+#: A line whose quoted fields all end on it; quotes within a plain field or beside a quoted one don't count as such.
+_CLOSED = r'^(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)(?:,(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+))*+$'
+
+
+def _one_line_records(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Those of ``paths`` that are large and have a record a line, so that they can be split at any line break.
+
+    One pass over the large files as text. A file with another kind of line is read by one
+    task: one with a quoted line break, with quotes that a CSV reader has to guess at, of white
+    space alone, or with carriage returns elsewhere than at the end of every line.
+    """
+    jvm = spark._jvm
+
+    large = {}
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        if status.getLen() > LARGE_FILE:
+            large[_plain(status.getPath().toString())] = path
+    if not large:
+        return set()
+    lines = spark.read.option("lineSep", "\n").text(list(large.values())).select(F.col("_metadata.file_path").alias(_PATH), "value")
+    ended = F.col("value").endswith("\r")
+    line = F.when(ended, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    other = line.contains("\r") | line.rlike(r"^[\x00-\x20]+$") | (line.contains('"') & ~line.rlike(_CLOSED))
+    told = lines.groupBy(_PATH).agg(F.count(F.lit(1)).alias("n"), F.count_if(ended).alias("ended"), F.count_if(other).alias("other"))
+    return {large[_plain(r[_PATH])] for r in told.collect() if not r["other"] and r["ended"] in (0, r["n"])}       # a row a file
+
+
 def _marked(spark: SparkSession, header: tuple[str, ...], paths: list[str], on_error: str, multi_line: bool) -> DataFrame:
     """Rows of files of one header, with their path, and the fault and raw text of those that do not fit it."""
     text = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
@@ -149,7 +190,7 @@ def _marked(spark: SparkSession, header: tuple[str, ...], paths: list[str], on_e
     return rows.withColumn(_FAULT, fault)
 
 
-def read_feed(spark: SparkSession, paths: list[str], on_error: str = "skip", multi_line: bool = True) -> Feed:
+def read_feed(spark: SparkSession, paths: list[str], on_error: str = "skip", multi_line: bool = True, one_upload: bool = False) -> Feed:
     """Read CSV files as all-text columns, union by name across differing headers (D4), faults told.
 
     ``on_error``: ``skip`` leaves out files with a faulty row or without a header, ``raise``
@@ -157,10 +198,12 @@ def read_feed(spark: SparkSession, paths: list[str], on_error: str = "skip", mul
     fields are kept in any case. The files are parsed once, into a staging table in the
     shared folder that the frames of the result read.
 
-    Quotes inside quoted text are doubled, and quoted text may hold line breaks; a file
-    is therefore read by one task, as no one can tell from its middle whether a line break
-    is quoted. ``multi_line=False`` is for feeds without such line breaks: large files
-    are then split among tasks.
+    Quotes inside quoted text are doubled, and quoted text may hold line breaks; no one can
+    tell from a file's middle whether a line break is quoted. A large file is therefore
+    looked through first, and is split among tasks where none is; one with quoted line breaks
+    is read by one task. ``multi_line=False`` is for feeds that are known to have none.
+
+    ``one_upload``: the files are parts of one upload, which ``skip`` leaves out as a whole.
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {', '.join(ON_ERROR)}, got {on_error!r}")
@@ -173,7 +216,9 @@ def read_feed(spark: SparkSession, paths: list[str], on_error: str = "skip", mul
     if headers:
         columns = list(dict.fromkeys(c for h in headers for c in h))
         staged = scratch_path(spark, "feed")
-        union_files([_marked(spark, h, p, on_error, multi_line) for h, p in headers.items()]).write.parquet(staged)
+        split = _one_line_records(spark, [p for group in headers.values() for p in group]) if multi_line else set()
+        read = [(h, [p for p in group if (p in split) == apart], multi_line and not apart) for h, group in headers.items() for apart in (False, True)]
+        union_files([_marked(spark, h, p, on_error, whole) for h, p, whole in read if p]).write.parquet(staged)
         every = spark.read.parquet(staged)
         bad = F.col(_FAULT).isin(LONG, BYTES)
         counts = every.groupBy(_PATH).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(_FAULT) == SHORT).alias("short"),
@@ -188,11 +233,14 @@ def read_feed(spark: SparkSession, paths: list[str], on_error: str = "skip", mul
         told = told.unionByName(every.where(F.col(_FAULT).isNotNull()).select(
             F.col(_PATH).alias("path"), F.col(_FAULT).alias("reason"), F.coalesce(_RECORD, F.concat_ws(",", *[F.col(f"`{c}`") for c in columns])).alias("record")))
         good = every.where(F.coalesce(~bad, F.lit(True)))
-        if on_error != "quarantine" and faulty:
+        left_out = one_upload and on_error == "skip" and bool(faulty or lost)
+        if left_out:
+            good = good.where(F.lit(False))
+        elif on_error != "quarantine" and faulty:
             good = good.where(~F.col(_PATH).isin([r[_PATH] for r in faulty]))
         for path in (p for group in headers.values() for p in group):
             r = found.get(_plain(path))
-            skipped = bool(r and r["bad"] and on_error != "quarantine")
+            skipped = left_out or bool(r and r["bad"] and on_error != "quarantine")
             report.append((path, "skipped" if skipped else "read", r["n"] if r else 0, r["short"] if r else 0, r["bad"] if r else 0))
         rows = good.select(*[F.col(f"`{c}`") for c in columns])
     return Feed(rows, told, spark.createDataFrame(report, "path string, status string, rows long, short_rows long, bad_rows long"))
@@ -222,12 +270,13 @@ def read_state_feed(spark: SparkSession, root: str, on_error: str = "skip", mult
 
 
 def read_weekly_feed(spark: SparkSession, root: str, on_error: str = "skip", multi_line: bool = True) -> DataFrame | None:
-    """The newest ``NNDSS_Weekly_Data_*.csv`` directly under ``root`` (all columns as text)."""
-    chosen = _paths(latest_file(discover_files(spark, root, WEEKLY_GLOB, recursive=False)))
+    """The newest ``NNDSS_Weekly_Data_*.csv`` directly under ``root``, file or folder of parts (all columns as text)."""
+    files = weekly_uploads(spark, root)
+    chosen = _paths(files.join(files.agg(F.max("upload").alias("upload")), "upload"))
     if not chosen:
         log.warning("no weekly feed file under %s", root)
         return None
-    return read_csv_text(spark, chosen, on_error, multi_line)
+    return read_feed(spark, sorted(chosen), on_error, multi_line, one_upload=True).rows
 
 
 def write_state_feed(raw: DataFrame, root: str, stamp: str = "20240101-000000", who: str = "caseflow", state_col: str = "state") -> str:
@@ -249,12 +298,17 @@ def write_state_feed(raw: DataFrame, root: str, stamp: str = "20240101-000000",
 
 
 def write_weekly_feed(raw: DataFrame, root: str, date: str) -> str:
-    """Write an upload of the weekly feed, ``<root>/NNDSS_Weekly_Data_<date>.csv``: one file, as the layout asks."""
+    """Write an upload of the weekly feed, the folder ``<root>/NNDSS_Weekly_Data_<date>.csv`` of part files.
+
+    A national feed has no parts like the states of the other one, and one writer would have
+    to take all of it: every task writes its rows. The folder is moved into place when it is
+    whole; one of the same date is replaced.
+    """
     spark = raw.sparkSession
-    draft = scratch_path(spark, "upload")
-    raw.coalesce(1).write.option("header", True).csv(draft)
-    [path] = _paths(discover_files(spark, draft, "*.csv").select("path"))
-    _move(spark, path, f"{root.rstrip('/')}/NNDSS_Weekly_Data_{date}.csv")
+    draft, target = scratch_path(spark, "upload"), f"{root.rstrip('/')}/NNDSS_Weekly_Data_{date}.csv"
+    raw.write.option("header", True).csv(draft)
+    drop_scratch(spark, [target])
+    _move(spark, draft, target)
     return root
 
 

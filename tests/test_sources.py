@@ -141,6 +141,40 @@ def test_uploads_written_are_the_layout_read(spark, tmp_path):
     assert FS.read_weekly_feed(spark, str(tmp_path)).count() == 4
 
 
+def test_weekly_uploads_are_files_or_folders_of_parts(spark, tmp_path):
+    raw = spark.range(1000).selectExpr("concat('a, ', id) AS state", "cast(id AS string) AS count").repartition(5)
+    FS.write_weekly_feed(raw, str(tmp_path), "20240310")
+    parts = [f for f in (tmp_path / "NNDSS_Weekly_Data_20240310.csv").iterdir() if f.name.startswith("part-")]
+    assert len(parts) > 1                                        # no single writer
+    assert sorted(map(tuple, FS.read_weekly_feed(spark, str(tmp_path)).collect())) == sorted(map(tuple, raw.collect()))
+    FS.write_weekly_feed(raw.limit(3), str(tmp_path), "20240310")        # replaced, not added to
+    assert FS.read_weekly_feed(spark, str(tmp_path)).count() == 3
+    (tmp_path / "NNDSS_Weekly_Data_20240401.csv").write_text("state,count\nCA,1\n")
+    assert FS.read_weekly_feed(spark, str(tmp_path)).count() == 1
+    FS.write_weekly_feed(raw, str(tmp_path), "20240501")
+    part = next(f for f in (tmp_path / "NNDSS_Weekly_Data_20240501.csv").iterdir() if f.name.startswith("part-"))
+    part.with_name(f".{part.name}.crc").unlink(missing_ok=True)
+    part.write_text(part.read_text() + "x,1,2,3\n")
+    assert FS.read_weekly_feed(spark, str(tmp_path)).count() == 0         # an upload with a faulty part is left out whole
+    assert FS.read_weekly_feed(spark, str(tmp_path), "quarantine").count() == 1000
+
+
+def test_large_files_are_split_only_where_no_line_break_is_quoted(spark, tmp_path, monkeypatch):
+    head = "state,note,count\n"
+    texts = {"plain": "CA,x,1\n\nTX,,2\n", "quoted": 'CA,"a, ""b""",1\nTX,"",2\n', "crlf": "CA,x,1\r\nTX,y,2\r\n",
+             "broken": 'CA,"a\nb",1\n', "inner": 'CA,5" pipe,1\nTX,"6\n",2\n', "spaced": 'CA, "a,1\nTX,b" ,2\n', "blank": "CA,x,1\n  \nTX,y,2\n",
+             "lone": "CA,x\ry,1\nTX,y,2\n", "even": 'CA,5",",1\nTX,z",2\n'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(((head.replace("\n", "\r\n") if name == "crlf" else head) + text).encode())
+    paths = [str(tmp_path / f"{name}.csv") for name in texts]
+    assert FS._one_line_records(spark, paths) == set()                   # none is large
+    read = [p for p in paths if "lone" not in p]
+    before = sorted(map(str, FS.read_feed(spark, read, "quarantine").rows.collect()))
+    monkeypatch.setattr(FS, "LARGE_FILE", 1)
+    assert {p.split("/")[-1][:-4] for p in FS._one_line_records(spark, paths)} == {"plain", "quoted", "crlf"}
+    assert sorted(map(str, FS.read_feed(spark, read, "quarantine").rows.collect())) == before
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error():
     import pytest
 
