@@ -25,7 +25,7 @@ other columns are kept, but for lang_pred and score, which are replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,8 +43,19 @@ LONGEST = 4
 #: Tokens of the common frequencies that each language's own are mixed with.
 PRIOR = 2000.0
 REMEMBERED = 100_000
+#: Texts whose new words are scored together.
+AT_ONCE = 64
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+#: ASCII letters in lower case, all else a space.
+_ASCII = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalpha() else 32 for c in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text in lower case; without a pattern where it is plain ASCII."""
+    if text.isascii():
+        return text.encode().translate(_ASCII).decode().split()
+    return _WORD.findall(text.lower())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,55 +87,64 @@ class Model:
     known: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))      # a row for each number in ``known``
 
-    def word(self, word: str) -> np.ndarray:
+    def _rows(self, word: str) -> list[int]:
+        """Rows in ``logs`` whose mean scores a word."""
         row = self.tables[0].get(word)
         if row is not None:
-            return self.logs[row]
+            return [row]
         for n in range(LONGEST, 0, -1):
-            padded = f"_{word}_" if n > 1 else word
-            table = self.tables[n]
-            hits = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i:i + n])) is not None]
+            padded, get = f"_{word}_" if n > 1 else word, self.tables[n].get
+            hits = [v for i in range(len(padded) - n + 1) if (v := get(padded[i:i + n])) is not None]
             if hits:
-                return self.logs[hits].mean(axis=0)
-        return np.zeros(len(self.languages))
+                return hits
+        return []
+
+    def word(self, word: str) -> np.ndarray:
+        rows = self._rows(word)
+        return self.logs[rows].mean(axis=0) if rows else np.zeros(len(self.languages))
 
     def forget(self) -> None:
         """Drop the scores of the words met so far."""
         self.known, self.scores = {}, np.zeros((0, 0))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall((text or "").lower())
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        known = self.known
-        if len(known) > REMEMBERED:
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; words that are new to the texts are scored together."""
+        found = [words_of(t or "") for t in texts]
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(found)
+        if len(self.known) > REMEMBERED:
             self.forget()
-            known = self.known
-        at = [known.get(w) for w in words]
-        if None in at:
-            for i, w in enumerate(words):
-                if at[i] is None:
-                    at[i] = known.get(w)
-                    if at[i] is None:
-                        at[i] = known[w] = self._remember(w, len(known))
-        told = np.array(at)
+        self._remember({w for words in found for w in words if w not in self.known})
+        return [self._best(words) for words in found]
+
+    def _best(self, words: list[str]) -> tuple[str, float]:
+        told = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         told = told[told >= 0]
         if len(told) == 0:
             return UNKNOWN, 0.0
-        total = self.scores[told].sum(axis=0)
+        total = self.scores.take(told, axis=0).sum(axis=0)
         best = int(np.argmax(total))
         return self.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
-    def _remember(self, word: str, row: int) -> int:
-        """Score a word in row ``row``; -1 if it holds other characters than letters."""
-        if not word.isalpha():
-            return -1
-        if row >= len(self.scores):
-            more = np.zeros((max(1024, 2 * row), len(self.languages)))
+    def _remember(self, words: Iterable[str]) -> None:
+        """Score words not met before, those of equally many rows at once; -1 stands for one that holds other characters than letters."""
+        known, alike = self.known, {}
+        for word in words:
+            at = known[word] = len(known) if word.isalpha() else -1
+            if at >= 0:
+                rows = self._rows(word)
+                places, hits = alike.setdefault(len(rows), ([], []))
+                places.append(at)
+                hits.append(rows)
+        if len(known) > len(self.scores):
+            more = np.zeros((max(1024, 2 * len(known)), len(self.languages)))
             more[:len(self.scores)] = self.scores.reshape(-1, len(self.languages))
             self.scores = more
-        self.scores[row] = self.word(word)
-        return row
+        for n, (places, hits) in alike.items():
+            self.scores[places] = self.logs[np.array(hits)].mean(axis=1) if n else 0.0
 
 
 def fit(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, table_rows: int = TABLE_ROWS) -> Model:
@@ -179,7 +199,8 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column("text")]
+            text = batch.column("text")
+            found = [f for i in range(0, len(text), AT_ONCE) for f in shared.value.predict_all(text.slice(i, AT_ONCE).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()),
                                               pa.array([f[1] for f in found], pa.float64())], names)
         shared.value.forget()       # workers live on; what a task remembered must not

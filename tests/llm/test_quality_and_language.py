@@ -172,3 +172,31 @@ def test_frequencies_against_brute_force(spark, make):
     assert model.word("xab").tolist() == pytest.approx([log(grams, "ab_", x) for x in ("aa", "bb")], rel=1e-5)
     few = langid.fit(make([(1, "a b c d a a b", "aa"), (2, "x y z x", "bb")]), table_rows=2)
     assert set(few.tables[0]) == {"a", "b", "x", "y"}           # the commonest of each language
+
+
+def test_new_words_of_several_texts_are_scored_together(monkeypatch):
+    words = {"the": 0, "der": 1}
+    grams = [{c: 2 + i for i, c in enumerate("abcdeht")}, {"_t": 9, "th": 10}, {"the": 11, "_de": 12}, {"_the": 13, "ther": 14, "here": 15}]
+    logs = np.random.default_rng(5).normal(size=(16, 3)).astype(np.float32)
+    texts = ["The there DER weather", None, "", "123 _ \x1c\x85", "déjà_vu the2der x²y İstanbul ΟΔΟΣ", "a b zz the the", "x½", "therehere " * 40]
+
+    def model():
+        return langid.Model(["aa", "bb", "cc"], [words, *grams], logs)
+
+    plain = model()
+    expected = []
+    for text in texts:
+        found = [w for w in langid._WORD.findall((text or "").lower()) if w.isalpha()]
+        assert langid.words_of(text or "") == langid._WORD.findall((text or "").lower())
+        total = sum((plain.word(w).astype(float) for w in found), np.zeros(3))
+        share = np.exp(total - total.max())
+        expected.append((plain.languages[int(total.argmax())], pytest.approx(1 / share.sum())) if found else ("und", 0.0))
+    scored, calls = model(), []
+    remember = scored._remember
+    monkeypatch.setattr(scored, "_remember", lambda new: calls.append(len(new)) or remember(new))
+    assert scored.predict_all(texts) == expected
+    assert len(calls) == 1
+    assert [model().predict(t) for t in texts] == expected
+    monkeypatch.setattr(langid, "REMEMBERED", 2)
+    small = model()
+    assert [small.predict_all([t])[0] for t in texts + texts] == expected * 2
