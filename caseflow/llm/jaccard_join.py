@@ -182,7 +182,7 @@ def _sketches(docs: DataFrame, buckets: int) -> DataFrame:
         if words:
             yield from _pack_words(words, owners, buckets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED_DDL)
+    return docs.select("doc_id", "text").mapInArrow(T.released(run), PACKED_DDL)
 
 
 def _count_words(table: pa.Table) -> pa.Table:
@@ -263,7 +263,7 @@ def sets_of(docs: DataFrame, dids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())),
                                               pa.array(bits, pa.list_(pa.int64()))], ["did", "hashes", "bits"])
 
-    found = docs.select("text").mapInArrow(run, "did long, hashes array<long>, bits array<long>")
+    found = docs.select("text").mapInArrow(T.released(run), "did long, hashes array<long>, bits array<long>")
     return found.join(dids, "did", "left_semi").groupBy("did").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
 
 

@@ -206,7 +206,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
         shared.value.forget()       # workers live on; what a task remembered must not
 
     schema = T_.StructType([*docs.schema.fields, T_.StructField("lang_pred", T_.StringType()), T_.StructField("score", T_.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(T.released(run), schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

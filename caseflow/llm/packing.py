@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
             yield pa.RecordBatch.from_arrays([pa.array(v, MEMBER.field(k).type) for k, v in rows.items()], list(rows))
         encoder(tokenizer).known.clear()        # the worker lives on, in other stages too
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECE)
+    return docs.select("doc_id", "text").mapInArrow(T.released(cut), PIECE)
 
 
 class Contents:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A slice of texts handed to numpy at once; a single longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 U64 = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1          # odd base of the rolling hash, so invertible mod 2**64

@@ -1,14 +1,17 @@
 import random
 import re
+import weakref
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ODD_ROWS, SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from caseflow.llm import jaccard_join as J
-from caseflow.llm import tables
+from caseflow.llm import tables, words
 
 
 def shingles(text):
@@ -108,3 +111,31 @@ def test_linked_sets_share_one_of_their_first_words(n, seed):
     band = min(len(a), len(b)).bit_length() - 1
     first = set(order(J.sketch(a, band, one[band]))[:one[band] + 1])
     assert first & set(order(J.sketch(b, band, two[band]))[:two[band] + 1])
+
+
+def test_a_task_gives_its_memory_back_when_its_own_is_freed(monkeypatch):
+    held, trimmed = [], []
+
+    class Large:
+        pass
+
+    def run(batches):
+        large = Large()
+        held.append(weakref.ref(large))
+        for batch in batches:
+            yield batch, bool(large)
+
+    monkeypatch.setattr(tables.ctypes, "CDLL", lambda name: SimpleNamespace(malloc_trim=lambda pad: trimmed.append(held[0]())))
+    task = tables.released(run)(iter([1, 2]))
+    assert next(task) == (1, True) and not trimmed
+    assert list(task) == [(2, True)]
+    assert trimmed == [None]
+    monkeypatch.setattr(tables.ctypes, "CDLL", lambda name: SimpleNamespace())      # another C library
+    assert list(tables.released(run)(iter([3]))) == [(3, True)]
+
+
+def test_words_do_not_depend_on_slices(monkeypatch):
+    texts = pa.array(["a b c d e f " * 40, None, "", "one two", "Ä b C d é f g"] * 30)
+    whole = [h.tolist() for h in J.shingle_sets(texts)]
+    monkeypatch.setattr(words, "SLICE_BYTES", 64)
+    assert [h.tolist() for h in J.shingle_sets(texts)] == whole
