@@ -16,6 +16,11 @@ ColumnOrName = Column | str
 # Python's str.isspace() also treats the four ASCII separators \x1c-\x1f as
 # whitespace; Java's Unicode White_Space class does not, so they are listed.
 _PY_SPACE = r"\s\x1c-\x1f"
+# The same characters one by one: Java's Unicode White_Space class and the four separators.
+_SPACES = [chr(i) for i in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                            0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+# Lower-case ASCII words, single blanks, underscores or hyphens between them: a slug but for those.
+_WORDS = r"^[a-z0-9]+(?:[ _-][a-z0-9]+)*\z"
 
 
 def _c(c: ColumnOrName) -> Column:
@@ -23,23 +28,30 @@ def _c(c: ColumnOrName) -> Column:
 
 
 def py_strip(c: ColumnOrName) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode whitespace (``trim`` only drops spaces)."""
-    return F.regexp_replace(_c(c), rf"(?U)^[{_PY_SPACE}]+|[{_PY_SPACE}]+$", "")
+    """``str.strip()``: remove leading/trailing Unicode whitespace (``trim`` only drops spaces).
+
+    The regex runs only where the first or the last character is one.
+    """
+    c = _c(c)
+    edge = F.substring(c, 1, 1).isin(_SPACES) | F.substring(c, -1, 1).isin(_SPACES)
+    return F.when(edge, F.regexp_replace(c, rf"(?U)^[{_PY_SPACE}]+|[{_PY_SPACE}]+$", "")).otherwise(c)
 
 
 def slug(c: ColumnOrName) -> Column:
     """X1 slugify: lower, drop punctuation, whitespace/underscores -> '-', collapse, trim '-'.
 
     Empty result -> null. Letters and digits are matched by Unicode class so
-    accented names keep their letters.
+    accented names keep their letters. Plain words need only their blanks and
+    underscores replaced; one ASCII regex tells them from the rest.
     """
-    s = F.lower(_c(c))
-    s = F.regexp_replace(s, rf"(?U)[^\p{{L}}\p{{N}}_{_PY_SPACE}-]", "")
+    low = F.lower(_c(c))
+    words = F.replace(F.replace(low, F.lit(" "), F.lit("-")), F.lit("_"), F.lit("-"))
+    s = F.regexp_replace(low, rf"(?U)[^\p{{L}}\p{{N}}_{_PY_SPACE}-]", "")
     # whitespace/underscore runs -> '-' and then '-' runs -> '-' is the same as
     # turning every run of [whitespace _ -] into one '-': one regex pass, not two
     s = F.regexp_replace(s, rf"(?U)[{_PY_SPACE}_-]+", "-")
     s = F.regexp_replace(s, "^-|-$", "")
-    return F.nullif(s, F.lit(""))
+    return F.nullif(F.when(low.rlike(_WORDS), words).otherwise(s), F.lit(""))
 
 
 NOT_ASCII = "[^\\x00-\\x7F]"
@@ -186,10 +198,15 @@ def non_blank(c: ColumnOrName) -> Column:
 
 
 def interleave_bits(a: ColumnOrName, b: ColumnOrName, bits: int) -> Column:
-    """Z-order key: the lowest ``bits`` bits of two integers in turn, ``a`` ahead of ``b``."""
-    out = F.lit(0).cast("long")
-    for i in range(bits):
-        for c, place in ((b, 2 * i), (a, 2 * i + 1)):
-            bit = F.shiftright(_c(c).cast("long"), i).bitwiseAND(F.lit(1).cast("long"))
-            out = out.bitwiseOR(F.shiftleft(bit, place))
+    """Z-order key: the lowest ``bits`` bits (31 at most) of two integers in turn, ``a`` ahead of ``b``."""
+    return F.shiftleft(_spread_bits(a, bits), 1).bitwiseOR(_spread_bits(b, bits))
+
+
+def _spread_bits(c: ColumnOrName, bits: int) -> Column:
+    """The lowest ``bits`` bits with a zero ahead of each: halves, quarters and so on are moved apart."""
+    out = _c(c).cast("long").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                        (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        if shift < bits:
+            out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask).cast("long"))
     return out

@@ -94,7 +94,7 @@ DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "yy
 def parse_timestamp(c: Column) -> Column:
     """Date text from a CSV -> timestamp_ntz: ISO, else the first of DATE_FORMATS that fits, else null."""
     text = F.trim(c)
-    eight = F.when(~text.rlike("^[0-9]{8}$"), text.try_cast("timestamp_ntz"))   # else a cast reads a year of 8 digits
+    eight = F.when(text.contains("-") | ~text.rlike("^[0-9]{8}$"), text.try_cast("timestamp_ntz"))   # else a cast reads a year of 8 digits
     return F.coalesce(eight, *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS])
 
 
@@ -173,13 +173,17 @@ def parse_labels(df: DataFrame, label: str, base_out: str = "_base",
     s1 = df.withColumn("_lab", X.py_strip(F.col(label)))
     s2 = s1.withColumns({
         "_has_comma": F.instr("_lab", ",") > 0,
-        "_raw_sub": X.py_strip(F.regexp_extract("_lab", r"(?s)^[^,]*,(.*)$", 1)),
-    })
+        "_after": F.when(F.instr("_lab", ",") > 0, F.substr("_lab", F.instr("_lab", ",") + 1))
+                   .when(F.col("_lab").isNotNull(), F.lit("")),
+    }).withColumn("_raw_sub", X.py_strip(F.col("_after"))).drop("_after")
+    trimmed = F.regexp_replace(
+        F.regexp_replace("_raw_sub", r"(?i)^serogroups? ", ""),
+        r"(?iU)[\s\x1c-\x1f]*serogroups?[\s\x1c-\x1f]*$", "")
+    # without its first letter, which may be any that folds to an s
+    has_word = F.lower("_raw_sub").contains("erogroup")
     s3 = s2.withColumns({
         base_out: F.when(F.col("_has_comma"), X.py_strip(F.substring_index("_lab", ",", 1))).otherwise(F.col("_lab")),
-        "_no_suffix": X.py_strip(F.regexp_replace(
-            F.regexp_replace("_raw_sub", r"(?i)^serogroups? ", ""),
-            r"(?iU)[\s\x1c-\x1f]*serogroups?[\s\x1c-\x1f]*$", "")),
+        "_no_suffix": F.when(has_word, X.py_strip(trimmed)).otherwise(F.col("_raw_sub")),
     })
     normalized = F.coalesce(X.map_lookup(F.lower("_no_suffix"), dims.WEEKLY_SUBTYPE_NORMALIZATION),
                             F.col("_no_suffix"))
@@ -243,8 +247,7 @@ def clean_counts_col(c: Column, strict: bool = False) -> Column:
     """Keep only the digits; blank -> null. ``strict`` nulls anything that is not an integer."""
     if strict:
         return X.py_strip(c).try_cast("long")
-    digits = F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
-    return F.nullif(digits, F.lit("")).try_cast("long")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "").try_cast("long")    # no digits: null
 
 
 def canonical_disease(slug_col: Column) -> Column:

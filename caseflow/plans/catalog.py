@@ -98,9 +98,10 @@ def clustered(facts: DataFrame) -> DataFrame:
 
     first, last = (F.lit(v).cast("timestamp_ntz") for v in span)
     place = (months(F.col("report_period_start")) - months(first)) * top / F.greatest(months(last) - months(first), F.lit(1))
-    key = X.interleave_bits(F.coalesce("_rank", F.lit(0)), F.coalesce(place.cast("int"), F.lit(0)), CLUSTER_BITS)
+    # the month's place is a column of its own: the key uses it many times
     return (facts.join(ranks, F.col("disease_slug").eqNullSafe(F.col("_slug")), "left")
-                 .withColumn("_cluster", key).drop("_slug", "_rank"))
+                 .withColumns({"_rank": F.coalesce("_rank", F.lit(0)), "_place": F.coalesce(place.cast("int"), F.lit(0))})
+                 .withColumn("_cluster", X.interleave_bits("_rank", "_place", CLUSTER_BITS)).drop("_slug", "_rank", "_place"))
 
 
 def write_facts(df: DataFrame, path: str, partitions: int | None = None, keep_versions: int = 2) -> DataFrame:

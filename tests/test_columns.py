@@ -84,3 +84,30 @@ def test_round_is_python_round(spark):
     ties = spark.createDataFrame([(x,) for x in (0.125, 0.375, 2.5, -0.125, 0.0, 1e-9, 99.995)], "v double")
     for r in ties.select("v", X.round_half_even("v", 2).alias("r")).collect():
         assert r["r"] == round(r["v"], 2), r
+
+
+def test_strip_and_slug_are_their_patterns_for_every_character(spark):
+    codes = [*range(0x01, 0xD800), *range(0xE000, 0x10000), 0x1D7D8, 0x1F600]
+    texts = [t.format(chr(i)) for i in codes for t in ("{0}", "a{0}", "{0}a", "a{0}B", "{0} x\n")]
+    space = r"\s\x1c-\x1f"
+    strip = F.regexp_replace("v", rf"(?U)^[{space}]+|[{space}]+$", "")
+    s = F.regexp_replace(F.lower("v"), rf"(?U)[^\p{{L}}\p{{N}}_{space}-]", "")
+    s = F.regexp_replace(F.regexp_replace(s, rf"(?U)[{space}_-]+", "-"), "^-|-$", "")
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", " ", "a__b - c", "-a", "a b\r\n"]], "v string")
+    wrong = df.where(~X.py_strip("v").eqNullSafe(strip) | ~X.slug("v").eqNullSafe(F.nullif(s, F.lit(""))))
+    assert wrong.collect() == []
+
+
+def test_strip_and_slug_meet_unicode_patterns_behind_a_cheap_look_only(spark):
+    df = spark.createDataFrame([("a b",)], "v string")
+    for expr, pattern in ((X.py_strip("v"), "(?U)^["), (X.slug("v"), "(?U)[^")):
+        plan = df.select(expr.alias("out"))._jdf.queryExecution().optimizedPlan().toString()
+        assert pattern in plan and "CASE WHEN" in plan.split(pattern)[0]
+
+
+def test_interleave_bits_takes_the_lowest_bits_in_turn(spark):
+    for bits in (1, 5, 10, 16, 17, 31):
+        pairs = [(a, b) for a in (0, 1, 5, 682, 1023, 65537, 2**31 - 1, -3) for b in (0, 3, 1000, 2**30 + 7, -1)]
+        got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", X.interleave_bits("a", "b", bits).alias("z")).collect()
+        for a, b, z in got:
+            assert z == sum(((b >> i & 1) << 2 * i) | ((a >> i & 1) << 2 * i + 1) for i in range(bits))

@@ -94,3 +94,20 @@ def test_with_fips_and_display(spark):
     names = spark.createDataFrame([("meningococcus",), ("west-nile-virus",)], "disease_slug string")
     shown = {r["disease_slug"]: r["display_name"] for r in C.with_display_name(names).collect()}
     assert shown == {"meningococcus": "Meningococcal Disease", "west-nile-virus": "West Nile Virus"}
+
+
+def test_counts_are_cleaned_once_in_the_filter_below_the_projections(spark):
+    raw = spark.createDataFrame([("OHIO", "2024", "1", "Measles", "1,2", "", "")],
+                                "`Reporting Area` string, `Current MMWR Year` string, `MMWR WEEK` string, "
+                                "Label string, `Current week` string, LOCATION1 string, LOCATION2 string")
+    facts = C.drop_null_counts(C.conform_weekly_feed(raw))
+    lines = facts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum(line.count("[^0-9]") for line in lines if "Filter" in line) == 1
+    assert facts.first()["count"] == 12
+
+
+def test_labels_with_any_s_of_serogroup(spark):
+    labels = {"M, ſerogroup B": "ſerogroup B", "M, B ſerogroups": "B", "M, SEROGROUPS w": "w", "M, b,c": "b,c",
+              "M,": None, "M ,  x ": "x", "M": None, None: None, "M, serogroup": None}
+    rows = C.parse_labels(spark.createDataFrame([(k,) for k in labels], "v string"), "v").collect()
+    assert {r["v"]: r["disease_subtype"] for r in rows} == labels
